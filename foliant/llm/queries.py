@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import ordinal, packing, quality_rules, spm, toxicity, urls
+from foliant.llm import embed, near, ordinal, packing, quality_rules, spm, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +37,17 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.link(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op8_embedding_near_dedup, op9_minhash_near_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
