@@ -77,8 +77,8 @@ class Cnn:
         pooled, _, _ = self.pooled(rows, first)
         return 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.bias, -30, 30)))
 
-    def train(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, *, epochs: int = 8, batch: int = 32, rate: float = 0.08, seed: int = 7) -> None:
-        """Adagrad on the logistic loss; gradients reach only the words that won the pooling."""
+    def train(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, keep: np.ndarray, *, epochs: int = 8, batch: int = 32, rate: float = 0.08, seed: int = 7) -> None:
+        """Adagrad on the logistic loss of the documents in keep; gradients reach only the words that won the pooling."""
         rng = np.random.default_rng(seed)
         most, size = max(WIDTHS) - 1, self.table.shape[1]
         squares = [np.full_like(x, 1e-3) for x in (self.table, *self.filters, *self.biases, self.out)]
@@ -89,7 +89,7 @@ class Cnn:
             x[at] -= rate * grad / np.sqrt(square[at])
 
         for _ in range(epochs):
-            order = rng.permutation(len(labels))
+            order = rng.permutation(keep)
             for k in range(0, len(order), batch):
                 docs = order[k : k + batch]
                 lengths = first[docs + 1] - first[docs]
@@ -138,20 +138,28 @@ class Classifier:
         self.net, self.thresholds = Cnn(np.zeros(0, U)), {}
         if not sample:
             return
-        texts, labels = pa.array([s[2] for s in sample]), np.array([s[3] > 0 for s in sample], np.float32)
-        hashes, first = features(Block(*text_buffers(texts)))
-        docs = np.repeat(np.arange(len(sample)), np.diff(first))
-        pairs = np.unique(np.stack([hashes.ravel(), np.repeat(docs, hashes.shape[1]).astype(U)], 1), axis=0)
-        seen, counts = np.unique(pairs[:, 0], return_counts=True)
+        labels = np.array([s[3] > 0 for s in sample], np.float32)
+        # In parts, so that the hashes of all words are never held at once.
+        parts = [pa.array([s[2] for s in sample[k : k + 200]]) for k in range(0, len(sample), 200)]
+        distinct = []
+        for part in parts:
+            hashes, own = features(Block(*text_buffers(part)))
+            distinct += [np.unique(hashes[a:b]) for a, b in zip(own, own[1:])]
+        seen, counts = np.unique(np.concatenate(distinct), return_counts=True)
+        del distinct
         frequent = np.argsort(-counts[counts >= least_docs], kind="stable")
         vocabulary = seen[counts >= least_docs][frequent]
         self.net = Cnn(vocabulary[vocabulary != 0])
-        rows = self.net.rows(hashes)
+        found, lengths = [], []
+        for part in parts:
+            hashes, own = features(Block(*text_buffers(part)))
+            found.append(self.net.rows(hashes).astype(np.int32))
+            lengths.append(np.diff(own))
+        rows, first = np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        del found
         aside = np.arange(len(sample)) % 6 == 5
-        keep = np.flatnonzero(~aside)
-        part = np.concatenate([np.arange(first[i], first[i + 1]) for i in keep])
-        self.net.train(rows[part], np.concatenate([[0], np.cumsum(np.diff(first)[keep])]), labels[keep])
-        scores = self.net.scores(rows, first)
+        self.net.train(rows, first, labels, np.flatnonzero(~aside))
+        scores = np.concatenate([self.net.scores(rows[first[k] : first[min(k + 200, len(labels))]], first[k : k + 201] - first[k]) for k in range(0, len(labels), 200)])
         langs = np.array([s[1] or "" for s in sample])
         for lang in np.unique(langs):
             own = aside & (langs == lang)
