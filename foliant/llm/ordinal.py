@@ -43,7 +43,9 @@ class CumulativeLink:
         if len(self.grades) < 2:
             return
         rng = np.random.default_rng(seed)
-        buckets, first = features(Block(*text_buffers(pa.array([s[2] for s in sample]))))
+        found = [features(Block(*text_buffers(pa.array([s[2] for s in sample[j : j + 200]])))) for j in range(0, len(sample), 200)]
+        buckets, first = np.concatenate([f[0] for f in found]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f[1]) for f in found]))])
+        del found
         grade = np.searchsorted(self.grades, [s[3] for s in sample])
         k = len(self.thresholds)
         base, steps = np.full(1, -1.0), np.zeros(k - 1)
