@@ -1,8 +1,9 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
-Every text gets 24 consistent weighted samples of its five-word shingles, in eight bands of three. In a bucket,
-all members are held against its first one, so that a large group of copies costs one comparison each; those that
-fail are held against the first of the rest, and so on, until a bucket is small enough for all its pairs. Each comparison is verified on the whole weighted sets.
+Every text gets 48 consistent weighted samples of its five-word shingles, in twelve bands of four. In a bucket,
+all members are held against its first one, so that a large group of copies costs one comparison each. Of those
+that fail, a small bucket has all its pairs compared; a large one, of texts that share a passage but not much
+else, is split by further samples, eight times over two of them, which similar texts agree on far more often. Each comparison is verified on the whole weighted sets.
 
 The inverse document frequency is ln(1 + N / (df + N / 2)): the added half damps it, so that what a group of near
 copies shares isn't outweighed by its few edits. Frequencies are counted in a table of 2**16 hash buckets, whose
@@ -22,7 +23,8 @@ from foliant.llm.kernels import NOT_SPACE, U, Block, blocks, mix, row_sums, shin
 from foliant.workspace import Workspace
 
 WORDS = 5
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 12, 4
+SPLITS = 8
 DF_BITS = 16
 ID_BITS = 44
 _ID = U((1 << ID_BITS) - 1)
@@ -100,7 +102,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, h1, h2, total weight and band hashes of each row; no bands for a text without words."""
+    """doc_id, h1, h2, band hashes and samples of each row; no bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, table = Sampler(), idf.value
@@ -110,17 +112,18 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 ids, counts, first = weighted_shingles(block)
                 bucket = (ids & U((1 << DF_BITS) - 1)).astype(np.int64)
                 log_w = log_table[bucket] + np.log(counts.astype(np.float32))
-                sketch = sample(ids, log_w, first).view(np.uint32).astype(U)
+                values = sample(ids, log_w, first)
+                sketch = values.view(np.uint32).astype(U)
                 keys = np.zeros((block.rows, BANDS), U)
                 for j in range(ROWS):
                     keys = mix(keys * U(31) + sketch[:, j::ROWS] + U(j + 1))
                 filled = np.diff(first) > 0
                 at = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[filled].ravel().view(np.int64)))
-                totals = row_sums(table[bucket].astype(float) * counts, first)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(totals), bands], ["doc_id", "h1", "h2", "total", "bands"])
+                all_ = pa.FixedSizeListArray.from_arrays(pa.array(values.view(np.int32).ravel()), BANDS * ROWS).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], bands, all_], ["doc_id", "h1", "h2", "bands", "samples"])
 
-    return docs.select("doc_id", *text_keys(), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, total double, bands array<long>")
+    return docs.select("doc_id", *text_keys(), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, samples array<int>")
 
 
 def weighted_sets(docs: DataFrame, idf) -> DataFrame:
@@ -180,7 +183,8 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 64) -> DataFr
     rows = work.put(signatures(docs, idf), "signatures")
     reps = work.put(rows.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
     own = rows.join(reps.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"])
-    buckets = work.put(own.select("doc_id", F.posexplode("bands").alias("band", "key")), "bands")
+    own = work.put(own.select("doc_id", "bands", "samples"), "own")
+    buckets = own.select("doc_id", F.posexplode("bands").alias("band", "key"))
     edges, sets = None, None
     while True:
         heads = work.put(buckets.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "heads")
@@ -201,9 +205,13 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 64) -> DataFr
         found = work.put(verify(pairs.distinct(), sets, least), "verified")
         first = edges is None
         edges = found if first else edges.unionByName(found)
-        rest = held.where("a != b") if first else held.where((F.col("a") != F.col("b")) & (F.col("n") > few))
+        rest = held.where((F.col("a") != F.col("b")) & (F.lit(first) | (F.col("n") > few)))
         rest = rest.join(found.select("a", "b", F.lit(1).alias("same")), ["a", "b"], "left").where("same is null")
-        buckets = work.put(rest.select("band", "key", F.col("b").alias("doc_id")), "rest")
+        rest = work.put(rest.select("band", "key", "n", F.col("b").alias("doc_id")), "rest")
+        at = lambda i: F.col("samples")[F.pmod((F.col("band") + 1) * ROWS + i, F.lit(BANDS * ROWS))]
+        parts = F.array(*(F.xxhash64("key", F.lit(t), at(2 * t), at(2 * t + 1)) for t in range(SPLITS)))
+        large = rest.where(F.col("n") > few).join(own.select("doc_id", "samples"), "doc_id").select("doc_id", "band", F.explode(parts).alias("key"))
+        buckets = rest.where(F.col("n") <= few).select("doc_id", "band", "key").unionByName(large)
     if edges is None:
         classes = reps.select("h1", "h2", "n_copies", F.col("rep").alias("component_id"))
     else:
