@@ -2,8 +2,9 @@
 
 Every text gets 48 consistent weighted samples of its five-word shingles, in twelve bands of four. In a bucket,
 all members are held against its first one, so that a large group of copies costs one comparison each. Of those
-that fail, a small bucket has all its pairs compared; a large one, of texts that share a passage but not much
-else, is split by further samples, eight times over two of them, which similar texts agree on far more often. Each comparison is verified on the whole weighted sets.
+that fail, a small bucket has all its pairs compared. Members of a large one, which share a passage but not enough
+else, are split exactly by the prefix filter: ordered from rare to frequent, similar texts share a shingle among
+those that come before the last 0.8 of their weights, and for such texts these are mostly their own. Each comparison is verified on the whole weighted sets.
 
 The inverse document frequency is ln(1 + N / (df + N / 2)): the added half damps it, so that what a group of near
 copies shares isn't outweighed by its few edits. Frequencies are counted in a table of 2**16 hash buckets, whose
@@ -24,7 +25,7 @@ from foliant.workspace import Workspace
 
 WORDS = 5
 BANDS, ROWS = 12, 4
-SPLITS = 8
+HEADS = 64
 DF_BITS = 16
 ID_BITS = 44
 _ID = U((1 << ID_BITS) - 1)
@@ -102,7 +103,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, h1, h2, band hashes and samples of each row; no bands for a text without words."""
+    """doc_id, h1, h2 and band hashes of each row; no bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, table = Sampler(), idf.value
@@ -112,33 +113,38 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 ids, counts, first = weighted_shingles(block)
                 bucket = (ids & U((1 << DF_BITS) - 1)).astype(np.int64)
                 log_w = log_table[bucket] + np.log(counts.astype(np.float32))
-                values = sample(ids, log_w, first)
-                sketch = values.view(np.uint32).astype(U)
+                sketch = sample(ids, log_w, first).view(np.uint32).astype(U)
                 keys = np.zeros((block.rows, BANDS), U)
                 for j in range(ROWS):
                     keys = mix(keys * U(31) + sketch[:, j::ROWS] + U(j + 1))
                 filled = np.diff(first) > 0
                 at = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[filled].ravel().view(np.int64)))
-                all_ = pa.FixedSizeListArray.from_arrays(pa.array(values.view(np.int32).ravel()), BANDS * ROWS).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], bands, all_], ["doc_id", "h1", "h2", "bands", "samples"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], bands], ["doc_id", "h1", "h2", "bands"])
 
-    return docs.select("doc_id", *text_keys(), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, samples array<int>")
+    return docs.select("doc_id", *text_keys(), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def weighted_sets(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, sorted 32-bit shingle ids and their weights."""
+def weighted_sets(docs: DataFrame, idf, least: float) -> DataFrame:
+    """doc_id, sorted 32-bit shingle ids, their weights, and the ids of the prefix for similarities from `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, block in blocks(batch):
                 ids, counts, first = weighted_shingles(block)
-                weights = (idf.value[(ids & U((1 << DF_BITS) - 1)).astype(np.int64)] * counts).astype(np.float32)
+                rarity = idf.value[(ids & U((1 << DF_BITS) - 1)).astype(np.int64)]
+                weights = (rarity * counts).astype(np.float32)
                 small = (ids >> U(12)).astype(np.uint32)  # still sorted within a row
-                cells = [(small[a:b].tobytes(), weights[a:b].tobytes()) for a, b in zip(first, first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], ["doc_id", "ids", "weights"])
+                cells = []
+                for a, b in zip(first, first[1:]):
+                    order = np.lexsort((small[a:b], -rarity[a:b]))
+                    before = np.cumsum(weights[a:b][order], dtype=float)
+                    short = int(np.searchsorted(before, (1 - least) * (before[-1] if b > a else 0) * (1 + 1e-6), "right")) + 1
+                    cells.append((small[a:b].tobytes(), weights[a:b].tobytes(), np.unique(small[a:b][order[:short]]).view(np.int32)))
+                columns = [pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "ids", "weights", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, weights binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, weights binary, prefix array<int>")
 
 
 def weighted_jaccard(ids_a: np.ndarray, w_a: np.ndarray, ids_b: np.ndarray, w_b: np.ndarray) -> float:
@@ -168,7 +174,7 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").mapInArrow(run, "a long, b long, similarity double")
 
 
-def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 64) -> DataFrame:
+def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFrame:
     """doc_id, component_id, n_copies, kept: one row per row of docs.
 
     Rows of one component are linked by equal texts or by weighted similarities of at least `least`;
@@ -183,40 +189,48 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 64) -> DataFr
     rows = work.put(signatures(docs, idf), "signatures")
     reps = work.put(rows.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
     own = rows.join(reps.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"])
-    own = work.put(own.select("doc_id", "bands", "samples"), "own")
-    buckets = own.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    edges, sets = None, None
+    buckets = work.put(own.select("doc_id", F.posexplode("bands").alias("band", "key")), "bands")
+    key = ["band", "key"]
+    heads = work.put(buckets.groupBy(*key).agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "heads")
+    held = work.put(buckets.join(heads, key).select(*key, "a", "n", F.col("doc_id").alias("b")), "held")
+    nodes = work.put(held.select(F.col("b").alias("doc_id")).distinct(), "nodes")
+    sets = work.put(weighted_sets(docs.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), idf, least), "sets")
+    pair = lambda df: df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = work.put(verify(pair(held), sets, least), "verified")
+    failed = held.where("a != b").join(edges.select("a", "b", F.lit(1).alias("same")), ["a", "b"], "left").where("same is null")
+    failed = work.put(failed.select(*key, "n", F.col("b").alias("doc_id")), "failed")
+    # All pairs in small buckets, at most `few` a member; the prefix filter for members of large ones.
+    small = failed.where(F.col("n") <= few).select(*key, "doc_id")
+    pairs = pair(small.select(*key, F.col("doc_id").alias("a")).join(small.select(*key, F.col("doc_id").alias("b")), key))
+    edges = edges.unionByName(work.put(verify(pairs, sets, least), "verified"))
+    large = failed.where(F.col("n") > few).select("doc_id").distinct().join(sets.select("doc_id", "prefix"), "doc_id")
+    # What is in one component already needs no further link.
+    roots = components(work, edges).select(F.col("node").alias("doc_id"), "root")
+    large = work.put(large.join(roots, "doc_id", "left").select("doc_id", "prefix", F.coalesce("root", "doc_id").alias("root")), "large")
+    tokens = large.select("doc_id", "root", F.explode("prefix").alias("key"))
+    mixed = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    tokens = work.put(tokens.join(work.put(mixed, "mixed"), "key").select("doc_id", "root", "key"), "prefixes")
     while True:
-        heads = work.put(buckets.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "heads")
-        if heads.isEmpty():
+        # Each round holds a bucket's members against up to 64 of them, and goes on with those that match none.
+        # Of shingles with the very same members, one will do.
+        who = (F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id")).alias("y"))
+        sizes = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low != high")
+        sizes = work.put(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "sizes")
+        if sizes.isEmpty():
             break
-        held = work.put(buckets.join(heads, ["band", "key"]).select("band", "key", "a", "n", F.col("doc_id").alias("b")), "held")
-        pairs = held.where("a != b").select("a", "b")
-        if sets is None:
-            # Later rounds only see members of these buckets.
-            nodes = work.put(held.select(F.col("b").alias("doc_id")).distinct(), "nodes")
-            sets = work.put(weighted_sets(docs.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), idf), "sets")
-        else:
-            # What the first round left over and is few enough is compared outright, at most `few` pairs a member.
-            small = held.where(F.col("n") <= few)
-            pairs = held.where((F.col("a") != F.col("b")) & (F.col("n") > few)).select("a", "b").unionByName(
-                small.select("band", "key", F.col("b").alias("x")).join(small.select("band", "key", "b"), ["band", "key"]).where("x < b").select(F.col("x").alias("a"), "b")
-            )
-        found = work.put(verify(pairs.distinct(), sets, least), "verified")
-        first = edges is None
-        edges = found if first else edges.unionByName(found)
-        rest = held.where((F.col("a") != F.col("b")) & (F.lit(first) | (F.col("n") > few)))
-        rest = rest.join(found.select("a", "b", F.lit(1).alias("same")), ["a", "b"], "left").where("same is null")
-        rest = work.put(rest.select("band", "key", "n", F.col("b").alias("doc_id")), "rest")
-        at = lambda i: F.col("samples")[F.pmod((F.col("band") + 1) * ROWS + i, F.lit(BANDS * ROWS))]
-        parts = F.array(*(F.xxhash64("key", F.lit(t), at(2 * t), at(2 * t + 1)) for t in range(SPLITS)))
-        large = rest.where(F.col("n") > few).join(own.select("doc_id", "samples"), "doc_id").select("doc_id", "band", F.explode(parts).alias("key"))
-        buckets = rest.where(F.col("n") <= few).select("doc_id", "band", "key").unionByName(large)
-    if edges is None:
-        classes = reps.select("h1", "h2", "n_copies", F.col("rep").alias("component_id"))
-    else:
-        roots = components(work, edges)
-        classes = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n_copies", F.coalesce("root", "rep").alias("component_id"))
+        members = work.put(tokens.join(sizes, "key"), "members")
+        some = members.where(F.col("n") > few).groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(HEADS)).alias("h")).agg(F.min("doc_id").alias("a"))
+        firsts = work.put(some.select("key", "a"), "heads")
+        tried = work.put(members.where(F.col("n") > few).join(firsts, "key").select("key", "a", F.col("doc_id").alias("b")), "tried")
+        small = members.where(F.col("n") <= few)
+        pairs = small.select("key", F.col("doc_id").alias("a"), "root").join(small.select("key", F.col("doc_id").alias("b"), F.col("root").alias("root_b")), "key").where("root != root_b")
+        found = work.put(verify(pair(pairs.select("a", "b").unionByName(tried.select("a", "b"))), sets, least), "verified")
+        edges = edges.unionByName(found)
+        done = found.select("a", "b").union(found.select("b", "a")).union(firsts.select("a", F.col("a").alias("b")))
+        matched = tried.join(done.distinct(), ["a", "b"], "left_semi").select("key", F.col("b").alias("doc_id")).distinct()
+        tokens = work.put(members.where(F.col("n") > few).select("key", "doc_id", "root").join(matched, ["key", "doc_id"], "left_anti"), "prefixes")
+    roots = components(work, edges)
+    classes = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n_copies", F.coalesce("root", "rep").alias("component_id"))
     classes = work.put(classes, "classes")
     out = rows.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
