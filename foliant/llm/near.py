@@ -210,7 +210,9 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFr
     tokens = large.select("doc_id", "root", F.explode("prefix").alias("key"))
     mixed = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     tokens = work.put(tokens.join(work.put(mixed, "mixed"), "key").select("doc_id", "root", "key"), "prefixes")
+    some_heads = 2
     while True:
+        some_heads = min(2 * some_heads, HEADS)
         # Each round holds a bucket's members against up to 64 of them, and goes on with those that match none.
         # Of shingles with the very same members, one will do.
         who = (F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id")).alias("y"))
@@ -219,7 +221,7 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFr
         if sizes.isEmpty():
             break
         members = work.put(tokens.join(sizes, "key"), "members")
-        some = members.where(F.col("n") > few).groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(HEADS)).alias("h")).agg(F.min("doc_id").alias("a"))
+        some = members.where(F.col("n") > few).groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(some_heads)).alias("h")).agg(F.min("doc_id").alias("a"))
         firsts = work.put(some.select("key", "a"), "heads")
         tried = work.put(members.where(F.col("n") > few).join(firsts, "key").select("key", "a", F.col("doc_id").alias("b")), "tried")
         small = members.where(F.col("n") <= few)
