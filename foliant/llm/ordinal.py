@@ -8,10 +8,11 @@ the word before.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.kernels import NOT_SPACE, U, Block, mix, per_block, row_sums, span_hash, text_buffers
+from foliant.llm.kernels import NOT_SPACE, U, Block, blocks, mix, per_block, row_sums, span_hash, text_buffers
 from foliant.llm.training import fold, labelled_sample
 
 BITS = 17
@@ -91,6 +92,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 2500) -> CumulativeLi
     return CumulativeLink(labelled_sample(docs, labels, "quality", most, seed=2))
 
 
+def tail(model):
+    """A column function of text: the probability of reaching the highest grade."""
+
+    @F.pandas_udf("double")
+    def probability(text: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
+        parts = [model.value.tails(block)[:, -1] for _, block in blocks(batch)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return probability
+
+
 def grade(docs: DataFrame, labels: DataFrame, *, most: int = 2500, least_grade: float | None = None, least_tail: float = 0.5) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability, kept: one row per row of docs.
 

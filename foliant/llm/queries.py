@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import embed, near, ordinal, packing, quality_rules, spm, toxicity, urls
+from foliant.llm import embed, near, ordinal, packing, quality_rules, spm, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -49,5 +53,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op8_embedding_near_dedup, op9_minhash_near_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_suffix_array_dedup, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op8_embedding_near_dedup, op9_minhash_near_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}

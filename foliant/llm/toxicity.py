@@ -8,10 +8,11 @@ language serves to calibrate thresholds, which set the verdict, never the score.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.kernels import LETTERS, LOWER, U, Block, mix, per_block, span_hash, text_buffers
+from foliant.llm.kernels import LETTERS, LOWER, U, Block, blocks, mix, per_block, span_hash, text_buffers
 from foliant.llm.training import fold, labelled_sample
 
 PREFIXES = (4, 5, 6)
@@ -189,6 +190,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 3000) -> Classifier:
     return Classifier(labelled_sample(docs, labels, "toxic", most))
 
 
+def rejection(model):
+    """A column function of (text, lang): whether the score reaches the threshold of the language."""
+
+    @F.pandas_udf("boolean")
+    def reject(text: pd.Series, lang: pd.Series) -> pd.Series:
+        out = np.zeros(len(text), bool)
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
+        cut = np.array([model.value.thresholds.get(x or "", 0.5) for x in lang])
+        at = 0
+        for part, block in blocks(batch):
+            out[at : at + block.rows] = model.value.score(block) >= cut[at : at + block.rows]
+            at += block.rows
+        return pd.Series(out)
+
+    return reject
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, most: int = 3000) -> DataFrame:
     """doc_id, held_out, score, predicted, rejected: one row per row of docs.
 
