@@ -4,7 +4,9 @@ Every text gets 48 consistent weighted samples of its five-word shingles, in twe
 all members are held against its first one, so that a large group of copies costs one comparison each. Of those
 that fail, a small bucket has all its pairs compared. Members of a large one, which share a passage but not enough
 else, are split exactly by the prefix filter: ordered from rare to frequent, similar texts share a shingle among
-those that come before the last 0.8 of their weights, and for such texts these are mostly their own. Each comparison is verified on the whole weighted sets.
+those that come before the last 0.8 of their weights, and for such texts these are mostly their own. At the first
+shingle that two texts share, what is left of both bounds their overlap; so the lighter of two similar texts holds
+it among those before the last 2 * 0.8 / 1.8 of its weight, and a bucket only compares such members with others. Each comparison is verified on the whole weighted sets.
 
 The inverse document frequency is ln(1 + N / (df + N / 2)): the added half damps it, so that what a group of near
 copies shares isn't outweighed by its few edits. Frequencies are counted in a table of 2**16 hash buckets, whose
@@ -25,7 +27,7 @@ from foliant.workspace import Workspace
 
 WORDS = 5
 BANDS, ROWS = 12, 4
-HEADS = 64
+HEADS = 256
 DF_BITS = 16
 ID_BITS = 44
 _ID = U((1 << ID_BITS) - 1)
@@ -126,7 +128,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def weighted_sets(docs: DataFrame, idf, least: float) -> DataFrame:
-    """doc_id, sorted 32-bit shingle ids, their weights, and the ids of the prefix for similarities from `least`."""
+    """doc_id, sorted 32-bit shingle ids, their weights and total, the ids of the prefix for similarities from `least`, and what of the total is left at each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +141,14 @@ def weighted_sets(docs: DataFrame, idf, least: float) -> DataFrame:
                 for a, b in zip(first, first[1:]):
                     order = np.lexsort((small[a:b], -rarity[a:b]))
                     before = np.cumsum(weights[a:b][order], dtype=float)
-                    short = int(np.searchsorted(before, (1 - least) * (before[-1] if b > a else 0) * (1 + 1e-6), "right")) + 1
-                    cells.append((small[a:b].tobytes(), weights[a:b].tobytes(), np.unique(small[a:b][order[:short]]).view(np.int32)))
-                columns = [pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "ids", "weights", "prefix"])
+                    total = before[-1] if b > a else 0.0
+                    short = int(np.searchsorted(before, (1 - least) * total * (1 + 1e-6), "right")) + 1
+                    left = np.concatenate([[total], total - before])[:short]
+                    cells.append((small[a:b].tobytes(), weights[a:b].tobytes(), total, small[a:b][order[:short]].view(np.int32), left[: b - a]))
+                columns = [pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "ids", "weights", "total", "prefix", "left"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, weights binary, prefix array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, weights binary, total double, prefix array<int>, left array<double>")
 
 
 def weighted_jaccard(ids_a: np.ndarray, w_a: np.ndarray, ids_b: np.ndarray, w_b: np.ndarray) -> float:
@@ -203,34 +207,34 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFr
     small = failed.where(F.col("n") <= few).select(*key, "doc_id")
     pairs = pair(small.select(*key, F.col("doc_id").alias("a")).join(small.select(*key, F.col("doc_id").alias("b")), key))
     edges = edges.unionByName(work.put(verify(pairs, sets, least), "verified"))
-    large = failed.where(F.col("n") > few).select("doc_id").distinct().join(sets.select("doc_id", "prefix"), "doc_id")
+    large = failed.where(F.col("n") > few).select("doc_id").distinct().join(sets.select("doc_id", "total", "prefix", "left"), "doc_id")
     # What is in one component already needs no further link.
     roots = components(work, edges).select(F.col("node").alias("doc_id"), "root")
-    large = work.put(large.join(roots, "doc_id", "left").select("doc_id", "prefix", F.coalesce("root", "doc_id").alias("root")), "large")
-    tokens = large.select("doc_id", "root", F.explode("prefix").alias("key"))
-    mixed = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    tokens = work.put(tokens.join(work.put(mixed, "mixed"), "key").select("doc_id", "root", "key"), "prefixes")
-    some_heads = 2
+    large = work.put(large.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "large")
+    tokens = large.select("doc_id", "root", "total", F.explode(F.arrays_zip("prefix", "left")).alias("at")).select("doc_id", "root", "total", F.col("at.prefix").alias("key"), F.col("at.left").alias("left"))
+    # The greatest total that a similar text can have, if this is the first shingle in common.
+    tokens = tokens.select("doc_id", "root", "key", "total", (F.col("left") * ((1 + least) / least) * (1 + 1e-5) - F.col("total")).alias("most"))
+    tokens = work.put(tokens.withColumn("light", F.col("most") >= F.col("total") * (1 - 1e-5)), "prefixes")
     while True:
-        some_heads = min(2 * some_heads, HEADS)
-        # Each round holds a bucket's members against up to 64 of them, and goes on with those that match none.
+        # A bucket's light members, up to 256 in a round, are held against all of its members.
         # Of shingles with the very same members, one will do.
-        who = (F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id")).alias("y"))
-        sizes = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low != high")
+        who = (F.bit_xor(F.xxhash64("doc_id", "light")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id", "light")).alias("y"))
+        sizes = tokens.groupBy("key").agg(F.count_if("light").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low != high and n > 0")
         sizes = work.put(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "sizes")
         if sizes.isEmpty():
             break
         members = work.put(tokens.join(sizes, "key"), "members")
-        some = members.where(F.col("n") > few).groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(some_heads)).alias("h")).agg(F.min("doc_id").alias("a"))
-        firsts = work.put(some.select("key", "a"), "heads")
-        tried = work.put(members.where(F.col("n") > few).join(firsts, "key").select("key", "a", F.col("doc_id").alias("b")), "tried")
-        small = members.where(F.col("n") <= few)
-        pairs = small.select("key", F.col("doc_id").alias("a"), "root").join(small.select("key", F.col("doc_id").alias("b"), F.col("root").alias("root_b")), "key").where("root != root_b")
-        found = work.put(verify(pair(pairs.select("a", "b").unionByName(tried.select("a", "b"))), sets, least), "verified")
-        edges = edges.unionByName(found)
-        done = found.select("a", "b").union(found.select("b", "a")).union(firsts.select("a", F.col("a").alias("b")))
-        matched = tried.join(done.distinct(), ["a", "b"], "left_semi").select("key", F.col("b").alias("doc_id")).distinct()
-        tokens = work.put(members.where(F.col("n") > few).select("key", "doc_id", "root").join(matched, ["key", "doc_id"], "left_anti"), "prefixes")
+        firsts = members.where("light").groupBy("key", F.when(F.col("n") <= HEADS, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(HEADS))).alias("h"))
+        firsts = work.put(firsts.agg(F.min(F.struct("doc_id", "root", "total", "most")).alias("f")).select("key", F.col("f.doc_id").alias("a"), F.col("f.root").alias("root_a"), F.col("f.total").alias("total_a"), F.col("f.most").alias("most_a")), "heads")
+        fits = (F.col("root") != F.col("root_a")) & (F.col("total") >= F.col("total_a") * (1 - 1e-5)) & (F.col("total") <= F.col("most_a")) & (F.col("total_a") <= F.col("most"))
+        pairs = members.join(firsts, "key").where(fits).select("a", F.col("doc_id").alias("b"))
+        edges = edges.unionByName(work.put(verify(pair(pairs), sets, least), "verified"))
+        if members.where(F.col("n") > HEADS).isEmpty():
+            break
+        roots = components(work, edges).select(F.col("node").alias("doc_id"), F.col("root").alias("now"))
+        over = members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+        over = over.where(F.col("n") > HEADS).drop("n")
+        tokens = work.put(over.join(firsts.select("key", F.col("a").alias("doc_id"), F.lit(False).alias("still")), ["key", "doc_id"], "left").withColumn("light", F.col("light") & F.col("still").isNull()).drop("still"), "prefixes")
     roots = components(work, edges)
     classes = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n_copies", F.coalesce("root", "rep").alias("component_id"))
     classes = work.put(classes, "classes")
