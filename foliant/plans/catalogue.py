@@ -1,10 +1,422 @@
-"""Named queries with their DuckDB equivalents."""
+"""Named queries with their DuckDB equivalents.
+
+Books are the sources of `documents`, chapters its rows, blocks their lines with text (paragraphs).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from foliant.functions import cost, text as T
+from foliant.operators import blocks as B, condense as C
+from foliant.sources import html as H
+from foliant.streaming import checkpoint as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+RATIO, CHUNK = 0.3, 500
+
+LINES = """lines AS (SELECT source AS book, doc_id AS chapter, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS block_index, text,
+  CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens
+  FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+  WHERE trim(text, ' ') <> '')"""
+CHUNKS = f"""RECURSIVE {LINES}, greedy AS (
+  SELECT book, chapter, block_index, text, tokens, tokens AS held, 1 AS chunk_no FROM lines WHERE block_index = 0
+  UNION ALL SELECT l.book, l.chapter, l.block_index, l.text, l.tokens,
+    CASE WHEN g.held + l.tokens > {CHUNK} THEN l.tokens ELSE g.held + l.tokens END,
+    CASE WHEN g.held + l.tokens > {CHUNK} THEN g.chunk_no + 1 ELSE g.chunk_no END
+  FROM greedy g JOIN lines l ON l.chapter = g.chapter AND l.block_index = g.block_index + 1)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def title() -> Column:
+    return F.concat(F.lit("Chapter "), F.col("doc_id").cast("string"))
+
+
+@query(f"""WITH {LINES} SELECT d.source AS book, (SELECT coalesce(sum(tokens), 0) FROM lines WHERE book = d.source)::BIGINT AS block_tokens,
+  sum(greatest(1, length('Chapter ' || d.doc_id) // 4))::BIGINT AS title_tokens FROM documents d GROUP BY d.source""")
+def doc_token_counts(spark, d):
+    own = docs(spark, d).select(F.col("source").alias("book"), T.count_tokens(title()).alias("title"), F.aggregate(T.lines_of(F.col("text")), F.lit(0).cast("long"), lambda s, x: s + T.count_tokens(x)).alias("t"))
+    return own.groupBy("book").agg(F.sum("t").alias("block_tokens"), F.sum("title").cast("long").alias("title_tokens"))
+
+
+@query(f"WITH {CHUNKS} SELECT book, chapter, block_index, chunk_no FROM greedy")
+def greedy_chunks(spark, d):
+    return B.chunked(docs(spark, d), CHUNK).select("book", "chapter", "block_index", "chunk_no")
+
+
+@query(f"WITH {CHUNKS} SELECT chapter, 'ch' || chapter || '-' || chunk_no AS chunk_id, count(*) AS blocks, sum(tokens)::BIGINT AS token_count FROM greedy GROUP BY chapter, chunk_no")
+def chunk_summary(spark, d):
+    g = B.chunked(docs(spark, d), CHUNK).groupBy("chapter", "chunk_no").agg(F.count("*").alias("blocks"), F.sum("tokens").alias("token_count"))
+    return g.select("chapter", F.format_string("ch%s-%s", F.col("chapter").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "blocks", "token_count")
+
+
+@query(f"""WITH {CHUNKS}, last AS (SELECT book, chapter, chunk_no, arg_max(text, block_index) AS t FROM greedy GROUP BY ALL)
+  SELECT book, chapter, chunk_no, right(trim(lag(t) OVER (PARTITION BY book, chapter ORDER BY chunk_no), ' '), 400) AS prev_context FROM last""")
+def chunk_prev_context(spark, d):
+    return B.previous_context(B.chunked(docs(spark, d), CHUNK))
+
+
+@query(f"WITH {LINES} SELECT chapter, sum(tokens)::BIGINT AS input_tokens, greatest(round_even(sum(tokens) * {RATIO}::DOUBLE, 0)::BIGINT, 100) AS target_tokens FROM lines GROUP BY chapter")
+def chapter_budget(spark, d):
+    g = B.paragraphs(docs(spark, d)).groupBy("chapter").agg(F.sum("tokens").alias("input_tokens"))
+    return g.select("chapter", "input_tokens", cost.target_tokens(F.col("input_tokens"), RATIO).alias("target_tokens"))
+
+
+_BOOKS = f"""WITH {CHUNKS}, b AS (SELECT book, count(DISTINCT chapter) AS chapters, count(DISTINCT (chapter, chunk_no)) AS chunks, sum(tokens)::DOUBLE AS n FROM greedy GROUP BY book)"""
+
+
+@query(f"""{_BOOKS}, c AS (SELECT *, n * {RATIO}::DOUBLE * 1.3::DOUBLE AS c, n * {RATIO}::DOUBLE * 1.3::DOUBLE * 0.9::DOUBLE AS s FROM b)
+  SELECT book, n::BIGINT AS input_tokens, chapters, chunks,
+  round_even((n + 900 * chunks) + (c + 500 * chapters) + (s * 0.5::DOUBLE + 500 * (chapters * 0.5::DOUBLE)), 0)::BIGINT AS prompt_tokens,
+  round_even(c * 1.55::DOUBLE + s * 1.55::DOUBLE + s * 0.5::DOUBLE * 0.94::DOUBLE * 1.55::DOUBLE, 0)::BIGINT AS completion_tokens,
+  round_even(chunks + chapters + chapters * 0.5::DOUBLE, 0)::BIGINT AS calls, greatest(1, round_even(n / 450, 0)::BIGINT) AS pages,
+  round_even(n * {RATIO}::DOUBLE, 0)::BIGINT AS estimated_output_tokens FROM c""")
+def dry_run_estimate(spark, d):
+    g = B.chunked(docs(spark, d), CHUNK).groupBy("book", "chapter").agg(F.max("chunk_no").alias("chunks"), F.sum("tokens").alias("n"))
+    g = g.groupBy("book").agg(F.sum("n").alias("input_tokens"), F.count("*").alias("chapters"), F.sum("chunks").alias("chunks"))
+    n = F.col("input_tokens")
+    return g.select("book", "input_tokens", "chapters", "chunks", *(c.alias(k) for k, c in cost.condense_traffic(n, F.col("chapters"), F.col("chunks"), RATIO).items()), cost.pages(n).alias("pages"), F.rint(n.cast("double") * RATIO).cast("long").alias("estimated_output_tokens"))
+
+
+@query(f"""WITH {LINES}, u AS (SELECT book, sum(tokens)::DOUBLE AS n, count(*) + count(DISTINCT chapter) AS units FROM lines GROUP BY book)
+  SELECT book, units, round_even(n + 500 * ceil(units / 40.0), 0)::BIGINT AS prompt_tokens, round_even(n * 1.15::DOUBLE * 1.55::DOUBLE, 0)::BIGINT AS completion_tokens, ceil(units / 40.0)::BIGINT AS calls FROM u""")
+def translate_estimate(spark, d):
+    g = B.paragraphs(docs(spark, d)).groupBy("book", "chapter").agg(F.sum("tokens").alias("n"), (F.count("*") + 1).alias("u")).groupBy("book").agg(F.sum("n").alias("n"), F.sum("u").alias("units"))
+    return g.select("book", "units", *(c.alias(k) for k, c in cost.translate_traffic(F.col("n"), F.col("units")).items()))
+
+
+@query(f"WITH {LINES} SELECT chapter, block_index, block_index // 40 * 40 AS batch_start, 'tr:' || chapter || ':' || (block_index // 40 * 40) AS batch_key FROM lines")
+def translate_batches(spark, d):
+    u = B.unit_batches(B.paragraphs(docs(spark, d)), ["chapter"], "block_index")
+    return u.select("chapter", "block_index", "batch_start", F.concat(F.lit("tr:"), F.col("chapter").cast("string"), F.lit(":"), F.col("batch_start").cast("string")).alias("batch_key"))
+
+
+# Every third line stands for another type, so that runs break.
+_TYPED = f"""WITH {LINES}, typed AS (SELECT chapter, block_index, text, CASE WHEN block_index % 7 = 0 THEN 'heading' WHEN block_index % 7 = 3 THEN 'code' WHEN block_index % 7 = 5 THEN 'image' WHEN block_index % 7 = 6 THEN 'quote' ELSE 'paragraph' END AS type FROM lines),
+  r AS (SELECT *, type IN ('paragraph', 'quote', 'list') AS prose FROM typed), s AS (SELECT *, prose AND NOT coalesce(lag(prose) OVER (PARTITION BY chapter ORDER BY block_index), false) AS st FROM r),
+  runs AS (SELECT chapter, block_index, text, type, CASE WHEN prose THEN 'text' WHEN type = 'image' THEN 'image' ELSE 'keep' END AS kind, CASE WHEN prose THEN sum(st::INT) OVER (PARTITION BY chapter ORDER BY block_index) END::INT AS run_id FROM s)"""
+
+
+def typed(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("block_index") % 7
+    kind = F.when(i == 0, "heading").when(i == 3, "code").when(i == 5, "image").when(i == 6, "quote").otherwise("paragraph")
+    return B.paragraphs(docs(spark, d)).select("chapter", "block_index", "text", kind.alias("type"))
+
+
+@query(f"{_TYPED} SELECT chapter, block_index, kind, coalesce(run_id, 0) AS run_id FROM runs")
+def segment_runs(spark, d):
+    return B.runs(typed(spark, d), ["chapter"]).select("chapter", "block_index", "kind", F.coalesce("run_id", F.lit(0)).alias("run_id"))
+
+
+@query(f"""{_TYPED}, n AS (SELECT *, row_number() OVER (PARTITION BY chapter, run_id ORDER BY block_index) AS k FROM runs WHERE run_id IS NOT NULL)
+  SELECT chapter, run_id, string_agg('[BLOCK ' || k || ' type=' || type || ']' || chr(10) || text, chr(10) ORDER BY k) AS body FROM n GROUP BY chapter, run_id""")
+def run_serialize(spark, d):
+    return C.serialize_runs(B.runs(typed(spark, d), ["chapter"]), ["chapter"])
+
+
+@query(f"""{_TYPED} SELECT chapter, block_index, last_value(CASE WHEN type IN ('heading', 'paragraph', 'quote') THEN text END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  first_value(CASE WHEN type IN ('heading', 'paragraph', 'quote') THEN text END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY block_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM runs QUALIFY type = 'image'""")
+def nearest_text_context(spark, d):
+    return B.nearest_text(typed(spark, d), ["chapter"]).where("type = 'image'").select("chapter", "block_index", "before", "after")
+
+
+_PRINT = f"WITH {CHUNKS}, p AS (SELECT chapter, chunk_no, sha1('v1' || chr(0) || '0.3' || chr(0) || string_agg(text, chr(10) ORDER BY block_index) || chr(0)) AS fingerprint FROM greedy GROUP BY chapter, chunk_no)"
+
+
+def _fingerprints(spark, d):
+    g = B.chunked(docs(spark, d), CHUNK).groupBy("chapter", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("block_index", "text"))).alias("b"))
+    return g.select("chapter", "chunk_no", T.fingerprint(F.lit("v1"), F.lit("0.3"), F.array_join(F.col("b.text"), "\n")).alias("fingerprint"))
+
+
+@query(f"{_PRINT} SELECT * FROM p")
+def fingerprint_chunks(spark, d):
+    return _fingerprints(spark, d)
+
+
+# The log of an earlier run: even chapters, of which those divisible by 4 have changed since.
+_LOG = "log AS (SELECT chapter, chunk_no, CASE WHEN chapter % 4 = 0 THEN 'old' ELSE fingerprint END AS fingerprint FROM p WHERE chapter % 2 = 0)"
+
+
+def _earlier(p: DataFrame) -> DataFrame:
+    return p.where("chapter % 2 = 0").withColumn("fingerprint", F.when(F.col("chapter") % 4 == 0, "old").otherwise(F.col("fingerprint")))
+
+
+@query(f"{_PRINT}, {_LOG} SELECT p.chapter, p.chunk_no FROM p JOIN log USING (chapter, chunk_no, fingerprint)")
+def resume_cache_hits(spark, d):
+    p = _fingerprints(spark, d)
+    return K.reuse(p, _earlier(p), ["chapter", "chunk_no"])[0].select("chapter", "chunk_no")
+
+
+@query(f"{_PRINT}, {_LOG} SELECT p.chapter, p.chunk_no FROM p ANTI JOIN log USING (chapter, chunk_no, fingerprint)")
+def resume_cache_misses(spark, d):
+    p = _fingerprints(spark, d)
+    return K.reuse(p, _earlier(p), ["chapter", "chunk_no"])[1].select("chapter", "chunk_no")
+
+
+@query("SELECT user_id, event_type, arg_max(props, event_id) AS props FROM events GROUP BY user_id, event_type")
+def checkpoint_last_write_wins(spark, d):
+    return K.last_writes(table(spark, d, "events"), ["user_id", "event_type"], "event_id", "props")
+
+
+@query("SELECT event_id, json_extract_string('{' || split_part(props, '{', 2), '$.k') AS k FROM events WHERE props LIKE '%{%'")
+def checkpoint_json_decode(spark, d):
+    v = T.json_object(F.concat(F.lit("```json\n"), "props", F.lit("\n``` done")))
+    return table(spark, d, "events").where("props like '%{%'").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"))
+
+
+_IMG = "a AS (SELECT source AS doc, 'img' || (doc_id % 97) AS image_id, min(doc_id) AS first FROM documents GROUP BY ALL), r AS (SELECT DISTINCT source AS doc, 'img' || (doc_id % 101) AS image_id FROM documents WHERE n_chars % 2 = 0)"
+
+
+def _images(spark, d):
+    name = lambda n: F.concat(F.lit("img"), (F.col("doc_id") % n).cast("string")).alias("image_id")
+    x = docs(spark, d)
+    assets = x.groupBy(F.col("source").alias("doc"), name(97)).agg(F.min("doc_id").alias("first"))
+    return B.select_assets(assets, x.where("n_chars % 2 = 0").select(F.col("source").alias("doc"), name(101)).distinct())
+
+
+@query(f"WITH {_IMG} SELECT a.* FROM a SEMI JOIN r USING (doc, image_id)")
+def image_select_kept(spark, d):
+    return _images(spark, d)[0]
+
+
+@query(f"WITH {_IMG} SELECT a.* FROM a ANTI JOIN r USING (doc, image_id)")
+def image_select_dropped(spark, d):
+    return _images(spark, d)[1]
+
+
+@query(f"WITH {_IMG} SELECT r.* FROM r ANTI JOIN a USING (doc, image_id)")
+def image_select_dangling(spark, d):
+    return _images(spark, d)[2]
+
+
+@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS parsed, coalesce(l.quality::DOUBLE >= 0.5, true) AS keep FROM documents d LEFT JOIN labels l USING (doc_id)")
+def vision_keep(spark, d):
+    v = table(spark, d, "labels").select("doc_id", F.coalesce(F.try_to_number(F.col("quality").cast("string"), F.lit("9")).cast("double"), F.lit(0.0)).alias("score"), F.lit(True).alias("parsed"))
+    keep = F.coalesce((F.col("score") >= 0.5) & ~F.isnan("score"), F.lit(True))
+    return docs(spark, d).join(v, "doc_id", "left").select("doc_id", F.coalesce("parsed", F.lit(False)).alias("parsed"), keep.alias("keep"))
+
+
+@query("""WITH m(model) AS (VALUES ('gemini-3.6-flash'), ('openai/gpt-5.6-luna'), ('other/model')), c(model, ask, over) AS (VALUES ('gemini-3.6-flash', 0.85::DOUBLE, 1.3::DOUBLE), ('openai/gpt-5.6-luna', 0.67::DOUBLE, 1.3::DOUBLE))
+  SELECT model, coalesce(ask, 1.0::DOUBLE) AS ask_factor, coalesce(over, 1.3::DOUBLE) AS overshoot, ask IS NOT NULL AS calibrated FROM m LEFT JOIN c USING (model)""")
+def calibration_lookup(spark, d):
+    return cost.calibrated(spark.createDataFrame([("gemini-3.6-flash",), ("openai/gpt-5.6-luna",), ("other/model",)], "model string"), spark)
+
+
+@query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS calls, coalesce(sum(greatest(1, length(text) // 4)) FILTER (WHERE role <> 'assistant' AND text <> ''), 0)::BIGINT AS prompt_tokens,
+  coalesce(sum(greatest(1, length(text) // 4)) FILTER (WHERE role = 'assistant' AND text <> ''), 0)::BIGINT AS completion_tokens FROM conversations GROUP BY conv_id""")
+def usage_totals(spark, d):
+    said, n = F.col("role") == "assistant", T.count_tokens(F.col("text"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.when(said, 1)).alias("calls"), total(~said).alias("prompt_tokens"), total(said).alias("completion_tokens"))
+
+
+# The default provider keeps the first words of each block; one of ten doubles its text instead, as a bad reply would.
+_OUT = f"""WITH {CHUNKS}, o AS (SELECT *, array_to_string(list_slice(string_split(text, ' '), 1, greatest(1, round_even({RATIO}::DOUBLE * len(string_split(text, ' ')), 0)::BIGINT)), ' ') AS out FROM greedy),
+  t AS (SELECT *, CASE WHEN out = '' THEN 0 ELSE greatest(1, length(out) // 4) END AS out_tokens FROM o)"""
+
+
+def _condensed(spark, d):
+    g = B.chunked(docs(spark, d), CHUNK).withColumn("out", C.extract(F.col("text"), RATIO))
+    return g.withColumn("out_tokens", T.count_tokens(F.col("out")))
+
+
+@query(f"{_OUT} SELECT chapter, block_index, out FROM t")
+def extractive_condense(spark, d):
+    return _condensed(spark, d).select("chapter", "block_index", "out")
+
+
+@query(f"{_OUT} SELECT book, sum(tokens)::BIGINT AS input_tokens, sum(out_tokens)::BIGINT AS output_tokens, sum(out_tokens)::DOUBLE / sum(tokens)::DOUBLE AS kept_ratio FROM t GROUP BY book")
+def condense_ratio_report(spark, d):
+    g = _condensed(spark, d).groupBy("book").agg(F.sum("tokens").alias("input_tokens"), F.sum("out_tokens").alias("output_tokens"))
+    return g.withColumn("kept_ratio", F.col("output_tokens").cast("double") / F.col("input_tokens").cast("double"))
+
+
+@query(f"{_OUT} SELECT chapter, chunk_no, sum(out_tokens) > 0.35 * sum(tokens) AS over_length FROM t GROUP BY chapter, chunk_no")
+def over_length_flags(spark, d):
+    return _condensed(spark, d).groupBy("chapter", "chunk_no").agg((F.sum("out_tokens") > 0.35 * F.sum("tokens")).alias("over_length"))
+
+
+@query(f"{_OUT}, r AS (SELECT book, sum(out_tokens)::DOUBLE / sum(tokens)::DOUBLE AS kept_ratio FROM t GROUP BY book) SELECT book, kept_ratio FROM r WHERE kept_ratio > 0 AND kept_ratio < 0.5::DOUBLE * 0.75::DOUBLE")
+def undershoot_warnings(spark, d):
+    return C.undershoots(condense_ratio_report(spark, d), 0.5).select("book", "kept_ratio")
+
+
+_SYN = f"""{_OUT}, c AS (SELECT chapter, sum(tokens)::BIGINT AS n, sum(out_tokens)::BIGINT AS o, max(chunk_no) AS chunks, greatest(round_even(0.2::DOUBLE * sum(tokens), 0)::BIGINT, 100) AS target FROM t GROUP BY chapter),
+  p AS (SELECT *, NOT (chunks = 1 AND o <= target) AS smoothed FROM c), q AS (SELECT *, CASE WHEN smoothed THEN round_even(o * 0.9::DOUBLE, 0)::BIGINT ELSE o END AS s FROM p),
+  z AS (SELECT *, (smoothed AND s > target * 1.15::DOUBLE)::INT AS trim_passes FROM q)"""
+
+
+@query(f"{_SYN} SELECT chapter, n AS input_tokens, target AS target_tokens, CASE WHEN trim_passes = 1 THEN round_even(s * 0.94::DOUBLE, 0)::BIGINT ELSE s END AS output_tokens, smoothed FROM z")
+def synthesize_chapters(spark, d):
+    return C.synthesize(_condensed(spark, d), 0.2).select("chapter", "input_tokens", "target_tokens", "output_tokens", "smoothed")
+
+
+@query(f"{_SYN} SELECT trim_passes, count(*) AS chapters FROM z GROUP BY trim_passes")
+def trim_pass_counts(spark, d):
+    return C.synthesize(_condensed(spark, d), 0.2).groupBy("trim_passes").agg(F.count("*").alias("chapters"))
+
+
+@query(r"""SELECT doc_id, pos - 1 AS pos, p AS paragraph FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || ' ' || chr(10)), '\n\s*\n'), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> '') AS ps FROM documents))""")
+def split_paragraphs(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(T.split_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n \n")))).alias("pos", "paragraph")).withColumn("pos", F.col("pos").cast("long"))
+
+
+_LANGS = ("Spanish", "es-MX", "ES_mx", "german", "Klingon", "fr", " Spanish (Latin America)", "", "zh-Hant", "x")
+
+
+@query("WITH m(lang, tag) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_LANGS, ("es", "es-MX", "es-mx", "de", "und", "fr", "es", "und", "zh-Hant", "und"))) + ") SELECT * FROM m")
+def bcp47_lang(spark, d):
+    return spark.createDataFrame([(x,) for x in _LANGS], "lang string").select("lang", T.to_bcp47(F.col("lang")).alias("tag"))
+
+
+_TOC = "toc AS (SELECT source AS doc, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS ord, 'T' || doc_id AS title, (doc_id % 40)::INT AS start_page FROM documents WHERE n_chars % 5 = 0)"
+
+
+@query(f"""WITH {_TOC}, t AS (SELECT *, lead(start_page) OVER (PARTITION BY doc ORDER BY start_page, ord) AS end_page FROM toc), pages AS (SELECT doc, page::INT AS page FROM (SELECT DISTINCT source AS doc FROM documents), range(60) r(page))
+  SELECT pages.doc, page, ord, title FROM pages JOIN t ON pages.doc = t.doc AND page >= start_page AND (end_page IS NULL OR page < end_page)""")
+def toc_chapters(spark, d):
+    x = docs(spark, d)
+    toc = x.where("n_chars % 5 = 0").select(F.col("source").alias("doc"), (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).alias("ord"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), (F.col("doc_id") % 40).cast("int").alias("start_page"))
+    pages = x.select(F.col("source").alias("doc")).distinct().select("doc", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("page"))
+    return B.pages_to_chapters(pages, toc)
+
+
+# Lines of a laid-out page: 40 a page, 12 high, every seventh after a gap, some large or in a code font.
+_PDF = f"""WITH {LINES}, pdf AS (SELECT chapter AS doc, block_index // 40 AS page, block_index AS line_no, (block_index % 40) * 14 + (block_index % 40) // 7 * 20 AS top, (block_index % 40) * 14 + (block_index % 40) // 7 * 20 + 12 AS bottom,
+  left(text, 20) AS text, CASE WHEN block_index % 11 = 4 THEN 'Courier' ELSE 'Times' END AS font, (CASE WHEN block_index % 13 = 0 THEN 18 WHEN block_index % 17 = 5 THEN 14 ELSE 10 END)::DOUBLE AS size FROM lines)"""
+
+
+def _pdf(spark, d):
+    i = F.col("block_index")
+    top = (i % 40) * 14 + F.floor((i % 40) / 7).cast("int") * 20
+    return B.paragraphs(docs(spark, d)).select(
+        F.col("chapter").alias("doc"), F.floor(i / 40).cast("int").alias("page"), i.alias("line_no"), top.alias("top"), (top + 12).alias("bottom"), F.left("text", F.lit(20)).alias("text"),
+        F.when(i % 11 == 4, "Courier").otherwise("Times").alias("font"), F.when(i % 13 == 0, 18.0).when(i % 17 == 5, 14.0).otherwise(10.0).alias("size"),
+    )
+
+
+@query(f"{_PDF} SELECT doc, page, line_no FROM pdf WHERE NOT EXISTS (SELECT 1 FROM (VALUES (0, 30, 90), (1, 200, 260)) t(page, top, bottom) WHERE t.page = pdf.page AND (pdf.top + pdf.bottom) / 2 BETWEEN t.top AND t.bottom)")
+def table_line_exclusion(spark, d):
+    lines = _pdf(spark, d)
+    areas = spark.createDataFrame([(0, 30, 90), (1, 200, 260)], "page int, top int, bottom int")
+    return B.outside_tables(lines, lines.select("doc").distinct().crossJoin(F.broadcast(areas))).select("doc", "page", "line_no")  # two areas a book
+
+
+_KIND = f"""{_PDF}, b AS (SELECT doc, coalesce(median(size) FILTER (WHERE font <> 'Courier'), 11) AS body FROM pdf GROUP BY doc),
+  k AS (SELECT pdf.*, body, CASE WHEN font = 'Courier' THEN 'code' WHEN size >= 1.25 * body THEN 'heading' ELSE 'body' END AS kind FROM pdf JOIN b USING (doc))"""
+
+
+@query(f"{_KIND} SELECT doc, page, line_no, kind FROM k")
+def pdf_line_classify(spark, d):
+    return B.classify_lines(_pdf(spark, d)).select("doc", "page", "line_no", "kind")
+
+
+@query(f"""{_KIND}, f AS (SELECT *, (kind = 'heading' OR lag(kind) OVER w IS NULL OR lag(kind) OVER w <> kind OR (kind = 'body' AND top - lag(bottom) OVER w > 0.6 * 12))::INT AS new FROM k WINDOW w AS (PARTITION BY doc, page ORDER BY top, line_no)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY doc, page ORDER BY top, line_no)::INT AS island FROM f)
+  SELECT doc, page, island, CASE WHEN any_value(kind) = 'body' THEN 'paragraph' ELSE any_value(kind) END AS type, CASE WHEN any_value(kind) = 'heading' THEN CASE WHEN max(size / body) >= 1.6 THEN 1 ELSE 2 END ELSE 0 END AS level,
+  CASE WHEN any_value(kind) = 'code' THEN string_agg(text, chr(10) ORDER BY top, line_no) ELSE string_agg(text, ' ' ORDER BY top, line_no) END AS text FROM g GROUP BY doc, page, island""")
+def pdf_blocks(spark, d):
+    return B.line_blocks(B.classify_lines(_pdf(spark, d))).withColumn("level", F.coalesce("level", F.lit(0)))
+
+
+@query("""SELECT doc, doc_id AS chapter, 'pdfimg-' || left(h, 16) AS image_id FROM (SELECT source AS doc, doc_id, sha256(left(text, 12)) AS h FROM documents) QUALIFY row_number() OVER (PARTITION BY doc, h ORDER BY doc_id) = 1""")
+def asset_dedupe(spark, d):
+    x = docs(spark, d).select(F.col("source").alias("doc"), F.col("doc_id").alias("chapter"), F.lit(0).alias("page"), F.lit(0).alias("pos"), F.left("text", F.lit(12)).cast("binary").alias("data"))
+    return B.first_of_content(x).select("doc", "chapter", "image_id")
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' ' || chr(10)) AS title FROM pages")
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", T.strip(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"))
+
+
+@query()
+def page_blocks(spark, d):
+    return H.blocks(table(spark, d, "pages"), "page_id", "html")
+
+
+@query()
+def page_list_items(spark, d):
+    return H.blocks(table(spark, d, "pages"), "page_id", "html").where("type = 'list'").select("page_id", "block_index", F.posexplode("items").alias("pos", "item"))
+
+
+@query()
+def sanitize_inline(spark, d):
+    b = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p[^>]*>(.*?)</p>"), 1)).alias("pos", "raw"))
+    return b.select("page_id", "pos", H.sanitize("raw").alias("rich"))
+
+
+@query()
+def strip_tags(spark, d):
+    return sanitize_inline(spark, d).select("page_id", "pos", H.strip_tags("rich").alias("text"))
+
+
+@query()
+def tag_signature(spark, d):
+    return sanitize_inline(spark, d).select("page_id", "pos", H.tag_signature(F.col("rich")).alias("tags"))
+
+
+@query(f"{_TYPED}, m AS (SELECT *, CASE type WHEN 'heading' THEN '## ' || text WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' WHEN 'quote' THEN '> ' || text WHEN 'image' THEN '![' || text || '](images/' || block_index || '.png)' ELSE text END AS md FROM typed) SELECT chapter, string_agg(md, chr(10) || chr(10) ORDER BY block_index) || chr(10) AS markdown FROM m GROUP BY chapter")
+def markdown_render(spark, d):
+    return C.to_markdown(_renderable(spark, d), ["chapter"])
+
+
+def _esc(x: str) -> str:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{raw if raw != chr(39) * 2 else chr(39) * 2}', '{entity}')"
+    return x
+
+
+@query(f"""{_TYPED}, m AS (SELECT *, CASE type WHEN 'heading' THEN '<h2>' || e || '</h2>' WHEN 'code' THEN '<pre><code>' || e || '</code></pre>' WHEN 'quote' THEN '<blockquote><p>' || e || '</p></blockquote>'
+  WHEN 'image' THEN '<figure><img src="images/' || block_index || '.png" alt="' || e || '"/><figcaption>' || e || '</figcaption></figure>' ELSE '<p>' || e || '</p>' END AS h FROM (SELECT *, {_esc('text')} AS e FROM typed)) SELECT chapter, string_agg(h, chr(10) ORDER BY block_index) AS html FROM m GROUP BY chapter""")
+def html_render(spark, d):
+    return C.to_html(_renderable(spark, d), ["chapter"])
+
+
+def _renderable(spark, d):
+    image = F.col("type") == "image"
+    t = typed(spark, d).withColumn("caption", F.when(image, F.col("text"))).withColumn("link", F.when(image, F.concat(F.lit("images/"), F.col("block_index").cast("string"), F.lit(".png"))))
+    return t.withColumns({"level": F.lit(2), "items": F.lit(None).cast("array<string>"), "rows": F.lit(None).cast("array<array<string>>"), "ordered": F.lit(False), "language": F.lit(None).cast("string")})
+
+
+_ANCHOR = "x AS (SELECT source AS doc, doc_id % 50 AS anchor, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS chapter_no FROM documents), loc AS (SELECT doc, anchor, min(chapter_no) AS chapter_no FROM x WHERE anchor % 3 > 0 GROUP BY doc, anchor)"
+
+
+def _anchors(spark, d):
+    x = docs(spark, d).select(F.col("source").alias("doc"), (F.col("doc_id") % 50).alias("anchor"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("chapter_no"))
+    return x, x.where("anchor % 3 > 0").groupBy("doc", "anchor").agg(F.min("chapter_no").alias("chapter_no"))
+
+
+@query(f"WITH {_ANCHOR} SELECT * FROM loc")
+def anchor_locations(spark, d):
+    return _anchors(spark, d)[1]
+
+
+@query(f"WITH {_ANCHOR} SELECT x.doc, x.chapter_no, x.anchor, CASE WHEN loc.chapter_no IS NULL THEN NULL WHEN loc.chapter_no = x.chapter_no THEN '#a' || x.anchor ELSE 'chap-' || loc.chapter_no || '.xhtml#a' || x.anchor END AS href FROM x LEFT JOIN loc USING (doc, anchor)")
+def bbref_resolve(spark, d):
+    x, loc = _anchors(spark, d)
+    at = loc.withColumnRenamed("chapter_no", "at")
+    a = F.concat(F.lit("#a"), F.col("anchor").cast("string"))
+    href = F.when(F.col("at") == F.col("chapter_no"), a).when(F.col("at").isNotNull(), F.concat(F.lit("chap-"), F.col("at").cast("string"), F.lit(".xhtml"), a))
+    return x.join(at, ["doc", "anchor"], "left").select("doc", "chapter_no", "anchor", href.alias("href"))
