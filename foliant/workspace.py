@@ -46,3 +46,7 @@ class Workspace:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._foliant_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def sweep(self) -> None:
+        """Let Spark release the shuffle files of finished steps: it does so once the driver collects its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
