@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import embed, near, ordinal, packing, quality_rules, spm, suffix, toxicity, urls
+from foliant.llm import embed, near, ordinal, packing, quality_rules, spm, substring, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_suffix_array_dedup, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op8_embedding_near_dedup, op9_minhash_near_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_toxicity, op4_suffix_array_dedup, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op8_embedding_near_dedup, op9_minhash_near_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
