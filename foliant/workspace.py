@@ -6,7 +6,9 @@ Tables go to the folder that the cluster names in ``spark.checkpoint.dir``; only
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,4 +51,6 @@ class Workspace:
 
     def sweep(self) -> None:
         """Let Spark release the shuffle files of finished steps: it does so once the driver collects its garbage."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works in the background
