@@ -5,6 +5,11 @@ windows hold an equal anchor at an equal place. Anchors that occur once settle a
 the bytes after the anchor and, reversed, those before it are sorted by deep-shallow sorting: multikey quicksort
 to a shallow depth, then a blind trie for each group that is still tied. The common prefixes of neighbours in the
 two orders tell, for every place of the anchor in a window, which windows are equal, byte for byte.
+
+An anchor with more than HOT occurrences (a passage that very many documents share) isn't sorted in one task. Its
+windows are split by their offset into pieces of STEP, and pieces by the bytes that their windows have in common;
+where all occurrences of a piece are alike, or only one is left, that settles it, and counts are gathered before the
+shuffle. What remains, at the edges of such passages, is settled window by window. Both go by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm.graph import text_keys
@@ -23,6 +30,9 @@ from foliant.workspace import Workspace
 WINDOW, ANCHOR = 400, 64
 SEGMENT = 1 << 20
 SHALLOW = 32
+#: Occurrences of an anchor beyond which its windows are split among tasks; rows sorted at a time.
+HOT, ROWS = 8192, 16384
+STEP = 16
 
 
 def anchors(block: Block, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -183,7 +193,71 @@ def equal_windows(keys: np.ndarray, before: list[bytes], after: list[bytes], low
         was[now & (was < 0)] = o
 
 
-def removed_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, anchor: int = ANCHOR):
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows of batches sorted by their first column, never parting equal keys."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if n >= rows and batch.num_rows:
+            keys = batch.column(0).to_numpy()
+            same = int(np.searchsorted(keys, held[-1].column(0)[-1].as_py(), "right"))
+            held.append(batch.slice(0, same))
+            n += same
+            if same < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+            batch = batch.slice(same)
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def hot_spans(texts: DataFrame, work: Workspace, window: int, anchor: int) -> DataFrame:
+    """h1, h2, start, end of the repeated windows around the hot anchors of texts(h1, h2, data, at)."""
+    one = F.xxhash64("h1", "h2", "pos")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "piece", "core", "whole", "h1", "h2", "pos", "low", "high"]
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), *(pa.int64(),) * 2, *(pa.int32(),) * 3)
+        for batch in batches:
+            for h1, h2, data, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                at = at.values
+                which = np.flatnonzero(at.field(4).to_numpy(zero_copy_only=False))
+                if not len(which):
+                    continue
+                data, out = data.as_py(), []
+                for key, p, low, high in zip(*(at.field(k).to_numpy()[which].tolist() for k in range(4))):
+                    for piece in range(low // STEP, high // STEP + 1):
+                        first, last = piece * STEP, min(piece * STEP + STEP - 1, window - anchor)
+                        a, b = max(low, first), min(high, last)
+                        core = xxhash.xxh3_128_digest(data[p - first : p + window - last])
+                        out.append((key, piece, core, xxhash.xxh3_128_digest(data[p - b : p + window - a], a << 16 | b), h1, h2, p, a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    by = ["key", "piece", "core"]
+    pieces = work.put(texts.mapInArrow(split, "key long, piece int, core binary, whole binary, h1 long, h2 long, pos int, low int, high int"), "pieces")
+    states = pieces.groupBy(*by).agg(F.min(one).alias("a"), F.max(one).alias("b"), (F.min("whole") == F.max("whole")).alias("alike")).where("a != b")
+    pieces = work.put(pieces.join(work.put(states.select(*by, "alike"), "piece-states"), by).select("h1", "h2", "pos", "low", "high", "alike"), "shared-pieces")
+    alike = pieces.where("alike").select("h1", "h2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + window).alias("end"))
+    open_ = pieces.where("not alike").groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "low", "high")).alias("open"))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (data, held) in enumerate(zip(batch.column(2), batch.column(3))):
+                data, held = data.as_py(), held.values
+                starts = [p - o for p, low, high in zip(*(held.field(k).to_pylist() for k in range(3))) for o in range(low, high + 1)]
+                digests = pa.array([xxhash.xxh3_128_digest(data[x : x + window]) for x in starts], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, *(pa.repeat(batch.column(c)[i], len(starts)) for c in (0, 1)), pa.array(starts, pa.int32())], ["digest", "h1", "h2", "pos"])
+
+    left = texts.select("h1", "h2", "data").join(open_.hint("shuffle_hash"), ["h1", "h2"])
+    windows = work.put(left.mapInArrow(single, "digest binary, h1 long, h2 long, pos int"), "windows")
+    twice = windows.groupBy("digest").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a != b").select("digest")
+    return alike.unionByName(windows.join(twice, "digest").select("h1", "h2", F.col("pos").alias("start"), (F.col("pos") + window).alias("end")))
+
+
+def removed_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT):
     """(rows of docs with keys and sizes, texts with something removed: h1, h2, kept, n_bytes, n_removed, n_spans)."""
     keyed = docs.select("doc_id", *text_keys(), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -198,8 +272,9 @@ def removed_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, anchor
     found = work.put(keyed.select("h1", "h2", "text").mapInArrow(find, "key long, h1 long, h2 long, pos int, low int, high int"), "anchors")
     # Copies of a text have its occurrences in common, so they don't count as two.
     one = F.xxhash64("h1", "h2", "pos")
-    several = work.put(found.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a != b").select("key"), "several")
-    doubtful = found.join(several, "key").distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "pos", "low", "high")).alias("at"))
+    several = work.put(found.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b"), (F.count("*") > hot).alias("hot")).where("a != b").select("key", "hot"), "several")
+    # No step between join and shuffle asks for rows of a key together, so a skewed key can be split.
+    doubtful = found.join(several, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("key", "pos", "low", "high", "hot")).alias("at"))
     doubtful = work.put(doubtful, "doubtful")
     first = F.min("doc_id").alias("doc_id")
     reps = keyed.groupBy("h1", "h2").agg(first, F.count("*").alias("n_copies"))
@@ -213,6 +288,9 @@ def removed_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, anchor
         for batch in batches:
             for i in range(batch.num_rows):
                 data, at = batch.column(2)[i].as_py(), batch.column(3)[i].values
+                at = at.filter(pc.invert(at.field(4)))
+                if not len(at):
+                    continue
                 pos, low, high = (at.field(k).to_numpy() for k in (1, 2, 3))
                 n = len(pos)
                 before = pa.array([data[p - h : p] for p, h in zip(pos, high)], pa.binary())
@@ -221,21 +299,18 @@ def removed_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, anchor
 
     schema = "key long, h1 long, h2 long, pos int, low int, high int, before binary, after binary"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    around = texts.mapInArrow(surroundings, schema).repartition(parts, "key")
+    around = texts.mapInArrow(surroundings, schema).repartition(parts, "key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        table = table.sort_by("key")
-        keys, low, high = (table.column(c).to_numpy() for c in ("key", "low", "high"))
-        pos = table.column("pos").to_numpy()
-        h1, h2 = (table.column(c).to_numpy() for c in ("h1", "h2"))
-        before, after = table.column("before").to_pylist(), table.column("after").to_pylist()
-        for i, a, b in equal_windows(keys, before, after, low, high, window, anchor):
-            yield pa.RecordBatch.from_arrays([pa.array(h1[i]), pa.array(h2[i]), pa.array((pos[i] - b).astype(np.int32)), pa.array((pos[i] - a + window).astype(np.int32))], ["h1", "h2", "start", "end"])
+        for table in whole_groups(batches):
+            keys, low, high, pos, h1, h2 = (table.column(c).to_numpy() for c in ("key", "low", "high", "pos", "h1", "h2"))
+            before, after = table.column("before").to_pylist(), table.column("after").to_pylist()
+            for i, a, b in equal_windows(keys, before, after, low, high, window, anchor):
+                yield pa.RecordBatch.from_arrays([pa.array(h1[i]), pa.array(h2[i]), pa.array((pos[i] - b).astype(np.int32)), pa.array((pos[i] - a + window).astype(np.int32))], ["h1", "h2", "start", "end"])
 
     spans = around.mapInArrow(compare, "h1 long, h2 long, start int, end int")
+    if not several.where("hot").isEmpty():
+        spans = spans.unionByName(hot_spans(texts, work, window, anchor))
     spans = work.put(spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +336,7 @@ def removed_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, anchor
     return keyed, reps, done
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs.
 
     Null is as empty, texts under the window are kept whole, and of equal texts of at least a window nothing stays.
@@ -269,7 +344,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     """
     work = Workspace(docs.sparkSession, "suffix")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    keyed, reps, done = removed_spans(docs, work, window, anchor)
+    keyed, reps, done = removed_spans(docs, work, window, anchor, hot)
     fates = reps.select("h1", "h2", "n_copies").join(done.select("h1", "h2", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")), ["h1", "h2"], "left")
     fates = work.put(fates.where("n_copies > 1 or sha is not null"), "fates")
     data = F.col("text").cast("binary")

@@ -73,13 +73,21 @@ def suffix_brute(texts, n):
         yield len(b), sum(covered), sum(c and (not k or not covered[k - 1]) for k, c in enumerate(covered)), hashlib.sha256(bytes(x for x, c in zip(b, covered) if not c)).hexdigest()
 
 
-@pytest.mark.parametrize("window", [400, 90])
-def test_suffix_by_brute_force(docs, rows, empty, window):
-    got = sorted(tuple(r)[1:] for r in suffix.remove_repeats(docs, window=window, anchor=64 if window == 400 else 20).collect())
+@pytest.mark.parametrize(("window", "hot"), [(400, suffix.HOT), (90, suffix.HOT), (400, 1), (90, 2)])
+def test_suffix_by_brute_force(docs, rows, empty, window, hot):
+    got = sorted(tuple(r)[1:] for r in suffix.remove_repeats(docs, window=window, anchor=64 if window == 400 else 20, hot=hot).collect())
     assert got == sorted(suffix_brute([(r[1] or "").encode() for r in rows], window))
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_tables_hold_whole_groups():
+    keys = np.sort(np.random.default_rng(3).integers(0, 40, 500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 17])], ["key"]) for i in range(0, 500, 17)]
+    tables = [t.column(0).to_numpy() for t in suffix.whole_groups(iter(batches), 50)]
+    assert np.array_equal(np.concatenate(tables), keys) and len(tables) > 4
+    assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
+
+
 def test_deep_shallow_sorts():
     rng = random.Random(2)
     strings = sorted({b"p" * 8 + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) + b"q" * rng.choice((0, 50)) for _ in range(400)}, key=lambda _: rng.random())
