@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from foliant.functions import cost, text as T
-from foliant.operators import blocks as B, condense as C
-from foliant.sources import html as H
+from foliant.functions import cost, prompts as P, text as T
+from foliant.operators import blocks as B, condense as C, replies as R, translate as X
+from foliant.sources import epub as E, html as H
 from foliant.streaming import checkpoint as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,8 +319,9 @@ def _pdf(spark, d):
 @query(f"{_PDF} SELECT doc, page, line_no FROM pdf WHERE NOT EXISTS (SELECT 1 FROM (VALUES (0, 30, 90), (1, 200, 260)) t(page, top, bottom) WHERE t.page = pdf.page AND (pdf.top + pdf.bottom) / 2 BETWEEN t.top AND t.bottom)")
 def table_line_exclusion(spark, d):
     lines = _pdf(spark, d)
-    areas = spark.createDataFrame([(0, 30, 90), (1, 200, 260)], "page int, top int, bottom int")
-    return B.outside_tables(lines, lines.select("doc").distinct().crossJoin(F.broadcast(areas))).select("doc", "page", "line_no")  # two areas a book
+    area = lambda page, top, bottom: F.struct(F.lit(page).alias("page"), F.lit(top).alias("top"), F.lit(bottom).alias("bottom"))
+    tables = lines.select("doc").distinct().select("doc", F.inline(F.array(area(0, 30, 90), area(1, 200, 260))))
+    return B.outside_tables(lines, tables).select("doc", "page", "line_no")
 
 
 _KIND = f"""{_PDF}, b AS (SELECT doc, coalesce(median(size) FILTER (WHERE font <> 'Courier'), 11) AS body FROM pdf GROUP BY doc),
@@ -420,3 +421,115 @@ def bbref_resolve(spark, d):
     a = F.concat(F.lit("#a"), F.col("anchor").cast("string"))
     href = F.when(F.col("at") == F.col("chapter_no"), a).when(F.col("at").isNotNull(), F.concat(F.lit("chap-"), F.col("at").cast("string"), F.lit(".xhtml"), a))
     return x.join(at, ["doc", "anchor"], "left").select("doc", "chapter_no", "anchor", href.alias("href"))
+
+
+# Each run's reply names its blocks and wraps their text; every fifth chapter's reply is torn, so it keeps its blocks.
+@query(f"""{_TYPED}, n AS (SELECT *, row_number() OVER (PARTITION BY chapter, run_id ORDER BY block_index) AS k FROM runs WHERE run_id IS NOT NULL)
+  SELECT chapter, run_id, chapter % 5 = 0 AS degraded, (k - 1)::INT AS pos, k::INT AS source, type, CASE WHEN chapter % 5 = 0 THEN text ELSE '~' || text || '~' END AS text FROM n""")
+def addressed_replies(spark, d):
+    r = B.runs(typed(spark, d), ["chapter"]).withColumn("items", F.lit(None).cast("array<string>"))
+    k = F.row_number().over(W.partitionBy("chapter", "run_id").orderBy("block_index"))
+    entry = r.where("run_id is not null").withColumn("e", F.struct(k.alias("block"), "type", F.concat(F.lit("~"), "text", F.lit("~")).alias("text")))
+    reply = F.to_json(F.array_sort(F.collect_list("e")))
+    said = entry.groupBy("chapter", "run_id").agg(F.when(F.col("chapter") % 5 == 0, F.concat(reply, F.lit("["))).otherwise(reply).alias("reply"))
+    return R.apply_replies(r, said, ["chapter"]).select("chapter", "run_id", "degraded", "pos", "source", "type", "text")
+
+
+# Fixed cases of the reply table: kinds of the run, reply, whether it degrades, texts of the result.
+_REPLIES = [
+    ("string", "paragraph", '"a\\n\\nb"', False, "a|b"), ("string for a list", "list", '"a"', True, "own"), ("empty string", "paragraph", '""', False, ""),
+    ("merged", "paragraph,paragraph", '[{"block": 2, "text": "m"}]', False, "m"), ("split", "paragraph", '[{"block": 1, "text": "a"}, {"block": "1", "text": "b"}]', False, "a|b"),
+    ("descending", "paragraph,paragraph", '[{"block": 2, "text": "a"}, {"block": 1, "text": "b"}]', True, "own|own"), ("list dropped", "paragraph,list", '[{"block": 1, "text": "a"}]', True, "own|own"),
+    ("truth value", "paragraph", '[{"block": true, "text": "a"}]', False, "a"), ("unknown block", "paragraph", '[{"block": 3, "text": "a"}]', True, "own"),
+    ("positional", "paragraph,quote", '["a", {"type": "quote", "text": "b"}]', False, "a|b"), ("other length", "paragraph,paragraph", '["a", "b", "c"]', False, "a|b|c"),
+    ("other length with quote", "paragraph,quote", '["a"]', True, "own|own"), ("wrong type", "paragraph", '[{"block": 1, "type": "list", "text": "a"}]', True, "own"), ("missing", "paragraph", None, True, "own"), ("no text", "paragraph", '[{"block": 1, "text": " "}]', True, "own"),
+    ("empty array", "paragraph", "[]", False, ""),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(deg).lower()}, '{t}')" for n, _, _, deg, t in _REPLIES) + ") v(name, degraded, texts)")
+def reply_table(spark, d):
+    cases = spark.createDataFrame([(n, k.split(","), r) for n, k, r, _, _ in _REPLIES], "name string, kinds array<string>, reply string")
+    own = F.transform("kinds", lambda x: F.struct(x.alias("type"), F.lit("own").alias("text"), F.array(F.lit("own")).alias("items")))
+    r = R.rebuilt(own, F.col("reply"))
+    return cases.select("name", r.alias("r")).select("name", "r.degraded", F.array_join(F.transform("r.pieces", lambda p: p["text"]), "|").alias("texts"))
+
+
+@query(f"""{_TYPED}, n AS (SELECT *, row_number() OVER (PARTITION BY chapter, run_id ORDER BY block_index) AS k, lag(run_id) OVER (PARTITION BY chapter ORDER BY block_index) AS before FROM runs),
+  m AS (SELECT *, CASE kind WHEN 'text' THEN CASE WHEN before IS DISTINCT FROM run_id THEN chr(10) || '[TEXT ' || run_id || ']' || chr(10) ELSE '' END || '[BLOCK ' || k || ' type=' || type || ']' || chr(10) || text
+    WHEN 'image' THEN chr(10) || '[IMG:i' || block_index || ' — "fig"]' ELSE chr(10) || CASE type WHEN 'heading' THEN '[HEADING] ## ' || text ELSE '[CODE BLOCK - preserved verbatim, do not reproduce]' || chr(10) || '```' || chr(10) || rtrim(text, ' ') || chr(10) || '```' END END AS line FROM n)
+  SELECT chapter, trim(string_agg(line, chr(10) ORDER BY block_index), ' ' || chr(10)) AS body FROM m GROUP BY chapter""")
+def prompt_bodies(spark, d):
+    r = B.runs(typed(spark, d), ["chapter"]).withColumns({"level": F.lit(2), "language": F.lit(None).cast("string"), "image_id": F.concat(F.lit("i"), F.col("block_index").cast("string")), "caption": F.lit("fig")})
+    return P.bodies(r, ["chapter"])
+
+
+@query("""SELECT * FROM (VALUES (1, '- cache → caché' || chr(10) || '- node → nodo'), (2, ''), (3, NULL)) v(id, lines)""")
+def glossary_prompt(spark, d):
+    g = spark.createDataFrame([(1, '{"cache": "caché", "node": "nodo", " ": "x", "y": ""}'), (2, "{}"), (3, None)], "id int, g string")
+    return g.select("id", P.glossary_lines(P.glossary(F.col("g"))).alias("lines"))
+
+
+_USAGE = "u AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS model, coalesce(sum(length(text)) FILTER (WHERE role <> 'assistant'), 0)::BIGINT AS prompt_tokens, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS completion_tokens FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {_USAGE} SELECT conv_id, model, CASE WHEN model = 'a' AND prompt_tokens * 0.5::DOUBLE + completion_tokens * 2::DOUBLE > 0 THEN prompt_tokens * 0.5::DOUBLE + completion_tokens * 2::DOUBLE END AS cost FROM u")
+def usage_cost(spark, d):
+    n = F.length("text").cast("long")
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
+    said, by = F.col("role") == "assistant", F.col("conv_id") % 3
+    u = table(spark, d, "conversations").groupBy("conv_id", F.when(by == 0, "a").when(by == 1, "b").otherwise("c").alias("model")).agg(total(~said).alias("prompt_tokens"), total(said).alias("completion_tokens"))
+    return P.costs(u, spark.createDataFrame([("a", 0.5, 2.0), ("b", 0.0, 0.0)], "model string, prompt_price double, completion_price double")).select("conv_id", "model", "cost")
+
+
+def _units(spark, d):
+    x = docs(spark, d)
+    return X.units_of(x.select(F.col("doc_id").alias("chapter"), title().alias("title")), B.paragraphs(x).withColumn("items", F.lit(None).cast("array<string>")), ["chapter"])
+
+
+_UNITS = f"""WITH {LINES}, u AS (SELECT chapter, row_number() OVER (PARTITION BY chapter ORDER BY block_index) - 1 AS unit, text FROM
+  (SELECT chapter, block_index, text FROM lines UNION ALL SELECT doc_id, -1, 'Chapter ' || doc_id FROM documents))"""
+
+
+@query(f"{_UNITS} SELECT chapter, unit::INT AS unit, (unit // 40 * 40)::INT AS batch_start, text FROM u")
+def translatable_units(spark, d):
+    return B.unit_batches(_units(spark, d), ["chapter"], "place").select("chapter", "unit", "batch_start", "text")
+
+
+def _echo(batch: dict[str, str]) -> str:
+    """A provider that marks each text, and whose reply is torn when a text's length is a multiple of 29."""
+    import json
+
+    said = json.dumps({"translations": {i: "» " + t for i, t in batch.items()}})
+    return said[:-2] + "," if any(len(t) % 29 == 0 for t in batch.values()) else f"```json\n{said}\n```"
+
+
+def _translated(spark, d):
+    return X.translate_units(_units(spark, d), ["chapter"], "place", _echo)
+
+
+@query(f"{_UNITS} SELECT chapter, unit::INT AS unit, (unit // 40 * 40)::INT AS batch_start, length(text) % 29 > 0 AS translated, CASE WHEN length(text) % 29 = 0 THEN text ELSE '» ' || text END AS text FROM u")
+def translate_chapters(spark, d):
+    return _translated(spark, d)
+
+
+@query(f"{_UNITS} SELECT chapter, (unit // 40 * 40)::INT AS batch_start, count(*) AS units FROM u GROUP BY ALL HAVING bool_and(length(text) % 29 > 0)")
+def translate_cacheable(spark, d):
+    return X.complete_batches(_translated(spark, d), ["chapter"])
+
+
+@query()
+def tag_faithful_rewrite(spark, d):
+    """The reply loses its emphasis on odd pages."""
+    said = sanitize_inline(spark, d).withColumn("reply", F.when(F.col("page_id") % 2 == 1, F.regexp_replace("rich", "</?(strong|em)>", "")).otherwise(F.col("rich")))
+    return said.select("page_id", "pos", X.faithful(F.col("rich"), F.col("reply")).alias("f")).select("page_id", "pos", "f.*")
+
+
+# Each document is a book of chapters of 20 lines, written as an archive and read again.
+@query(f"""WITH {LINES} SELECT chapter AS doc_id, block_index // 20 AS chapter, (block_index % 20)::INT AS block_index, 'paragraph' AS type, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM lines""")
+def epub_round_trip(spark, d):
+    lines = T.lines_of(F.col("text"))
+    paragraph = lambda x: F.concat(F.lit("<p>"), T.html_escape(x), F.lit("</p>"))
+    whole = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 20).cast("int")), lambda i: F.struct(F.lit(None).cast("string").alias("title"), F.array_join(F.transform(F.slice("l", i * 20 + 1, F.lit(20)), paragraph), "\n").alias("html")))
+    books = docs(spark, d).select("doc_id", F.concat(F.lit("Book "), F.col("doc_id").cast("string")).alias("title"), F.col("lang").alias("language"), lines.alias("l")).where("size(l) > 0").withColumn("chapters", whole)
+    return E.read_blocks(E.write_books(books, "doc_id"), "doc_id").select("doc_id", "chapter", "block_index", "type", "text")

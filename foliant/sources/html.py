@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -205,6 +205,11 @@ def clean(raw: str | None) -> str | None:
     return parser.finish()
 
 
+def plain(markup: str) -> str:
+    """Text of markup outside the engine's columns: no tags, entities resolved."""
+    return unescape(re.sub(r"<[^>]*>", "", markup))
+
+
 def sanitize(column: str | Column) -> Column:
     @F.pandas_udf("string")
     def run(raw: pd.Series) -> pd.Series:
