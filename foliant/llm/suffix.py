@@ -31,7 +31,7 @@ WINDOW, ANCHOR = 400, 64
 SEGMENT = 1 << 20
 SHALLOW = 32
 #: Occurrences of an anchor beyond which its windows are split among tasks; rows sorted at a time.
-HOT, ROWS = 8192, 16384
+HOT, ROWS = 8192, 4096
 STEP = 16
 
 
