@@ -26,10 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Arrow batches hold at most `rows` rows, unless the session sets a number of its own.
+
+    At Spark's default of 10,000 rows, whole texts or sets of shingles make batches of 100 MB, held by the
+    executor and by its Python worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Workspace:
     """Temporary Parquet tables of one query."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
