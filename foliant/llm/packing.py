@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from foliant.workspace import small_batches
+
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Text of a special token, which `tokenizers` takes as one id wherever it occurs.
 SPECIAL = "<|endoftext|>"
@@ -117,4 +119,5 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, *, size
                     ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)

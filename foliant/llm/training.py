@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliant.workspace import small_batches
+
 FOLDS = 5
 
 
@@ -18,6 +20,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, s
     Which rows are taken depends on a hash of the id alone. A document with several labels has the largest.
     Ids without a label, text or document are left out.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).limit(64).collect()}
     if not counts:
