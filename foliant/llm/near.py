@@ -1,12 +1,12 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
 Every text gets 48 consistent weighted samples of its five-word shingles, in twelve bands of four. In a bucket,
-all members are held against its first one, so that a large group of copies costs one comparison each. Of those
-that fail, a small bucket has all its pairs compared. Members of a large one, which share a passage but not enough
-else, are split exactly by the prefix filter: ordered from rare to frequent, similar texts share a shingle among
+all members are held against its first one, so that a large group of copies costs one comparison each. Those that
+fail are held against all the others, matched ones too: in a small bucket pair by pair. In a large one, whose members
+share a passage but not enough else, exactly by the prefix filter: ordered from rare to frequent, similar texts share a shingle among
 those that come before the last 0.8 of their weights, and for such texts these are mostly their own. At the first
 shingle that two texts share, what is left of both bounds their overlap; so the lighter of two similar texts holds
-it among those before the last 2 * 0.8 / 1.8 of its weight, and a bucket only compares such members with others. Each comparison is verified on the whole weighted sets.
+it among those before the last 2 * 0.8 / 1.8 of its weight, and a key only compares such members with others. Each comparison is verified on the whole weighted sets.
 
 The inverse document frequency is ln(1 + N / (df + N / 2)): the added half damps it, so that what a group of near
 copies shares isn't outweighed by its few edits. Frequencies are counted in a table of 2**16 hash buckets, whose
@@ -203,38 +203,44 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFr
     edges = work.put(verify(pair(held), sets, least), "verified")
     failed = held.where("a != b").join(edges.select("a", "b", F.lit(1).alias("same")), ["a", "b"], "left").where("same is null")
     failed = work.put(failed.select(*key, "n", F.col("b").alias("doc_id")), "failed")
-    # All pairs in small buckets, at most `few` a member; the prefix filter for members of large ones.
-    small = failed.where(F.col("n") <= few).select(*key, "doc_id")
-    pairs = pair(small.select(*key, F.col("doc_id").alias("a")).join(small.select(*key, F.col("doc_id").alias("b")), key))
+    # In small buckets, failed members with all others, at most `few` a member; the prefix filter for large ones.
+    small = failed.where(F.col("n") <= few).select(*key, F.col("doc_id").alias("a"))
+    pairs = pair(small.join(held.where("a != b").select(*key, "b"), key))
     edges = edges.unionByName(work.put(verify(pairs, sets, least), "verified"))
-    large = failed.where(F.col("n") > few).select("doc_id").distinct().join(sets.select("doc_id", "total", "prefix", "left"), "doc_id")
+    wide = failed.where(F.col("n") > few)
+    beside = held.where(F.col("n") > few).join(wide.select(*key).distinct(), key, "left_semi").select(F.col("b").alias("doc_id"), F.lit(False).alias("failed"))
+    large = wide.select("doc_id", F.lit(True).alias("failed")).unionByName(beside).groupBy("doc_id").agg(F.max("failed").alias("failed"))
+    large = large.join(sets.select("doc_id", "total", "prefix", "left"), "doc_id")
     # What is in one component already needs no further link.
     roots = components(work, edges).select(F.col("node").alias("doc_id"), "root")
     large = work.put(large.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "large")
-    tokens = large.select("doc_id", "root", "total", F.explode(F.arrays_zip("prefix", "left")).alias("at")).select("doc_id", "root", "total", F.col("at.prefix").alias("key"), F.col("at.left").alias("left"))
+    tokens = large.select("doc_id", "root", "failed", "total", F.explode(F.arrays_zip("prefix", "left")).alias("at"))
     # The greatest total that a similar text can have, if this is the first shingle in common.
-    tokens = tokens.select("doc_id", "root", "key", "total", (F.col("left") * ((1 + least) / least) * (1 + 1e-5) - F.col("total")).alias("most"))
-    tokens = work.put(tokens.withColumn("light", F.col("most") >= F.col("total") * (1 - 1e-5)), "prefixes")
+    most = F.col("at.left") * ((1 + least) / least) * (1 + 1e-5) - F.col("total")
+    tokens = work.put(tokens.select("doc_id", "root", "failed", "total", F.col("at.prefix").alias("key"), most.alias("most")).withColumn("light", F.col("most") >= F.col("total") * (1 - 1e-5)).withColumn("tried", F.lit(False)), "prefixes")
     while True:
-        # A bucket's light members, up to 256 in a round, are held against all of its members.
+        # A bucket's light members, up to 256 in a round, are held against all of its members; where a light one had
+        # not failed, so are all failed members. Of two members that didn't fail, no pair is needed.
         # Of shingles with the very same members, one will do.
-        who = (F.bit_xor(F.xxhash64("doc_id", "light")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id", "light")).alias("y"))
-        sizes = tokens.groupBy("key").agg(F.count_if("light").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low != high and n > 0")
-        sizes = work.put(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "sizes")
+        who = (F.bit_xor(F.xxhash64("doc_id", "light", "tried")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id", "light", "tried")).alias("y"))
+        sizes = tokens.groupBy("key").agg(F.bool_or(F.col("light") & ~F.col("failed")).alias("beside"), F.count_if(F.col("failed") & F.col("light") & ~F.col("tried")).alias("lights"), F.count_if(F.col("failed") & ~F.col("tried")).alias("all"), F.min("root").alias("low"), F.max("root").alias("high"), *who)
+        sizes = sizes.select("key", "beside", F.when(F.col("beside"), F.col("all")).otherwise(F.col("lights")).alias("n"), "low", "high", "x", "y").where("low != high and n > 0")
+        sizes = work.put(sizes.groupBy("n", "beside", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "beside"), "sizes")
         if sizes.isEmpty():
             break
         members = work.put(tokens.join(sizes, "key"), "members")
-        firsts = members.where("light").groupBy("key", F.when(F.col("n") <= HEADS, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(HEADS))).alias("h"))
+        firsts = members.where("failed and not tried and (light or beside)").groupBy("key", F.when(F.col("n") <= HEADS, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(HEADS))).alias("h"))
         firsts = work.put(firsts.agg(F.min(F.struct("doc_id", "root", "total", "most")).alias("f")).select("key", F.col("f.doc_id").alias("a"), F.col("f.root").alias("root_a"), F.col("f.total").alias("total_a"), F.col("f.most").alias("most_a")), "heads")
-        fits = (F.col("root") != F.col("root_a")) & (F.col("total") >= F.col("total_a") * (1 - 1e-5)) & (F.col("total") <= F.col("most_a")) & (F.col("total_a") <= F.col("most"))
+        fits = (F.col("root") != F.col("root_a")) & (F.col("total") <= F.col("most_a")) & (F.col("total_a") <= F.col("most"))
         pairs = members.join(firsts, "key").where(fits).select("a", F.col("doc_id").alias("b"))
         edges = edges.unionByName(work.put(verify(pair(pairs), sets, least), "verified"))
         if members.where(F.col("n") > HEADS).isEmpty():
             break
         roots = components(work, edges).select(F.col("node").alias("doc_id"), F.col("root").alias("now"))
         over = members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
-        over = over.where(F.col("n") > HEADS).drop("n")
-        tokens = work.put(over.join(firsts.select("key", F.col("a").alias("doc_id"), F.lit(False).alias("still")), ["key", "doc_id"], "left").withColumn("light", F.col("light") & F.col("still").isNull()).drop("still"), "prefixes")
+        over = over.where(F.col("n") > HEADS).drop("n", "beside")
+        done = firsts.select("key", F.col("a").alias("doc_id"), F.lit(True).alias("now_tried"))
+        tokens = work.put(over.join(done, ["key", "doc_id"], "left").withColumn("tried", F.col("tried") | F.col("now_tried").isNotNull()).drop("now_tried"), "prefixes")
     roots = components(work, edges)
     classes = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n_copies", F.coalesce("root", "rep").alias("component_id"))
     classes = work.put(classes, "classes")

@@ -145,6 +145,24 @@ def test_near_finds_similar_pairs_by_brute_force(spark):
                 assert got[i] != got[j]
 
 
+@pytest.mark.parametrize("copies", [12, 45])
+def test_near_links_stars_whose_original_comes_last(spark, copies):
+    rng = random.Random(21)
+    texts, stars = [said(rng, 200) for _ in range(250)], []
+    for _ in range(4):
+        words, first = said(rng, 200).split(), len(texts)
+        for _ in range(copies):
+            other = list(words)
+            for k in (rng.randint(8, 50), rng.randint(70, 120), rng.randint(140, 190)):
+                other[k] = said(rng, 1) + "x"
+            texts.append(" ".join(other))
+        texts.append(" ".join(words))
+        stars.append(range(first, len(texts)))
+    got = {r.doc_id: r.component_id for r in near.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [{got[i] for i in star} for star in stars] == [{star[0]} for star in stars]
+    assert all(got[i] == i for i in range(250))
+
+
 def test_sampler_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 1 << 44, 400).astype(np.uint64)
