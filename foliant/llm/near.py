@@ -217,15 +217,22 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFr
     tokens = large.select("doc_id", "root", "failed", "total", F.explode(F.arrays_zip("prefix", "left")).alias("at"))
     # The greatest total that a similar text can have, if this is the first shingle in common.
     most = F.col("at.left") * ((1 + least) / least) * (1 + 1e-5) - F.col("total")
-    tokens = work.put(tokens.select("doc_id", "root", "failed", "total", F.col("at.prefix").alias("key"), most.alias("most")).withColumn("light", F.col("most") >= F.col("total") * (1 - 1e-5)).withColumn("tried", F.lit(False)), "prefixes")
+    tokens = tokens.select("doc_id", "root", "failed", "total", F.col("at.prefix").alias("key"), most.alias("most"))
+    light = F.col("most") >= F.col("total") * (1 - 1e-5)
+    tokens = work.put(tokens, "prefixes")
+    # Shingles with the very same members are one key, with each member's greatest bound: any may be a pair's first.
+    who = (F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id")).alias("y"))
+    keys = tokens.groupBy("key").agg(F.bool_or(light).alias("some"), F.bool_or("failed").alias("failed"), F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low != high and some and failed")
+    keys = work.put(keys.select("key", "x", "y"), "keys")
+    named = keys.join(keys.groupBy("x", "y").agg(F.min("key").alias("one")), ["x", "y"]).select("key", "one")
+    tokens = tokens.join(named, "key").groupBy(F.col("one").alias("key"), "doc_id").agg(*(F.first(c).alias(c) for c in ("root", "failed", "total")), F.max("most").alias("most"))
+    tokens = work.put(tokens.withColumn("light", light).withColumn("tried", F.lit(False)), "merged")
     while True:
         # A bucket's light members, up to 256 in a round, are held against all of its members; where a light one had
         # not failed, so are all failed members. Of two members that didn't fail, no pair is needed.
-        # Of shingles with the very same members, one will do.
-        who = (F.bit_xor(F.xxhash64("doc_id", "light", "tried")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id", "light", "tried")).alias("y"))
-        sizes = tokens.groupBy("key").agg(F.bool_or(F.col("light") & ~F.col("failed")).alias("beside"), F.count_if(F.col("failed") & F.col("light") & ~F.col("tried")).alias("lights"), F.count_if(F.col("failed") & ~F.col("tried")).alias("all"), F.min("root").alias("low"), F.max("root").alias("high"), *who)
-        sizes = sizes.select("key", "beside", F.when(F.col("beside"), F.col("all")).otherwise(F.col("lights")).alias("n"), "low", "high", "x", "y").where("low != high and n > 0")
-        sizes = work.put(sizes.groupBy("n", "beside", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "beside"), "sizes")
+        sizes = tokens.groupBy("key").agg(F.bool_or(F.col("light") & ~F.col("failed")).alias("beside"), F.count_if(F.col("failed") & F.col("light") & ~F.col("tried")).alias("lights"), F.count_if(F.col("failed") & ~F.col("tried")).alias("all"), F.min("root").alias("low"), F.max("root").alias("high"))
+        sizes = sizes.select("key", "beside", F.when(F.col("beside"), F.col("all")).otherwise(F.col("lights")).alias("n"), "low", "high").where("low != high and n > 0")
+        sizes = work.put(sizes.select("key", "n", "beside"), "sizes")
         if sizes.isEmpty():
             break
         members = work.put(tokens.join(sizes, "key"), "members")

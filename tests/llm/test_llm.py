@@ -163,6 +163,34 @@ def test_near_links_stars_whose_original_comes_last(spark, copies):
     assert all(got[i] == i for i in range(250))
 
 
+def test_near_splits_one_large_bucket_by_brute_force(spark, monkeypatch):
+    """Texts that share a long passage, all in one bucket; every second is its forerunner with a seventh more."""
+    rng = random.Random(12)
+    passage, texts = said(rng, 400), []
+    for i in range(40):
+        own = said(rng, rng.choice((38, 42, 46)))
+        texts += [passage + " " + own, passage + " " + own + " " + said(rng, 31)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed, sets = near.signatures, near.weighted_sets
+    held = {}
+
+    def watched(docs, idf, least):
+        out = sets(docs, idf, least)
+        held.update({r.doc_id: (np.frombuffer(r.ids, np.uint32), np.frombuffer(r.weights, np.float32)) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(near, "signatures", lambda *a: signed(*a).withColumn("bands", near.F.array(near.F.lit(7).cast("long"))))
+    monkeypatch.setattr(near, "weighted_sets", watched)
+    got = {r.doc_id: r.component_id for r in near.deduplicate(docs).collect()}
+    low = list(range(len(texts)))
+    pairs = [(i, j) for i in low for j in range(i) if near.weighted_jaccard(*held[i], *held[j]) >= 0.8]
+    for _ in pairs:
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+    assert len(pairs) >= 40 and len(set(low)) > 10
+    assert [got[i] for i in range(len(texts))] == low
+
+
 def test_sampler_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 1 << 44, 400).astype(np.uint64)
