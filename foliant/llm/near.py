@@ -105,7 +105,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, h1, h2 and band hashes of each row; no bands for a text without words."""
+    """doc_id, h1, h2, row and band hashes of each row; no bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, table = Sampler(), idf.value
@@ -122,9 +122,9 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 filled = np.diff(first) > 0
                 at = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[filled].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], bands], ["doc_id", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], bands], ["doc_id", "h1", "h2", "row", "bands"])
 
-    return docs.select("doc_id", *text_keys(), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    return docs.select("doc_id", *text_keys(), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, row long, bands array<long>")
 
 
 def weighted_sets(docs: DataFrame, idf, least: float) -> DataFrame:
@@ -178,27 +178,27 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").mapInArrow(run, "a long, b long, similarity double")
 
 
-def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFrame:
-    """doc_id, component_id, n_copies, kept: one row per row of docs.
-
-    Rows of one component are linked by equal texts or by weighted similarities of at least `least`;
-    `component_id` is its smallest doc_id, whose row alone is kept; `n_copies` counts the rows of the same text.
-    Null is as the empty text, and empty texts equal each other; a text without words has no other links. A null
-    doc_id is a component of its own. Columns besides doc_id and text are not read.
-    """
+def _judged(docs: DataFrame, least: float, few: int) -> DataFrame:
+    """doc_id, h1, h2, component_id, n_copies, kept of each row."""
     spark = docs.sparkSession
     work = Workspace(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     idf = spark.sparkContext.broadcast(frequency_table(docs))
     rows = work.put(signatures(docs, idf), "signatures")
-    reps = work.put(rows.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
-    own = rows.join(reps.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"])
+    reps = rows.where("doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.count("*").alias("n_copies"))
+    reps = work.put(reps.select("h1", "h2", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("row"), "n_copies"), "reps")
+    # A text goes by its least doc_id; where that stands for several texts, the others go by numbers of their own.
+    clash = reps.groupBy("rep").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("rep", "first")
+    other = F.col("first").isNotNull() & (F.col("row") != F.col("first"))
+    reps = reps.join(work.put(clash, "clash"), "rep", "left").select("h1", "h2", "rep", "row", "n_copies", other.alias("other"), F.when(other, F.col("row") + (1 << 62)).otherwise(F.col("rep")).alias("node"))
+    reps = work.put(reps, "texts")
+    own = rows.select("row", "bands").join(reps.select("row", F.col("node").alias("doc_id")), "row")
     buckets = work.put(own.select("doc_id", F.posexplode("bands").alias("band", "key")), "bands")
     key = ["band", "key"]
     heads = work.put(buckets.groupBy(*key).agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "heads")
     held = work.put(buckets.join(heads, key).select(*key, "a", "n", F.col("doc_id").alias("b")), "held")
-    nodes = work.put(held.select(F.col("b").alias("doc_id")).distinct(), "nodes")
-    sets = work.put(weighted_sets(docs.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), idf, least), "sets")
+    nodes = work.put(held.select(F.col("b").alias("node")).distinct().join(reps.select("node", F.col("rep").alias("doc_id"), "h1", "h2"), "node"), "nodes")
+    sets = work.put(weighted_sets(docs.select("*", *text_keys()).join(nodes.hint("shuffle_hash"), ["doc_id", "h1", "h2"]).select(F.col("node").alias("doc_id"), "text"), idf, least), "sets")
     pair = lambda df: df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = work.put(verify(pair(held), sets, least), "verified")
     failed = held.where("a != b").join(edges.select("a", "b", F.lit(1).alias("same")), ["a", "b"], "left").where("same is null")
@@ -249,8 +249,36 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFr
         done = firsts.select("key", F.col("a").alias("doc_id"), F.lit(True).alias("now_tried"))
         tokens = work.put(over.join(done, ["key", "doc_id"], "left").withColumn("tried", F.col("tried") | F.col("now_tried").isNotNull()).drop("now_tried"), "prefixes")
     roots = components(work, edges)
-    classes = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n_copies", F.coalesce("root", "rep").alias("component_id"))
+    classes = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = work.put(classes, "classes")
-    out = rows.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", component.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # Only where such a number is in a component, its root may not be its least doc_id.
+    odd = classes.join(classes.where("other").select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min(F.struct("rep", "row")).alias("least"))
+    top = F.when(F.col("least").isNull(), F.col("node") == F.col("root")).otherwise(F.col("row") == F.col("least.row"))
+    classes = classes.join(work.put(odd, "odd"), "root", "left")
+    classes = work.put(classes.select("h1", "h2", "n_copies", F.coalesce("least.rep", "root").alias("component_id"), F.when(top, F.col("row")).alias("best")), "judged")
+    out = rows.select("doc_id", "h1", "h2", "row").join(classes, ["h1", "h2"], "left")
+    some = F.col("doc_id").isNotNull()
+    best = F.coalesce(F.col("row") == F.col("best"), F.lit(False))
+    return out.select("doc_id", "h1", "h2", F.when(some, F.col("component_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (~some | best).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFrame:
+    """doc_id, component_id, n_copies, kept: one row per row of docs.
+
+    Rows of one component are linked by equal texts or by weighted similarities of at least `least`;
+    `component_id` is its smallest doc_id, of which one row alone is kept; `n_copies` counts the rows of the same
+    text. Rows are told apart by their texts, also where they have one doc_id. Null is as the empty text, and empty
+    texts equal each other; a text without words has no other links. A null doc_id is a component of its own.
+    Columns besides doc_id and text are not read.
+    """
+    return _judged(docs, least, few).select("doc_id", "component_id", "n_copies", "kept")
+
+
+def without_copies(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFrame:
+    """The rows of docs that `deduplicate` keeps, one of each component."""
+    work = Workspace(docs.sparkSession, "near")
+    kept = work.put(_judged(docs, least, few).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "kept")
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), **dict(zip(("_h1", "_h2"), text_keys()))})
+    # Of a repeated row all come up to here.
+    once = rows.join(kept, ["_id", "_h1", "_h2"], "left_semi").dropDuplicates(["_id", "_h1", "_h2"])
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -17,3 +17,21 @@ def test_stages(spark, sf):
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
     assert 0 < len(ids) < 200
+
+
+def test_repeated_rows_leave_one(spark, sf):
+    def text(seed, n=120):
+        return " ".join(f"word{(seed * 7919 + k * k * 31 + k) % 9973}" for k in range(n))
+
+    near_7 = text(7).replace(text(7).split()[60], "other")
+    # A repeated row; a doc_id with a copy of another's text and one of its own; and one that holds two near copies.
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (4, text(2)), (4, text(4)), (7, near_7), (7, text(7)), (9, text(7)), (None, text(2)), (None, text(2))]
+    rows += [(20 + i, text(20 + i)) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    got = sorted((r.doc_id or 0, r.text) for r in left.collect())
+    sevens = [t for i, t in got if i == 7]
+    assert len(sevens) == 1 and sevens[0] in (near_7, text(7))
+    assert [x for x in got if x[0] != 7] == sorted([(1, text(1)), (2, text(2)), (4, text(4)), (0, text(2)), (0, text(2)), *rows[10:]])
+    cut = corpus_pipeline.cut_repeats(spark, left.where("doc_id is not null"), sf)
+    assert {r.doc_id: r.text for r in cut.collect()}[1] == text(1)
