@@ -10,6 +10,7 @@ CONDENSE_SYSTEM = "You edit technical books. You shorten prose without changing
 TRANSLATE_SYSTEM = "You translate technical prose faithfully; code, names, addresses and numbers stay as they are."
 
 
+# The wording of the markers below must match what providers were tuned on.
 def caption_note(caption: Column) -> Column:
     return F.when(F.coalesce(caption, F.lit("")) != "", F.concat(F.lit(' — "'), caption, F.lit('"'))).otherwise("")
 
@@ -26,20 +27,26 @@ def marker(kind: Column, level: Column, text: Column, language: Column, caption:
     )
 
 
-def bodies(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and body: the blocks of a chunk in order, runs under [TEXT n] with their blocks numbered, parted by blank lines.
-
-    runs hold type, kind, run_id, block_index, text, level, language, image_id and caption.
-    """
+def lines(runs: DataFrame, keys: list[str], image_ids: bool = True) -> DataFrame:
+    """runs with _line, what stands in a prompt for each block; images by id, or by a marker where the ids aren't asked for."""
     place = W.partitionBy(*keys).orderBy("block_index")
     k = F.row_number().over(W.partitionBy(*keys, "run_id").orderBy("block_index")).cast("string")
     first = F.lag("run_id").over(place).isNull() | (F.lag("run_id").over(place) != F.col("run_id"))
-    block = F.concat(F.lit("[BLOCK "), k, F.lit(" type="), "type", F.lit("]\n"), "text")
+    said = F.when(F.col("type") == "list", F.array_join(F.transform("items", lambda i: F.concat(F.lit("- "), i)), "\n")).otherwise(F.col("text")) if "items" in runs.columns else F.col("text")
+    block = F.concat(F.lit("[BLOCK "), k, F.lit(" type="), "type", F.lit("]\n"), said)
     text = F.concat(F.when(first, F.concat(F.lit("\n[TEXT "), F.col("run_id").cast("string"), F.lit("]\n"))).otherwise(""), block)
     image = F.concat(F.lit("\n[IMG:"), "image_id", caption_note(F.col("caption")), F.lit("]"))
     other = F.concat(F.lit("\n"), marker(F.col("type"), F.col("level"), F.col("text"), F.col("language"), F.col("caption")))
-    lines = runs.withColumn("_line", F.when(F.col("kind") == "text", text).when(F.col("kind") == "image", image).otherwise(other))
-    held = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block_index", "_line")))["_line"].alias("_l"))
+    by_id = (F.col("kind") == "image") & F.lit(image_ids)
+    return runs.withColumn("_line", F.when(F.col("kind") == "text", text).when(by_id, image).otherwise(other))
+
+
+def bodies(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and body: the blocks of a chunk in order, runs under [TEXT n] with their blocks numbered, parted by blank lines.
+
+    runs hold type, kind, run_id, block_index, text, level, language, image_id and caption.
+    """
+    held = lines(runs, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block_index", "_line")))["_line"].alias("_l"))
     return held.select(*keys, strip(F.array_join("_l", "\n")).alias("body"))
 
 
@@ -65,10 +72,11 @@ def synthesis_prompt(body: Column, tokens: Column, smooth: bool = True) -> Colum
     return F.concat(F.lit(f"{task} this chapter to about "), words(tokens).cast("string"), F.lit(' words. Return only {"texts": {"1": [...]}}.\n\n'), body)
 
 
-def translate_prompt(units: Column, target: Column, glossary: Column) -> Column:
-    """units: array of (unit, text) in order; glossary: a map, may be empty."""
-    lines = F.array_join(F.transform(units, lambda u: F.concat(F.lit("["), u["unit"].cast("string"), F.lit("] "), u["text"])), "\n")
-    return F.concat(F.lit("Translate the numbered segments to "), target, F.lit(', markup unchanged. Return only {"translations": {"1": "..."}}.\n'), glossary_lines(glossary), F.lit("\n"), lines)
+def translate_user(batch: dict[str, str], target: str, terms: dict[str, str] | None = None, source: str | None = None) -> str:
+    """The prompt for a batch of units (number, text) in order; terms: source to target, may be empty."""
+    lines = [f"Translate the numbered segments {f'from {source} ' if source else ''}to {target}, markup unchanged. " 'Return only {"translations": {"1": "..."}}.']
+    lines += [f"- {a} → {b}" for a, b in (terms or {}).items()]
+    return "\n".join([*lines, "", *(f"[{i}] {t}" for i, t in batch.items())])
 
 
 def glossary(json_text: Column) -> Column:

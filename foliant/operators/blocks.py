@@ -5,6 +5,7 @@ A block row is (book, chapter, block_index, type, text, ...). Order is data: eve
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliant.functions.text import count_tokens, lines_of, strip
@@ -20,15 +21,26 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def chunk_numbers(tokens: Column, most: int) -> Column:
-    """For an array of token counts, the chunk of each: a new one starts where the current has blocks and would overflow."""
-    state = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("blocks"), F.lit(1).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    """For an array of token counts, the chunk of each: a new one starts where the current has blocks and would overflow.
 
-    def step(s: Column, t: Column) -> Column:
-        new = (s.blocks > 0) & (s.held + t > most)
-        chunk = s.chunk + new.cast("int")
-        return F.struct(F.when(new, t.cast("long")).otherwise(s.held + t).alias("held"), F.when(new, F.lit(1)).otherwise(s.blocks + 1).alias("blocks"), chunk.alias("chunk"), F.concat(s.out, F.array(chunk)).alias("out"))
+    The fold is sequential and its state must stay small for it to be linear, so it runs over Arrow batches.
+    """
 
-    return F.aggregate(tokens, state, step, lambda s: s.out)
+    @F.pandas_udf("array<int>")
+    def run(held: pd.Series) -> pd.Series:
+        return pd.Series([None if counts is None else _chunk_numbers(counts, most) for counts in held], dtype=object)
+
+    return run(tokens.cast("array<long>"))
+
+
+def _chunk_numbers(counts, most: int) -> list[int]:
+    out, chunk, load, blocks = [], 1, 0, 0
+    for n in counts.tolist():
+        if blocks and load + n > most:
+            chunk, load, blocks = chunk + 1, 0, 0
+        load, blocks = load + n, blocks + 1
+        out.append(chunk)
+    return out
 
 
 def chunked(docs: DataFrame, most: int = 500) -> DataFrame:
@@ -92,9 +104,13 @@ def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     return lines.join(tables, (lines.doc == tables.doc) & (lines.page == tables.page) & mid.between(tables.top, tables.bottom), "left_anti")
 
 
+# Parts of the names of fonts whose letters are equally wide.
+MONO = ("mono", "courier", "consol", "menlo", "andale")
+
+
 def classify_lines(lines: DataFrame) -> DataFrame:
     """code, heading or body, by font and size against the median size of the book's own text, 11 if it has none."""
-    mono = F.lower("font").rlike("mono|courier|consol|menlo|code")
+    mono = F.lower("font").rlike("|".join(MONO))
     bold = F.lower("font").contains("bold")
     body = lines.groupBy("doc").agg(F.coalesce(F.median(F.when(~mono & (F.col("size") > 0), F.col("size"))), F.lit(11.0)).alias("body"))
     kind = F.when(mono, "code").when((F.col("size") >= 1.25 * F.col("body")) | (bold & (F.col("size") >= 1.05 * F.col("body"))), "heading").otherwise("body")
@@ -112,12 +128,30 @@ def line_blocks(lines: DataFrame) -> DataFrame:
     held = marked.groupBy("doc", "page", "island").agg(F.first("kind").alias("kind"), F.max(F.col("size") / F.col("body")).alias("scale"), F.array_sort(F.collect_list(F.struct("top", "line_no", "text"))).alias("t"))
     texts = F.col("t.text")
     return held.select(
-        "doc", "page", "island", F.when(F.col("kind") == "body", "paragraph").otherwise(F.col("kind")).alias("type"),
+        "doc", "page", "island", F.get("t.top", F.lit(0)).alias("top"), F.when(F.col("kind") == "body", "paragraph").otherwise(F.col("kind")).alias("type"),
         F.when(F.col("kind") == "heading", F.when(F.col("scale") >= 1.6, 1).otherwise(2)).alias("level"),
         F.when(F.col("kind") == "code", F.array_join(texts, "\n")).otherwise(F.array_join(texts, " ")).alias("text"),
     )
 
 
+def page_blocks(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Blocks of pages (doc, page, part, top, seq, type, level, text, rows): lines outside tables, and the tables.
+
+    Within a page they go by their top, tables first where tops are equal.
+    """
+    text = line_blocks(outside_tables(classify_lines(lines).where("text != ''"), tables))
+    text = text.select("doc", "page", F.lit(1).alias("part"), F.col("top").cast("double").alias("top"), (F.col("island") + (1 << 20)).alias("seq"), "type", "level", "text")
+    n = F.row_number().over(W.partitionBy("doc", "page").orderBy("top", "bottom")).cast("int")
+    whole = tables.select("doc", "page", F.lit(1).alias("part"), F.col("top").cast("double").alias("top"), n.alias("seq"), F.lit("table").alias("type"), "rows")
+    return text.unionByName(whole, allowMissingColumns=True)
+
+
+def numbered_blocks(blocks: DataFrame, chapter: list[str], order: list[str]) -> DataFrame:
+    """blocks with block_index from 0 within their chapter, without the columns that told their order."""
+    n = F.row_number().over(W.partitionBy(*chapter).orderBy(*order)) - 1
+    return blocks.withColumn("block_index", n.cast("int")).drop(*order)
+
+
 def first_of_content(images: DataFrame) -> DataFrame:
     """The first image of each content in reading order (doc, chapter, page, pos); its id is made from the content."""
     w = W.partitionBy("doc", "content").orderBy("chapter", "page", "pos")

@@ -1,11 +1,10 @@
-"""The stages around the text provider, with its deterministic default, and the renderers."""
+"""Estimates of the stages around the text provider, without asking it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliant.functions.cost import SYNTHESIS_SHAVE, TRIM_SHAVE, target_tokens
-from foliant.functions.text import count_tokens, html_escape
 
 UNDERSHOOT = 0.75
 TRIM_OVER = 1.15
@@ -41,53 +40,3 @@ def synthesize(condensed: DataFrame, ratio: float) -> DataFrame:
     c = c.withColumn("s", F.when(F.col("smoothed"), F.rint(F.col("o").cast("double") * SYNTHESIS_SHAVE).cast("long")).otherwise(F.col("o")))
     c = c.withColumn("trim_passes", (F.col("smoothed") & (F.col("s") > F.col("target_tokens") * TRIM_OVER)).cast("int"))
     return c.withColumn("output_tokens", F.when(F.col("trim_passes") == 1, F.rint(F.col("s").cast("double") * TRIM_SHAVE).cast("long")).otherwise(F.col("s")))
-
-
-def block_markdown() -> Column:
-    kind, text = F.col("type"), F.col("text")
-    marks = F.transform("items", lambda x, i: F.concat(F.when(F.col("ordered"), F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), x))
-    cell = lambda c: F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.get("rows", F.lit(0)))))
-    body = F.transform("rows", row)
-    return (
-        F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), text))
-        .when(kind == "code", F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), F.regexp_replace(text, r"\n+$", ""), F.lit("\n```")))
-        .when(kind == "quote", F.concat(F.lit("> "), F.replace(text, F.lit("\n"), F.lit("\n> "))))
-        .when(kind == "list", F.array_join(marks, "\n"))
-        .when(kind == "table", F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))), "\n"))
-        .when(kind == "image", F.concat(F.lit("!["), F.coalesce("caption", F.lit("")), F.lit("]("), "link", F.lit(")")))
-        .otherwise(text)
-    )
-
-
-def block_html() -> Column:
-    kind, text = F.col("type"), html_escape(F.col("text"))
-    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
-    items = F.array_join(F.transform("items", lambda x: tag("li", html_escape(x))), "")
-    row = lambda r, i: tag("tr", F.array_join(F.transform(r, lambda c: F.when(i == 0, tag("th", html_escape(c))).otherwise(tag("td", html_escape(c)))), ""))
-    level, caption = F.col("level").cast("string"), html_escape(F.coalesce("caption", F.lit("")))
-    figure = F.concat(F.lit('<img src="'), "link", F.lit('" alt="'), caption, F.lit('"/>'), F.when(caption != "", tag("figcaption", caption)).otherwise(""))
-    return (
-        F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">")))
-        .when(kind == "code", tag("pre", tag("code", text)))
-        .when(kind == "quote", tag("blockquote", tag("p", text)))
-        .when(kind == "list", F.when(F.col("ordered"), tag("ol", items)).otherwise(tag("ul", items)))
-        .when(kind == "table", tag("table", F.array_join(F.transform("rows", row), "")))
-        .when(kind == "image", F.when(F.col("link").isNull(), "").otherwise(tag("figure", figure)))
-        .otherwise(tag("p", text))
-    )
-
-
-def _joined(blocks: DataFrame, keys: list[str], one: Column, by: str, name: str, end: str = "") -> DataFrame:
-    held = blocks.withColumn("_one", one).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block_index", "_one")))["_one"].alias("_all"))
-    return held.select(*keys, F.concat(F.array_join("_all", by), F.lit(end)).alias(name))
-
-
-def to_markdown(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks parted by blank lines; needs type, text, level, items, ordered, rows, caption, link, language."""
-    return _joined(blocks, keys, block_markdown(), "\n\n", "markdown", "\n")
-
-
-def to_html(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    return _joined(blocks, keys, block_html(), "\n", "html")

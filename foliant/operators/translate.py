@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliant.functions import prompts as P
+from foliant.functions.provider import Provider
 from foliant.operators.blocks import unit_batches
 from foliant.sources import html as H
+from foliant.workspace import Workspace
 
 BATCH, TRIES = 40, 2
 
@@ -63,6 +66,15 @@ def translate_units(units: DataFrame, keys: list[str], order: str, provider: Cal
     return batches.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in by) + ", unit int, text string, translated boolean")
 
 
+def batch_fingerprints(units: DataFrame, keys: list[str], target: str, *fields: str) -> DataFrame:
+    """keys, batch_start, fingerprint: over the language, further fields, and the units sorted by their numbers as text."""
+    one = F.struct(F.col("unit").cast("string").alias("id"), "text")
+    held = units.groupBy(*keys, "batch_start").agg(F.array_sort(F.collect_list(one)).alias("u"))
+    body = F.array_join(F.transform("u", lambda x: F.concat(x["id"], F.lit("\0"), x["text"], F.lit("\0"))), "")
+    head = "".join(f"{f}\0" for f in ("batch 1", target, *fields))
+    return held.select(*keys, "batch_start", F.sha1(F.concat(F.lit(head), body)).alias("fingerprint"))
+
+
 def complete_batches(translated: DataFrame, keys: list[str]) -> DataFrame:
     """Batches that may be stored: every unit was answered."""
     return translated.groupBy(*keys, "batch_start").agg(F.bool_and("translated").alias("whole"), F.count("*").alias("units")).where("whole").drop("whole")
@@ -72,3 +84,45 @@ def faithful(source: Column, reply: Column) -> Column:
     """Struct (text, rich, downgraded): the reply's markup stays if it has the source's tags, else its plain text."""
     same = H.tag_signature(reply) == H.tag_signature(source)
     return F.struct(H.strip_tags(reply).alias("text"), F.when(same, reply).alias("rich"), (~same).alias("downgraded"))
+
+
+class Translator:
+    """The call for a batch of units, through a text provider."""
+
+    def __init__(self, provider: Provider, target: str, terms: dict[str, str] | None = None, source: str | None = None):
+        self.provider, self.target, self.terms, self.source = provider, target, terms, source
+
+    def __call__(self, batch: dict[str, str]) -> str:
+        return self.provider.generate(P.TRANSLATE_SYSTEM, P.translate_user(batch, self.target, self.terms, self.source))
+
+
+def translate_blocks(blocks: DataFrame, titles: DataFrame, chapter: list[str], call: Callable[[dict[str, str]], str], size: int = BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, titles, per chapter: units, untranslated, downgraded) with texts replaced by their translations.
+
+    Units go out with their markup; a reply is cleaned, and keeps its markup if that has the source's tags.
+    """
+    marked = blocks.withColumn("text", F.coalesce("rich", "text")).withColumn("items", F.coalesce("items_rich", "items"))
+    units = units_of(titles, marked, chapter)
+    numbered = unit_batches(units, chapter, "place", size).select(*chapter, "unit", "place", F.col("text").alias("own"))
+    answers = Workspace(blocks.sparkSession, "translate").put(translate_units(units, chapter, "place", call, size))  # asked once
+    said = answers.join(numbered, [*chapter, "unit"])
+    reply = H.sanitize(F.when(F.col("translated"), F.col("text")))
+    said = said.withColumn("f", F.when(F.col("translated"), faithful(F.col("own"), reply)))
+    said = said.select(*chapter, "place", "translated", F.when(F.col("translated"), F.col("f.text")).alias("text"), F.when(H.has_markup(F.col("f.rich")), F.col("f.rich")).alias("rich"), F.coalesce("f.downgraded", F.lit(False)).alias("downgraded"))
+    counts = said.groupBy(*chapter).agg(F.count("*").alias("units"), F.count_if(~F.col("translated")).alias("untranslated"), F.count_if(F.col("downgraded")).alias("downgraded"))
+    new_titles = said.where("place.block = -1 and translated").select(*chapter, F.col("text").alias("_title"))
+    titled = titles.join(new_titles, chapter, "left").withColumn("title", F.coalesce("_title", "title")).drop("_title")
+    per = said.where("place.block >= 0").groupBy(*chapter, F.col("place.block").alias("block_index")).agg(F.array_sort(F.collect_list(F.struct("place", "translated", "text", "rich"))).alias("_u"))
+    held = blocks.join(per, [*chapter, "block_index"], "left")
+    first = F.get("_u", F.lit(0))
+    done = F.coalesce(first["translated"], F.lit(False)) & (F.col("type") != "list")
+    item = lambda u, i: F.when(u["translated"], u["text"]).otherwise(F.get("items", i))
+    item_rich = lambda u, i: F.when(u["translated"], F.coalesce(u["rich"], H.text_as_markup(u["text"]))).otherwise(F.coalesce(F.get("items_rich", i), H.text_as_markup(F.get("items", i))))
+    list_ = (F.col("type") == "list") & F.col("_u").isNotNull()
+    any_rich = F.exists("_u", lambda u: u["rich"].isNotNull()) | (F.col("items_rich").isNotNull() & F.exists("_u", lambda u: ~u["translated"]))
+    out = held.withColumns({
+        "text": F.when(done, first["text"]).otherwise(F.col("text")), "rich": F.when(done, first["rich"]).otherwise(F.col("rich")),
+        "items": F.when(list_, F.transform("_u", item)).otherwise(F.col("items")),
+        "items_rich": F.when(list_, F.when(any_rich, F.transform("_u", item_rich))).otherwise(F.col("items_rich")),
+    })
+    return out.select(blocks.columns), titled, counts

@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from foliant.functions import cost, prompts as P, text as T
-from foliant.operators import blocks as B, condense as C, replies as R, translate as X
-from foliant.sources import epub as E, html as H
+from foliant.functions import cost, prompts as P, provider as PR, text as T
+from foliant.operators import blocks as B, condense as C, links as L, render as RD, replies as R, stages as S, translate as X, vision as V
+from foliant.sources import epub as E, html as H, pdf as PDF
 from foliant.streaming import checkpoint as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,20 +179,20 @@ def checkpoint_last_write_wins(spark, d):
     return K.last_writes(table(spark, d, "events"), ["user_id", "event_type"], "event_id", "props")
 
 
-@query("SELECT event_id, json_extract_string('{' || split_part(props, '{', 2), '$.k') AS k FROM events WHERE props LIKE '%{%'")
+@query("SELECT event_id, CASE WHEN props LIKE '%{%' THEN json_extract_string('{' || split_part(props, '{', 2), '$.k') END AS k FROM events")
 def checkpoint_json_decode(spark, d):
     v = T.json_object(F.concat(F.lit("```json\n"), "props", F.lit("\n``` done")))
-    return table(spark, d, "events").where("props like '%{%'").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"))
+    return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"))
 
 
-_IMG = "a AS (SELECT source AS doc, 'img' || (doc_id % 97) AS image_id, min(doc_id) AS first FROM documents GROUP BY ALL), r AS (SELECT DISTINCT source AS doc, 'img' || (doc_id % 101) AS image_id FROM documents WHERE n_chars % 2 = 0)"
+_IMG = "a AS (SELECT source AS doc, 'img' || (doc_id % 97) AS image_id, min(doc_id) AS first FROM documents GROUP BY ALL), r AS (SELECT DISTINCT source AS doc, 'img' || (doc_id * 2 % 202) AS image_id FROM documents)"
 
 
 def _images(spark, d):
-    name = lambda n: F.concat(F.lit("img"), (F.col("doc_id") % n).cast("string")).alias("image_id")
+    name = lambda n: F.concat(F.lit("img"), n.cast("string")).alias("image_id")
     x = docs(spark, d)
-    assets = x.groupBy(F.col("source").alias("doc"), name(97)).agg(F.min("doc_id").alias("first"))
-    return B.select_assets(assets, x.where("n_chars % 2 = 0").select(F.col("source").alias("doc"), name(101)).distinct())
+    assets = x.groupBy(F.col("source").alias("doc"), name(F.col("doc_id") % 97)).agg(F.min("doc_id").alias("first"))
+    return B.select_assets(assets, x.select(F.col("source").alias("doc"), name(F.col("doc_id") * 2 % 202)).distinct())
 
 
 @query(f"WITH {_IMG} SELECT a.* FROM a SEMI JOIN r USING (doc, image_id)")
@@ -252,9 +252,12 @@ def condense_ratio_report(spark, d):
     return g.withColumn("kept_ratio", F.col("output_tokens").cast("double") / F.col("input_tokens").cast("double"))
 
 
-@query(f"{_OUT} SELECT chapter, chunk_no, sum(out_tokens) > 0.35 * sum(tokens) AS over_length FROM t GROUP BY chapter, chunk_no")
+@query(f"""{_OUT} SELECT chapter, chunk_no, sum(CASE WHEN chapter % 10 = 0 THEN greatest(1, (2 * length(text) + 1) // 4) ELSE out_tokens END) > sum(tokens) AS over_length FROM t GROUP BY chapter, chunk_no""")
 def over_length_flags(spark, d):
-    return _condensed(spark, d).groupBy("chapter", "chunk_no").agg((F.sum("out_tokens") > 0.35 * F.sum("tokens")).alias("over_length"))
+    """A chunk is over length when what came back has more tokens than its source; one chapter of ten is said twice."""
+    twice = T.count_tokens(F.concat_ws(" ", "text", "text"))
+    said = _condensed(spark, d).withColumn("out_tokens", F.when(F.col("chapter") % 10 == 0, twice).otherwise(F.col("out_tokens")))
+    return said.groupBy("chapter", "chunk_no").agg((F.sum("out_tokens") > F.sum("tokens")).alias("over_length"))
 
 
 @query(f"{_OUT}, r AS (SELECT book, sum(out_tokens)::DOUBLE / sum(tokens)::DOUBLE AS kept_ratio FROM t GROUP BY book) SELECT book, kept_ratio FROM r WHERE kept_ratio > 0 AND kept_ratio < 0.5::DOUBLE * 0.75::DOUBLE")
@@ -290,28 +293,71 @@ def bcp47_lang(spark, d):
     return spark.createDataFrame([(x,) for x in _LANGS], "lang string").select("lang", T.to_bcp47(F.col("lang")).alias("tag"))
 
 
-_TOC = "toc AS (SELECT source AS doc, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS ord, 'T' || doc_id AS title, (doc_id % 40)::INT AS start_page FROM documents WHERE n_chars % 5 = 0)"
+# Each document is a book of pages of 10 lines, whose every 25th line from the fourth is an entry of its contents.
+_TOC = f"""WITH {LINES}, toc AS (SELECT chapter AS doc, (block_index // 25)::INT AS ord, text AS title, (block_index // 10)::INT AS start_page FROM lines WHERE block_index % 25 = 3),
+  t AS (SELECT *, lead(start_page) OVER (PARTITION BY doc ORDER BY start_page, ord) AS end_page FROM toc), pages AS (SELECT DISTINCT chapter AS doc, (block_index // 10)::INT AS page FROM lines)"""
 
 
-@query(f"""WITH {_TOC}, t AS (SELECT *, lead(start_page) OVER (PARTITION BY doc ORDER BY start_page, ord) AS end_page FROM toc), pages AS (SELECT doc, page::INT AS page FROM (SELECT DISTINCT source AS doc FROM documents), range(60) r(page))
-  SELECT pages.doc, page, ord, title FROM pages JOIN t ON pages.doc = t.doc AND page >= start_page AND (end_page IS NULL OR page < end_page)""")
+def _contents(spark, d):
+    lines = B.paragraphs(docs(spark, d)).withColumnRenamed("chapter", "doc")
+    page = F.floor(F.col("block_index") / 10).cast("int")
+    toc = lines.where("block_index % 25 = 3").select("doc", F.floor(F.col("block_index") / 25).cast("int").alias("ord"), F.col("text").alias("title"), page.alias("start_page"))
+    return lines.select("doc", page.alias("page")).distinct(), toc
+
+
+@query(f"{_TOC} SELECT pages.doc, page, ord, title FROM pages JOIN t ON pages.doc = t.doc AND page >= start_page AND (end_page IS NULL OR page < end_page)")
 def toc_chapters(spark, d):
-    x = docs(spark, d)
-    toc = x.where("n_chars % 5 = 0").select(F.col("source").alias("doc"), (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).alias("ord"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), (F.col("doc_id") % 40).cast("int").alias("start_page"))
-    pages = x.select(F.col("source").alias("doc")).distinct().select("doc", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("page"))
-    return B.pages_to_chapters(pages, toc)
+    return B.pages_to_chapters(*_contents(spark, d))
+
+
+@query(f"""{_TOC} SELECT pages.doc, page, ord, title FROM pages JOIN t ON pages.doc = t.doc AND page >= start_page AND (end_page IS NULL OR page < end_page)
+  UNION ALL SELECT doc, page, 0, 'Book ' || doc FROM pages WHERE doc NOT IN (SELECT doc FROM toc)""")
+def pdf_chapters(spark, d):
+    """Books without an entry are one chapter under their own title."""
+    pages, toc = _contents(spark, d)
+    titles = docs(spark, d).select(F.col("doc_id").alias("doc"), F.concat(F.lit("Book "), F.col("doc_id").cast("string")).alias("title"))
+    return PDF.chapters(pages, toc, titles, B.pages_to_chapters)
+
+
+@query(f"""{_TOC}, given AS (SELECT doc, 0 AS ord, 'given' AS title, 1 AS start_page FROM (SELECT DISTINCT doc FROM pages) WHERE doc % 4 = 0), inferred AS (SELECT doc, 0 AS ord, 'inferred' AS title, 0 AS start_page FROM (SELECT DISTINCT doc FROM pages))
+  SELECT * FROM given UNION ALL SELECT * FROM toc WHERE doc % 4 <> 0 UNION ALL SELECT * FROM inferred WHERE doc % 4 <> 0 AND doc NOT IN (SELECT doc FROM toc)""")
+def toc_precedence(spark, d):
+    """Contents given by hand come first, then the outline, then what was inferred."""
+    pages, outline = _contents(spark, d)
+    every = pages.select("doc").distinct()
+    one = lambda title, start: (F.lit(0).alias("ord"), F.lit(title).alias("title"), F.lit(start).alias("start_page"))
+    return PDF.chosen_toc(every.where("doc % 4 = 0").select("doc", *one("given", 1)), outline, every.select("doc", *one("inferred", 0)))
+
+
+class _Reader:
+    """Answers a question about contents with each page whose text begins with an even number of letters, torn entries among them."""
+
+    def generate(self, system, user):
+        import json
+        import re
+
+        found = [{"title": f"p{k}", "start_page": k} for k, text in re.findall(r"(?ms)^\[PAGE (\d+)\]\n(.*?)(?=\n\n\[PAGE|\Z)", user) if len(text) % 2 == 0]
+        return f"```json\n{json.dumps({'chapters': [*found, {'title': 'torn'}, {'title': 'x', 'start_page': 'none'}]})}\n```"
+
+
+@query(f"""WITH {LINES}, p AS (SELECT chapter AS doc, block_index // 10 AS page, string_agg(text, chr(10) ORDER BY block_index) AS text FROM lines GROUP BY 1, 2)
+  SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY page) - 1)::INT AS ord, 'p' || page AS title, page::INT AS start_page FROM p WHERE page < 20 AND length(text) % 2 = 0""")
+def toc_inference(spark, d):
+    """A provider reads the first twenty pages of each book."""
+    lines = B.paragraphs(docs(spark, d)).select(F.col("chapter").alias("doc"), F.floor(F.col("block_index") / 10).cast("int").alias("page"), F.col("block_index").alias("line_no"), "text")
+    return PDF.inferred_toc(PDF.toc_samples(PDF.page_texts(lines)), _Reader())
 
 
 # Lines of a laid-out page: 40 a page, 12 high, every seventh after a gap, some large or in a code font.
 _PDF = f"""WITH {LINES}, pdf AS (SELECT chapter AS doc, block_index // 40 AS page, block_index AS line_no, (block_index % 40) * 14 + (block_index % 40) // 7 * 20 AS top, (block_index % 40) * 14 + (block_index % 40) // 7 * 20 + 12 AS bottom,
-  left(text, 20) AS text, CASE WHEN block_index % 11 = 4 THEN 'Courier' ELSE 'Times' END AS font, (CASE WHEN block_index % 13 = 0 THEN 18 WHEN block_index % 17 = 5 THEN 14 ELSE 10 END)::DOUBLE AS size FROM lines)"""
+  text, CASE WHEN block_index % 11 = 4 THEN 'Courier' ELSE 'Times' END AS font, (CASE WHEN block_index % 13 = 0 THEN 18 WHEN block_index % 17 = 5 THEN 14 ELSE 10 END)::DOUBLE AS size FROM lines)"""
 
 
 def _pdf(spark, d):
     i = F.col("block_index")
     top = (i % 40) * 14 + F.floor((i % 40) / 7).cast("int") * 20
     return B.paragraphs(docs(spark, d)).select(
-        F.col("chapter").alias("doc"), F.floor(i / 40).cast("int").alias("page"), i.alias("line_no"), top.alias("top"), (top + 12).alias("bottom"), F.left("text", F.lit(20)).alias("text"),
+        F.col("chapter").alias("doc"), F.floor(i / 40).cast("int").alias("page"), i.alias("line_no"), top.alias("top"), (top + 12).alias("bottom"), "text",
         F.when(i % 11 == 4, "Courier").otherwise("Times").alias("font"), F.when(i % 13 == 0, 18.0).when(i % 17 == 5, 14.0).otherwise(10.0).alias("size"),
     )
 
@@ -338,12 +384,12 @@ def pdf_line_classify(spark, d):
   SELECT doc, page, island, CASE WHEN any_value(kind) = 'body' THEN 'paragraph' ELSE any_value(kind) END AS type, CASE WHEN any_value(kind) = 'heading' THEN CASE WHEN max(size / body) >= 1.6 THEN 1 ELSE 2 END ELSE 0 END AS level,
   CASE WHEN any_value(kind) = 'code' THEN string_agg(text, chr(10) ORDER BY top, line_no) ELSE string_agg(text, ' ' ORDER BY top, line_no) END AS text FROM g GROUP BY doc, page, island""")
 def pdf_blocks(spark, d):
-    return B.line_blocks(B.classify_lines(_pdf(spark, d))).withColumn("level", F.coalesce("level", F.lit(0)))
+    return B.line_blocks(B.classify_lines(_pdf(spark, d))).drop("top").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
-@query("""SELECT doc, doc_id AS chapter, 'pdfimg-' || left(h, 16) AS image_id FROM (SELECT source AS doc, doc_id, sha256(left(text, 12)) AS h FROM documents) QUALIFY row_number() OVER (PARTITION BY doc, h ORDER BY doc_id) = 1""")
+@query("""SELECT doc, doc_id AS chapter, 'pdfimg-' || left(h, 16) AS image_id FROM (SELECT source AS doc, doc_id, sha256(text) AS h FROM documents) QUALIFY row_number() OVER (PARTITION BY doc, h ORDER BY doc_id) = 1""")
 def asset_dedupe(spark, d):
-    x = docs(spark, d).select(F.col("source").alias("doc"), F.col("doc_id").alias("chapter"), F.lit(0).alias("page"), F.lit(0).alias("pos"), F.left("text", F.lit(12)).cast("binary").alias("data"))
+    x = docs(spark, d).select(F.col("source").alias("doc"), F.col("doc_id").alias("chapter"), F.lit(0).alias("page"), F.lit(0).alias("pos"), F.col("text").cast("binary").alias("data"))
     return B.first_of_content(x).select("doc", "chapter", "image_id")
 
 
@@ -364,23 +410,22 @@ def page_list_items(spark, d):
 
 @query()
 def sanitize_inline(spark, d):
-    b = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p[^>]*>(.*?)</p>"), 1)).alias("pos", "raw"))
-    return b.select("page_id", "pos", H.sanitize("raw").alias("rich"))
+    return table(spark, d, "pages").select("page_id", H.sanitize("html").alias("rich"))
 
 
 @query()
 def strip_tags(spark, d):
-    return sanitize_inline(spark, d).select("page_id", "pos", H.strip_tags("rich").alias("text"))
+    return sanitize_inline(spark, d).select("page_id", H.strip_tags("rich").alias("text"))
 
 
 @query()
 def tag_signature(spark, d):
-    return sanitize_inline(spark, d).select("page_id", "pos", H.tag_signature(F.col("rich")).alias("tags"))
+    return sanitize_inline(spark, d).select("page_id", H.tag_signature(F.col("rich")).alias("tags"))
 
 
 @query(f"{_TYPED}, m AS (SELECT *, CASE type WHEN 'heading' THEN '## ' || text WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' WHEN 'quote' THEN '> ' || text WHEN 'image' THEN '![' || text || '](images/' || block_index || '.png)' ELSE text END AS md FROM typed) SELECT chapter, string_agg(md, chr(10) || chr(10) ORDER BY block_index) || chr(10) AS markdown FROM m GROUP BY chapter")
 def markdown_render(spark, d):
-    return C.to_markdown(_renderable(spark, d), ["chapter"])
+    return RD.to_markdown(_renderable(spark, d), ["chapter"])
 
 
 def _esc(x: str) -> str:
@@ -389,10 +434,10 @@ def _esc(x: str) -> str:
     return x
 
 
-@query(f"""{_TYPED}, m AS (SELECT *, CASE type WHEN 'heading' THEN '<h2>' || e || '</h2>' WHEN 'code' THEN '<pre><code>' || e || '</code></pre>' WHEN 'quote' THEN '<blockquote><p>' || e || '</p></blockquote>'
+@query(f"""{_TYPED}, m AS (SELECT *, CASE type WHEN 'heading' THEN '<h2>' || e || '</h2>' WHEN 'code' THEN '<pre><code>' || e || '</code></pre>' WHEN 'quote' THEN '<blockquote>' || e || '</blockquote>'
   WHEN 'image' THEN '<figure><img src="images/' || block_index || '.png" alt="' || e || '"/><figcaption>' || e || '</figcaption></figure>' ELSE '<p>' || e || '</p>' END AS h FROM (SELECT *, {_esc('text')} AS e FROM typed)) SELECT chapter, string_agg(h, chr(10) ORDER BY block_index) AS html FROM m GROUP BY chapter""")
 def html_render(spark, d):
-    return C.to_html(_renderable(spark, d), ["chapter"])
+    return RD.to_html(_renderable(spark, d), ["chapter"])
 
 
 def _renderable(spark, d):
@@ -401,26 +446,36 @@ def _renderable(spark, d):
     return t.withColumns({"level": F.lit(2), "items": F.lit(None).cast("array<string>"), "rows": F.lit(None).cast("array<array<string>>"), "ordered": F.lit(False), "language": F.lit(None).cast("string")})
 
 
-_ANCHOR = "x AS (SELECT source AS doc, doc_id % 50 AS anchor, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS chapter_no FROM documents), loc AS (SELECT doc, anchor, min(chapter_no) AS chapter_no FROM x WHERE anchor % 3 > 0 GROUP BY doc, anchor)"
+# Each document is a book of chapters of 20 lines; two lines of three are anchors a0 to a49, and each links to one of a0 to a59.
+_ANCHOR = f"""WITH {LINES}, x AS (SELECT chapter AS doc, block_index, block_index // 20 + 1 AS chapter_no, CASE WHEN block_index % 3 > 0 THEN 'a' || (block_index % 50) END AS anchor_id, 'a' || (block_index * 7 % 60) AS target, text FROM lines),
+  loc AS (SELECT doc, anchor_id, min(chapter_no)::INT AS chapter_no FROM x WHERE anchor_id IS NOT NULL GROUP BY doc, anchor_id)"""
 
 
-def _anchors(spark, d):
-    x = docs(spark, d).select(F.col("source").alias("doc"), (F.col("doc_id") % 50).alias("anchor"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("chapter_no"))
-    return x, x.where("anchor % 3 > 0").groupBy("doc", "anchor").agg(F.min("chapter_no").alias("chapter_no"))
+def _linked(spark, d):
+    i = F.col("block_index")
+    x = B.paragraphs(docs(spark, d)).withColumnRenamed("chapter", "doc")
+    name = lambda c: F.concat(F.lit("a"), c.cast("string"))
+    rich = F.concat(F.lit('<a href="bbref:'), name(i * 7 % 60), F.lit('"><em>'), T.html_escape(F.col("text")), F.lit("</em></a>"))
+    return x.select("doc", i, (F.floor(i / 20) + 1).cast("int").alias("chapter_no"), F.lit("paragraph").alias("type"), F.when(i % 3 > 0, name(i % 50)).alias("anchor_id"), rich.alias("rich"), F.lit(None).cast("array<string>").alias("items_rich"))
 
 
-@query(f"WITH {_ANCHOR} SELECT * FROM loc")
+@query(f"{_ANCHOR} SELECT * FROM loc")
 def anchor_locations(spark, d):
-    return _anchors(spark, d)[1]
+    return L.anchor_locations(_linked(spark, d), ["doc"])
 
 
-@query(f"WITH {_ANCHOR} SELECT x.doc, x.chapter_no, x.anchor, CASE WHEN loc.chapter_no IS NULL THEN NULL WHEN loc.chapter_no = x.chapter_no THEN '#a' || x.anchor ELSE 'chap-' || loc.chapter_no || '.xhtml#a' || x.anchor END AS href FROM x LEFT JOIN loc USING (doc, anchor)")
+@query(f"""{_ANCHOR} SELECT x.doc, x.block_index, CASE WHEN loc.chapter_no IS NULL THEN '' WHEN loc.chapter_no = x.chapter_no THEN '<a href="#' || x.target || '">' ELSE '<a href="chap-' || loc.chapter_no || '.xhtml#' || x.target || '">' END
+  || '<em>' || {_esc('x.text')} || '</em>' || CASE WHEN loc.chapter_no IS NULL THEN '' ELSE '</a>' END AS rich FROM x LEFT JOIN loc ON x.doc = loc.doc AND x.target = loc.anchor_id""")
 def bbref_resolve(spark, d):
-    x, loc = _anchors(spark, d)
-    at = loc.withColumnRenamed("chapter_no", "at")
-    a = F.concat(F.lit("#a"), F.col("anchor").cast("string"))
-    href = F.when(F.col("at") == F.col("chapter_no"), a).when(F.col("at").isNotNull(), F.concat(F.lit("chap-"), F.col("at").cast("string"), F.lit(".xhtml"), a))
-    return x.join(at, ["doc", "anchor"], "left").select("doc", "chapter_no", "anchor", href.alias("href"))
+    x = _linked(spark, d)
+    return L.linked(x, ["doc"], L.anchor_locations(x, ["doc"])).select("doc", "block_index", "rich")
+
+
+@query(f"""{_ANCHOR} SELECT x.doc, x.block_index, CASE WHEN loc.chapter_no IS NULL THEN '' ELSE '<a href="#' || x.target || '">' END || '<em>' || {_esc('x.text')} || '</em>' || CASE WHEN loc.chapter_no IS NULL THEN '' ELSE '</a>' END AS rich
+  FROM x LEFT JOIN loc ON x.doc = loc.doc AND x.target = loc.anchor_id""")
+def bbref_one_file(spark, d):
+    x = _linked(spark, d)
+    return L.linked(x, ["doc"], L.anchor_locations(x, ["doc"]), one_file=True).select("doc", "block_index", "rich")
 
 
 # Each run's reply names its blocks and wraps their text; every fifth chapter's reply is torn, so it keeps its blocks.
@@ -522,7 +577,7 @@ def translate_cacheable(spark, d):
 def tag_faithful_rewrite(spark, d):
     """The reply loses its emphasis on odd pages."""
     said = sanitize_inline(spark, d).withColumn("reply", F.when(F.col("page_id") % 2 == 1, F.regexp_replace("rich", "</?(strong|em)>", "")).otherwise(F.col("rich")))
-    return said.select("page_id", "pos", X.faithful(F.col("rich"), F.col("reply")).alias("f")).select("page_id", "pos", "f.*")
+    return said.select("page_id", X.faithful(F.col("rich"), F.col("reply")).alias("f")).select("page_id", "f.*")
 
 
 # Each document is a book of chapters of 20 lines, written as an archive and read again.
@@ -533,3 +588,174 @@ def epub_round_trip(spark, d):
     whole = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 20).cast("int")), lambda i: F.struct(F.lit(None).cast("string").alias("title"), F.array_join(F.transform(F.slice("l", i * 20 + 1, F.lit(20)), paragraph), "\n").alias("html")))
     books = docs(spark, d).select("doc_id", F.concat(F.lit("Book "), F.col("doc_id").cast("string")).alias("title"), F.col("lang").alias("language"), lines.alias("l")).where("size(l) > 0").withColumn("chapters", whole)
     return E.read_blocks(E.write_books(books, "doc_id"), "doc_id").select("doc_id", "chapter", "block_index", "type", "text")
+
+
+# Typed lines as blocks with all columns; images go by a name, of which some have no asset.
+def _blocks(spark, d):
+    t = typed(spark, d).withColumn("image_id", F.when(F.col("type") == "image", F.concat(F.lit("i"), (F.col("block_index") % 50).cast("string"))))
+    image = F.col("type") == "image"
+    return t.select("chapter", "block_index", "type", F.when(~image, F.col("text")).alias("text"), F.when(image, F.col("text")).alias("caption"), "image_id", F.when(F.col("type") == "heading", 2).alias("level"))
+
+
+_SAID = "array_to_string(list_slice(w, 1, greatest(1, round_even(0.3::DOUBLE * len(w), 0)::BIGINT)), ' ')"
+_BLOCKCHUNKS = f"""WITH RECURSIVE {LINES}, typed AS (SELECT chapter, block_index, text, tokens, CASE WHEN block_index % 7 = 0 THEN 'heading' WHEN block_index % 7 = 3 THEN 'code' WHEN block_index % 7 = 5 THEN 'image' WHEN block_index % 7 = 6 THEN 'quote' ELSE 'paragraph' END AS type FROM lines),
+  greedy AS (SELECT chapter, block_index, text, type, tokens, tokens AS held, 1 AS chunk_no FROM typed WHERE block_index = 0 UNION ALL SELECT l.chapter, l.block_index, l.text, l.type, l.tokens,
+    CASE WHEN g.held + l.tokens > {CHUNK} THEN l.tokens ELSE g.held + l.tokens END, CASE WHEN g.held + l.tokens > {CHUNK} THEN g.chunk_no + 1 ELSE g.chunk_no END FROM greedy g JOIN typed l ON l.chapter = g.chapter AND l.block_index = g.block_index + 1),
+  words AS (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, type IN ('paragraph', 'quote') AS prose FROM greedy),
+  said AS (SELECT chapter, chunk_no, block_index, type, tokens, CASE WHEN prose THEN {_SAID} ELSE text END AS text FROM words)"""
+
+
+def _chunk_rows(spark, d):
+    return S.chunk_rows(_blocks(spark, d), ["chapter"], CHUNK)
+
+
+@query(f"""{_BLOCKCHUNKS} SELECT chapter, chunk_no, (row_number() OVER (PARTITION BY chapter, chunk_no ORDER BY block_index) - 1)::INT AS pos, type, text FROM said""")
+def condense_chunks(spark, d):
+    """Every chunk through the provider: prompts, replies by block, images that the reply names."""
+    keys = ["chapter", "chunk_no"]
+    done = S.condense(_chunk_rows(spark, d), keys, PR.Extracting())
+    flat = done.select(*keys, F.posexplode("blocks").alias("pos", "b"))
+    return flat.select(*keys, "pos", "b.type", F.coalesce("b.text", "b.caption").alias("text"))
+
+
+@query(f"""{_BLOCKCHUNKS}, o AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS out FROM said) SELECT chapter, chunk_no, sum(tokens)::BIGINT AS input_tokens, sum(out)::BIGINT AS output_tokens, sum(out) > sum(tokens) AS over_length, false AS failed FROM o GROUP BY chapter, chunk_no""")
+def condense_sizes(spark, d):
+    done = S.condense(_chunk_rows(spark, d), ["chapter", "chunk_no"], PR.Extracting())
+    return done.select("chapter", "chunk_no", "input_tokens", "output_tokens", "over_length", "failed")
+
+
+class _Torn:
+    """Leaves out the first run of a prompt, so that it keeps its wording."""
+
+    def generate(self, system, user):
+        import json
+
+        said = json.loads(PR.Extracting().generate(system, user))
+        said["texts"].pop("1", None)
+        return json.dumps(said)
+
+
+@query(f"""{_BLOCKCHUNKS}, s AS (SELECT *, prose AND NOT coalesce(lag(prose) OVER (PARTITION BY chapter, chunk_no ORDER BY block_index), false) AS st FROM words), n AS (SELECT chapter, chunk_no, sum(st::INT) AS runs FROM s GROUP BY chapter, chunk_no)
+  SELECT chapter, chunk_no, CASE WHEN runs > 1 THEN 1 ELSE 0 END AS degraded, runs = 1 AS failed FROM n""")
+def degraded_runs(spark, d):
+    """A chunk whose only run can't be read fails; one of several just keeps its wording."""
+    done = S.condense(_chunk_rows(spark, d), ["chapter", "chunk_no"], _Torn())
+    return done.select("chapter", "chunk_no", "degraded", "failed")
+
+
+@query(f"""{_BLOCKCHUNKS}, s AS (SELECT *, prose AND NOT coalesce(lag(prose) OVER (PARTITION BY chapter, chunk_no ORDER BY block_index), false) AS st FROM words), n AS (SELECT chapter, chunk_no, sum(st::INT) AS runs FROM s GROUP BY chapter, chunk_no)
+  SELECT count_if(runs > 1)::BIGINT AS degraded, CASE WHEN count_if(runs > 1) > 0 THEN count_if(runs > 1) || ' passages kept their wording: the reply for them didn''t have the expected form' END AS warning FROM n""")
+def degraded_totals(spark, d):
+    done = S.condense(_chunk_rows(spark, d), ["chapter", "chunk_no"], _Torn())
+    return S.degraded_total(done, done.where("false"))
+
+
+@query(f"""{_BLOCKCHUNKS} SELECT 'condense' AS phase, count(DISTINCT (chapter, chunk_no))::BIGINT AS total, (count(DISTINCT (chapter, chunk_no)) FILTER (WHERE chapter % 2 = 0 AND chapter % 4 <> 0))::BIGINT AS reused FROM greedy""")
+def reuse_counters(spark, d):
+    """Of an earlier run's results for even chapters, those of every fourth have another fingerprint."""
+    keys = ["chapter", "chunk_no"]
+    wanted = _chunk_rows(spark, d).withColumn("fingerprint", S.chunk_fingerprint("", 0.3))
+    run = lambda rows: S.condense(rows, keys, PR.Extracting())
+    log = S.resumed(wanted.where("chapter % 2 = 0"), None, keys, S.CONDENSED, run)[1]
+    log = log.withColumn("fingerprint", F.when(F.col("chapter") % 4 == 0, "old").otherwise(F.col("fingerprint")))
+    return S.reuse_counters({"condense": S.resumed(wanted, log, keys, S.CONDENSED, run)[0]})
+
+
+@query(f"""{_BLOCKCHUNKS}, o AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS out FROM said), c AS (SELECT chapter, sum(tokens)::BIGINT AS n, sum(out)::BIGINT AS o, max(chunk_no) AS chunks, bool_or(type IN ('paragraph', 'quote')) AS prose FROM o GROUP BY chapter)
+  SELECT chapter, n AS input_tokens, greatest(round_even(n * 0.3::DOUBLE, 0)::BIGINT, 100) AS target_tokens, prose AND NOT (chunks = 1 AND o <= greatest(round_even(n * 0.3::DOUBLE, 0)::BIGINT, 100)) AS smoothed FROM c""")
+def synthesis_plan(spark, d):
+    """Which chapters the provider smooths, after really condensing them."""
+    done = S.condense(_chunk_rows(spark, d), ["chapter", "chunk_no"], PR.Extracting())
+    return S.synthesize(S.chapters_of(done, ["chapter"]), ["chapter"], PR.Extracting()).select("chapter", "input_tokens", "target_tokens", "smoothed")
+
+
+_SHOWN = f"""{_TYPED}, i AS (SELECT chapter, block_index, 'i' || (block_index % 50) AS image_id, text FROM typed WHERE type = 'image'), assets AS (SELECT DISTINCT chapter, 'i' || k AS image_id FROM typed, range(0, 50, 2) r(k))"""
+
+
+def _assets(spark, d):
+    return docs(spark, d).select(F.col("doc_id").alias("chapter")).where(F.size(T.lines_of(F.col("text"))) >= 0).select("chapter", F.explode(F.sequence(F.lit(0), F.lit(48), F.lit(2))).alias("k")).select("chapter", F.concat(F.lit("i"), F.col("k").cast("string")).alias("image_id"))
+
+
+@query(f"{_SHOWN} SELECT chapter, count(*) AS rankable FROM i SEMI JOIN assets USING (chapter, image_id) GROUP BY chapter")
+def rankable_images(spark, d):
+    return V.rankable(_blocks(spark, d), _assets(spark, d), ["chapter"]).groupBy("chapter").agg(F.count("*").alias("rankable"))
+
+
+@query(f"""WITH {LINES}, a AS (SELECT doc_id AS chapter, 'i' || k AS image_id FROM documents, range(0, 50, 2) r(k)), s AS (SELECT DISTINCT chapter, 'i' || (block_index % 50) AS image_id, true AS seen FROM lines WHERE block_index % 7 = 5 UNION SELECT doc_id, 'i48', true FROM documents)
+  SELECT chapter, coalesce(string_agg(image_id, ' ' ORDER BY image_id) FILTER (WHERE seen), '') AS kept, coalesce(string_agg(image_id, ' ' ORDER BY image_id) FILTER (WHERE seen IS NULL), '') AS dropped FROM a LEFT JOIN s USING (chapter, image_id) GROUP BY chapter""")
+def image_report(spark, d):
+    """Images kept and dropped, sorted: shown by a block, inside a text, or as the cover (i48)."""
+    books = docs(spark, d).select(F.col("doc_id").alias("chapter"), F.lit("i48").alias("cover"))
+    b = _blocks(spark, d).withColumns({"rich": F.lit(None).cast("string"), "items_rich": F.lit(None).cast("array<string>")})
+    # Every second image block shows its image inside a text instead.
+    inside = (F.col("type") == "image") & (F.col("block_index") % 2 == 1)
+    rich = F.concat(F.lit('x <img data-image-id="'), "image_id", F.lit('"/>'))
+    b = b.withColumn("rich", F.when(inside, rich)).withColumn("type", F.when(inside, "paragraph").otherwise(F.col("type")))
+    return V.select(b, _assets(spark, d), books, ["chapter"])[2].select("chapter", F.array_join("kept", " ").alias("kept"), F.array_join("dropped", " ").alias("dropped"))
+
+
+@query(f"""{_TYPED}, n AS (SELECT chapter, block_index, type, text, last_value(CASE WHEN type IN ('heading', 'paragraph', 'quote') THEN text END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  first_value(CASE WHEN type IN ('heading', 'paragraph', 'quote') THEN text END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY block_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM typed)
+  SELECT chapter, block_index, left(array_to_string(list_filter(['Current caption: ' || text, before, after], lambda x: coalesce(x, '') <> ''), chr(10)), 600) AS context FROM n WHERE type = 'image'""")
+def vision_contexts(spark, d):
+    return V.contexts(_blocks(spark, d), ["chapter"]).select("chapter", "block_index", "context")
+
+
+class _Eye:
+    """Scores an image by the length of its context; some replies are torn, some scores are words, some have no caption."""
+
+    def generate_with_image(self, user, image, mime):
+        n = len(user) - len(V.PROMPT)
+        if n % 11 == 0:
+            return '{"score": '
+        return f'{{"score": {chr(34) + "x" + chr(34) if n % 7 == 0 else n % 10 / 10}, "essential": true, "caption": "{"" if n % 2 else f"c{n}"}"}}'
+
+
+@query(f"""{_TYPED}, n AS (SELECT chapter, block_index, type, text, last_value(CASE WHEN type IN ('heading', 'paragraph', 'quote') THEN text END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  first_value(CASE WHEN type IN ('heading', 'paragraph', 'quote') THEN text END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY block_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM typed),
+  c AS (SELECT chapter, block_index, text, length(left(array_to_string(list_filter(['Current caption: ' || text, before, after], lambda x: coalesce(x, '') <> ''), chr(10)), 600)) AS n FROM n WHERE type = 'image')
+  SELECT chapter, block_index, CASE WHEN n % 11 <> 0 AND n % 2 = 0 THEN 'c' || n ELSE text END AS caption FROM c WHERE n % 11 = 0 OR (n % 7 <> 0 AND n % 10 >= 5)""")
+def vision_rank(spark, d):
+    """Images that a provider scores at a half or more stay, and so do those whose reply can't be read."""
+    b = _blocks(spark, d)
+    told = V.contexts(b, ["chapter"]).withColumns({"content": F.lit("x").cast("binary"), "mime": F.lit("image/png")})
+    ranked = V.ranked(b, V.verdicts(told, ["chapter", "block_index"], _Eye()), ["chapter"])
+    return ranked.where("type = 'image'").select("chapter", "block_index", "caption")
+
+
+@query(f"{_UNITS}, b AS (SELECT chapter, (unit // 40 * 40)::INT AS batch_start, string_agg(unit || chr(0) || text || chr(0), '' ORDER BY unit::VARCHAR) AS body FROM u GROUP BY 1, 2) SELECT chapter, batch_start, sha1('batch 1' || chr(0) || 'Spanish' || chr(0) || body) AS fingerprint FROM b")
+def translate_batch_prints(spark, d):
+    """Over the language and the batch's units, sorted by their numbers as text."""
+    units = B.unit_batches(_units(spark, d), ["chapter"], "place")
+    return X.batch_fingerprints(units, ["chapter"], "Spanish")
+
+
+@query(f"""WITH {LINES} SELECT d.doc_id AS doc, '# Book ' || d.doc_id || chr(10) || chr(10) || coalesce(string_agg(CASE WHEN block_index % 20 = 0 THEN CASE WHEN block_index % 40 = 0 THEN '## Part ' || (block_index // 20) || chr(10) || chr(10) || lines.text ELSE '### ' || lines.text END ELSE lines.text END, chr(10) || chr(10) ORDER BY block_index), '') || chr(10) AS markdown
+  FROM documents d JOIN lines ON lines.chapter = d.doc_id GROUP BY d.doc_id""")
+def book_markdown(spark, d):
+    """Books of chapters of 20 lines; every second chapter opens with a heading, and so goes without its title."""
+    i = F.col("block_index")
+    lines = B.paragraphs(docs(spark, d)).select(F.col("chapter").alias("doc"), F.floor(i / 20).cast("int").alias("chapter"), i, F.when(i % 40 == 20, "heading").otherwise("paragraph").alias("type"), "text", F.when(i % 40 == 20, 3).alias("level"))
+    b = S.whole(lines).withColumn("link", F.lit(None).cast("string"))
+    titles = lines.select("doc", "chapter").distinct().withColumn("title", F.concat(F.lit("Part "), F.col("chapter").cast("string")))
+    books = docs(spark, d).select(F.col("doc_id").alias("doc"), F.concat(F.lit("Book "), F.col("doc_id").cast("string")).alias("title"))
+    return RD.book_markdown(b, titles, books, ["doc"])
+
+
+@query(f"""WITH {LINES}, w AS (SELECT chapter AS doc, (block_index // 40)::INT AS page, block_index AS line_no, text, length(text) AS n, length(text) - length(replace(text, 'e', '')) AS e FROM lines)
+  SELECT doc, page, line_no, CASE WHEN n = 0 THEN '' WHEN 2 * e > n THEN 'E' WHEN 2 * e = n THEN CASE WHEN left(text, 1) = 'e' THEN 'E' ELSE 'O' END ELSE 'O' END AS font, (CASE WHEN 2 * e > n THEN 9 WHEN 2 * e = n THEN 10 ELSE 11 END)::DOUBLE AS size FROM w""")
+def pdf_fonts(spark, d):
+    """The most frequent font of a line's characters, the first met among equals, and their median size; each e is in a font of its own."""
+    import pickle
+
+    def extract(data: bytes) -> PDF.Extracted:
+        pages = pickle.loads(data)  # noqa: S301
+        return PDF.Extracted(lines=[[(14.0 * k, 14.0 * k + 12, t, [("E", 9.0) if c == "e" else ("O", 11.0) for c in t]) for k, t in enumerate(page)] for page in pages])
+
+    @F.pandas_udf("binary")
+    def packed(lines):
+        return lines.map(lambda held: pickle.dumps([list(held[k : k + 40]) for k in range(0, len(held), 40)]))
+
+    books = docs(spark, d).select(F.col("doc_id").alias("doc"), packed(T.lines_of(F.col("text"))).alias("content"))
+    lines = PDF.read_lines(books, extract)
+    return lines.select("doc", "page", (F.col("page") * 40 + F.col("line_no")).alias("line_no"), "font", "size")

@@ -28,8 +28,8 @@ def test_book_round_trip(tmp_path):
     with zipfile.ZipFile(tmp_path / "b.EPUB") as z:
         assert z.namelist()[0] == "mimetype" and z.getinfo("mimetype").compress_type == zipfile.ZIP_STORED
         assert {"OEBPS/images/i.png", "OEBPS/images/i-2.png"} <= set(z.namelist())
-    book = E.open_book(made)
-    assert (book["title"], book["author"], book["language"], book["cover"]) == ("A & B", "me", "fr", "OEBPS/images/i.png")
+    book = E.Book(made)
+    assert (book.title, book.author, book.language, book.items[book.cover][0]) == ("A & B", "me", "fr", "OEBPS/images/i.png")
     got = [(r[0], r[1], r[3], r[5]) for r in E.chapter_rows(made)]
     assert got[1:] == [(1, "One", "heading", "One"), (1, "One", "paragraph", "x < y"), (2, "A & B", "list", None)] and got[0][2] == "image"
 
@@ -38,15 +38,15 @@ def test_scan_and_cover(spark, tmp_path):
     (tmp_path / "b.epub").write_bytes(E.make_book("T", [("One", "<p>x</p>")], images=[("c.png", "image/png", b"1")], cover="c.png"))
     (tmp_path / "n.txt").write_text("no")
     books = E.scan(spark, str(tmp_path))
-    assert E.read_metadata(books, "path").select("title", "cover", "chapters").collect() == [("T", "OEBPS/images/c.png", 2)]
+    assert E.read_metadata(books, "path").select("title", "cover", "chapters").collect() == [("T", "img-1", 2)]
     blocks = E.read_blocks(books, "path")
-    left = E.without_leading_cover(blocks, books.select("path", F.lit("c.png").alias("cover")), "path")
+    left = E.without_leading_cover(blocks, books.select("path", F.lit("img-1").alias("cover")), "path")
     assert [r["type"] for r in left.collect()] == ["paragraph"]
 
 
 def test_not_a_book():
     with pytest.raises(ValueError, match="not an EPUB"):
-        E.open_book(b"x")
+        E.Book(b"x")
 
 
 def test_only_the_first_of_a_split_keeps_its_anchor():

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import cost, text as T
-from foliant.operators import blocks as B, condense as C
+from foliant.operators import blocks as B, render as C
 from foliant.sources import html as H
 from foliant.streaming import checkpoint as K
 
