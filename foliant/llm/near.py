@@ -1,12 +1,13 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
 Every text gets 48 consistent weighted samples of its five-word shingles, in twelve bands of four. In a bucket,
-all members are held against its first one, so that a large group of copies costs one comparison each. Those that
-fail are held against all the others, matched ones too: in a small bucket pair by pair. In a large one, whose members
-share a passage but not enough else, exactly by the prefix filter: ordered from rare to frequent, similar texts share a shingle among
-those that come before the last 0.8 of their weights, and for such texts these are mostly their own. At the first
-shingle that two texts share, what is left of both bounds their overlap; so the lighter of two similar texts holds
-it among those before the last 2 * 0.8 / 1.8 of its weight, and a key only compares such members with others. Each comparison is verified on the whole weighted sets.
+all members are held against its first one, so that a large group of copies costs one comparison each, and what is
+similar is contracted to components. Texts of different components that may still be similar are then found by the
+prefix filter, exactly, among all texts that share a bucket with any other: ordered from rare to frequent, similar
+texts share a shingle among those that come before the last 0.8 of their weights. At the first shingle that two texts
+share, what is left of both bounds their overlap; so the lighter of the two holds it among those before the last
+2 * 0.8 / 1.8 of its weight, and the other's total lies within narrow bounds. Each comparison is verified on the
+whole weighted sets.
 
 The inverse document frequency is ln(1 + N / (df + N / 2)): the added half damps it, so that what a group of near
 copies shares isn't outweighed by its few edits. Frequencies are counted in a table of 2**16 hash buckets, whose
@@ -15,19 +16,23 @@ size is fixed and whose error, relative to N, is too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.graph import components, text_keys
+from foliant.llm.graph import components, fresh_names, text_keys
 from foliant.llm.kernels import NOT_SPACE, U, Block, blocks, mix, row_sums, shingles, span_hash
 from foliant.workspace import Workspace
 
 WORDS = 5
 BANDS, ROWS = 12, 4
-HEADS = 256
+#: Members of each component that are tried first where keys hold over DENSE pairs a member.
+DENSE, DELEGATES = 20_000, 4
+#: Steps of totals; slack for sums of floats; how many earlier keys a member carries, to see where a pair met before.
+STEP, EDGE, BEFORE = 1.02, 1e-5, 32
 DF_BITS = 16
 ID_BITS = 44
 _ID = U((1 << ID_BITS) - 1)
@@ -128,7 +133,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def weighted_sets(docs: DataFrame, idf, least: float) -> DataFrame:
-    """doc_id, sorted 32-bit shingle ids, their weights and total, the ids of the prefix for similarities from `least`, and what of the total is left at each."""
+    """node, sorted 32-bit shingle ids, their weights and total, the ids of the prefix for similarities from `least`, and what of the total is left at each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +151,9 @@ def weighted_sets(docs: DataFrame, idf, least: float) -> DataFrame:
                     left = np.concatenate([[total], total - before])[:short]
                     cells.append((small[a:b].tobytes(), weights[a:b].tobytes(), total, small[a:b][order[:short]].view(np.int32), left[: b - a]))
                 columns = [pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "ids", "weights", "total", "prefix", "left"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["node", "ids", "weights", "total", "prefix", "left"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, weights binary, total double, prefix array<int>, left array<double>")
+    return docs.select("node", "text").mapInArrow(run, "node long, ids binary, weights binary, total double, prefix array<int>, left array<double>")
 
 
 def weighted_jaccard(ids_a: np.ndarray, w_a: np.ndarray, ids_b: np.ndarray, w_b: np.ndarray) -> float:
@@ -160,109 +165,122 @@ def weighted_jaccard(ids_a: np.ndarray, w_a: np.ndarray, ids_b: np.ndarray, w_b:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least `least`, with it."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("ids").alias("ids_a"), F.col("weights").alias("w_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("ids").alias("ids_b"), F.col("weights").alias("w_b"))
+    """The rows of pairs (a, b and whatever longs besides) whose weighted Jaccard similarity is at least `least`."""
+    one = sets.select(F.col("node").alias("a"), F.col("ids").alias("ids_a"), F.col("weights").alias("w_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("ids").alias("ids_b"), F.col("weights").alias("w_b"))
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, sims = [], []
+            keep = []
             for i, (x, v, y, w) in enumerate(zip(*(batch.column(c) for c in ("ids_a", "w_a", "ids_b", "w_b")))):
-                sim = weighted_jaccard(*(np.frombuffer(c.as_buffer(), t) for c, t in ((x, np.uint32), (v, np.float32), (y, np.uint32), (w, np.float32))))
-                if sim >= least:
+                sets_of = ((x, np.uint32), (v, np.float32), (y, np.uint32), (w, np.float32))
+                if weighted_jaccard(*(np.frombuffer(c.as_buffer(), t) for c, t in sets_of)) >= least:
                     keep.append(i)
-                    sims.append(sim)
-            picked = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+            yield batch.select(names).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(two, "b").join(one, "a").mapInArrow(run, "a long, b long, similarity double")
+    schema = ", ".join(f"{c} long" for c in names)
+    return pairs.join(two, "b").join(one, "a").select(*names, "ids_a", "w_a", "ids_b", "w_b").mapInArrow(run, schema)
 
 
-def _judged(docs: DataFrame, least: float, few: int) -> DataFrame:
+def stars(work: Workspace, texts: DataFrame) -> DataFrame:
+    """(a, b): each text that shares a bucket with others, beside the bucket's first one."""
+    buckets = texts.select("node", F.posexplode("bands").alias("band", "key"))
+    by = ["band", "key"]
+    # Written first, so that no step between join and shuffle asks for a bucket's rows together: a hot one can be split.
+    heads = work.put(buckets.groupBy(*by).agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+    pairs = buckets.join(heads, by).where("a != node").select("a", F.col("node").alias("b")).distinct()
+    return work.put(pairs, "stars")
+
+
+def meetings(lights: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, ra, rb): pairs of different roots that share a key, and whose totals leave them a chance there.
+
+    Of two similar texts the lighter one, x, is light at the first shingle in common, and the other's total lies
+    between its own and `most`; so members are dealt by key and by steps of their total. A pair that is known to
+    meet at an earlier key as well is left to that one.
+    """
+    step = lambda c: F.floor(F.log(c) / math.log(STEP)).cast("int")
+    low = step(F.col("total") * (1 - EDGE))
+    steps = F.explode(F.sequence(low, F.greatest(low, step(F.col("most"))))).alias("step")
+    named = lambda mark: [F.col(c).alias(f"{c}_{mark}") for c in ("node", "root", "total", "most", "before")]
+    x = lights.select("key", *named("x"), F.col("total"), F.col("most")).select("*", steps).drop("total", "most")
+    y = members.select("key", *named("y"), step(F.col("total")).alias("step"))
+    c = F.col
+    fits = (c("root_x") != c("root_y")) & (c("total_y") >= c("total_x") * (1 - EDGE)) & (c("total_y") <= c("most_x")) & (c("total_x") <= c("most_y"))
+    met = x.join(y, ["key", "step"]).where(fits & ~F.arrays_overlap("before_x", "before_y"))
+    pick = lambda name, one, other: F.when(c("node_x") < c("node_y"), c(f"{name}_{one}")).otherwise(c(f"{name}_{other}"))
+    return met.select(pick("node", "x", "y").alias("a"), pick("node", "y", "x").alias("b"), pick("root", "x", "y").alias("ra"), pick("root", "y", "x").alias("rb")).distinct()
+
+
+def crossings(work: Workspace, sets: DataFrame, roots: DataFrame, least: float, dense: int) -> list[DataFrame]:
+    """Tables (node, root) that lead on, one after the other, from roots to those of all linked texts."""
+    held = sets.select("node", "total", "prefix", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tokens = held.select("node", "root", "total", F.posexplode(F.arrays_zip("prefix", "left")).alias("pos", "at"))
+    # The greatest total that a similar text can have, if this is the first shingle in common.
+    most = F.col("at.left") * ((1 + least) / least) * (1 + EDGE) - F.col("total")
+    tokens = work.put(tokens.select("node", "root", "total", "pos", F.col("at.prefix").alias("key"), most.alias("most")), "prefixes")
+    light = F.col("most") >= F.col("total") * (1 - EDGE)
+    out: list[DataFrame] = []
+    while True:
+        sizes = F.count("*").alias("n"), F.count_if(light).alias("lights")
+        keys = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *sizes).where("low != high and lights > 0")
+        keys = work.put(keys.select("key", "n", "lights"), "keys")
+        # Each member of a key with the first of the keys that it has before.
+        own = tokens.join(keys.select("key"), "key").groupBy("node", "root", "total").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "most"))).alias("t"))
+        own = own.select("node", "root", "total", F.slice("t.key", 1, BEFORE).alias("first"), F.posexplode("t").alias("i", "e"))
+        own = own.select("node", "root", "total", "e.*", F.slice("first", F.lit(1), F.least("i", F.lit(BEFORE))).alias("before"))
+        members = work.put(own, "members")
+        load = keys.agg(F.sum(F.col("n").cast("double") * F.col("lights")) / F.sum("n")).first()[0] or 0
+        # Where keys are large, a few members of each component first: what these connect needs no further pair.
+        few = load > dense and not out
+        others = members
+        if few:
+            one = members.groupBy("key", "root", F.pmod(F.xxhash64("node"), F.lit(DELEGATES))).agg(F.min(F.struct("node", "total", "most", "before")).alias("m"))
+            others = work.put(one.select("key", "root", "m.*"), "delegates")
+        links = work.put(verify(meetings(members.where(light), others), sets, least), "crossings")
+        onward = components(work, links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        out.append(onward)
+        if not few:
+            return out
+        now = onward.select(F.col("node").alias("root"), F.col("root").alias("now"))
+        tokens = members.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now", "before")
+        tokens = work.put(tokens, "prefixes")
+
+
+def _judged(docs: DataFrame, least: float, dense: int) -> DataFrame:
     """doc_id, h1, h2, component_id, n_copies, kept of each row."""
     spark = docs.sparkSession
     work = Workspace(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     idf = spark.sparkContext.broadcast(frequency_table(docs))
     rows = work.put(signatures(docs, idf), "signatures")
-    reps = rows.where("doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.count("*").alias("n_copies"))
-    reps = work.put(reps.select("h1", "h2", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("row"), "n_copies"), "reps")
-    # A text goes by its least doc_id; where that stands for several texts, the others go by numbers of their own.
-    clash = reps.groupBy("rep").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("rep", "first")
-    other = F.col("first").isNotNull() & (F.col("row") != F.col("first"))
-    reps = reps.join(work.put(clash, "clash"), "rep", "left").select("h1", "h2", "rep", "row", "n_copies", other.alias("other"), F.when(other, F.col("row") + (1 << 62)).otherwise(F.col("rep")).alias("node"))
-    reps = work.put(reps, "texts")
-    own = rows.select("row", "bands").join(reps.select("row", F.col("node").alias("doc_id")), "row")
-    buckets = work.put(own.select("doc_id", F.posexplode("bands").alias("band", "key")), "bands")
-    key = ["band", "key"]
-    heads = work.put(buckets.groupBy(*key).agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "heads")
-    held = work.put(buckets.join(heads, key).select(*key, "a", "n", F.col("doc_id").alias("b")), "held")
-    nodes = work.put(held.select(F.col("b").alias("node")).distinct().join(reps.select("node", F.col("rep").alias("doc_id"), "h1", "h2"), "node"), "nodes")
-    sets = work.put(weighted_sets(docs.select("*", *text_keys()).join(nodes.hint("shuffle_hash"), ["doc_id", "h1", "h2"]).select(F.col("node").alias("doc_id"), "text"), idf, least), "sets")
-    pair = lambda df: df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = work.put(verify(pair(held), sets, least), "verified")
-    failed = held.where("a != b").join(edges.select("a", "b", F.lit(1).alias("same")), ["a", "b"], "left").where("same is null")
-    failed = work.put(failed.select(*key, "n", F.col("b").alias("doc_id")), "failed")
-    # In small buckets, failed members with all others, at most `few` a member; the prefix filter for large ones.
-    small = failed.where(F.col("n") <= few).select(*key, F.col("doc_id").alias("a"))
-    pairs = pair(small.join(held.where("a != b").select(*key, "b"), key))
-    edges = edges.unionByName(work.put(verify(pairs, sets, least), "verified"))
-    wide = failed.where(F.col("n") > few)
-    beside = held.where(F.col("n") > few).join(wide.select(*key).distinct(), key, "left_semi").select(F.col("b").alias("doc_id"), F.lit(False).alias("failed"))
-    large = wide.select("doc_id", F.lit(True).alias("failed")).unionByName(beside).groupBy("doc_id").agg(F.max("failed").alias("failed"))
-    large = large.join(sets.select("doc_id", "total", "prefix", "left"), "doc_id")
-    # What is in one component already needs no further link.
-    roots = components(work, edges).select(F.col("node").alias("doc_id"), "root")
-    large = work.put(large.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "large")
-    tokens = large.select("doc_id", "root", "failed", "total", F.explode(F.arrays_zip("prefix", "left")).alias("at"))
-    # The greatest total that a similar text can have, if this is the first shingle in common.
-    most = F.col("at.left") * ((1 + least) / least) * (1 + 1e-5) - F.col("total")
-    tokens = tokens.select("doc_id", "root", "failed", "total", F.col("at.prefix").alias("key"), most.alias("most"))
-    light = F.col("most") >= F.col("total") * (1 - 1e-5)
-    tokens = work.put(tokens, "prefixes")
-    # Shingles with the very same members are one key, with each member's greatest bound: any may be a pair's first.
-    who = (F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "doc_id")).alias("y"))
-    keys = tokens.groupBy("key").agg(F.bool_or(light).alias("some"), F.bool_or("failed").alias("failed"), F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low != high and some and failed")
-    keys = work.put(keys.select("key", "x", "y"), "keys")
-    named = keys.join(keys.groupBy("x", "y").agg(F.min("key").alias("one")), ["x", "y"]).select("key", "one")
-    tokens = tokens.join(named, "key").groupBy(F.col("one").alias("key"), "doc_id").agg(*(F.first(c).alias(c) for c in ("root", "failed", "total")), F.max("most").alias("most"))
-    tokens = work.put(tokens.withColumn("light", light).withColumn("tried", F.lit(False)), "merged")
-    while True:
-        # A bucket's light members, up to 256 in a round, are held against all of its members; where a light one had
-        # not failed, so are all failed members. Of two members that didn't fail, no pair is needed.
-        sizes = tokens.groupBy("key").agg(F.bool_or(F.col("light") & ~F.col("failed")).alias("beside"), F.count_if(F.col("failed") & F.col("light") & ~F.col("tried")).alias("lights"), F.count_if(F.col("failed") & ~F.col("tried")).alias("all"), F.min("root").alias("low"), F.max("root").alias("high"))
-        sizes = sizes.select("key", "beside", F.when(F.col("beside"), F.col("all")).otherwise(F.col("lights")).alias("n"), "low", "high").where("low != high and n > 0")
-        sizes = work.put(sizes.select("key", "n", "beside"), "sizes")
-        if sizes.isEmpty():
-            break
-        members = work.put(tokens.join(sizes, "key"), "members")
-        firsts = members.where("failed and not tried and (light or beside)").groupBy("key", F.when(F.col("n") <= HEADS, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(HEADS))).alias("h"))
-        firsts = work.put(firsts.agg(F.min(F.struct("doc_id", "root", "total", "most")).alias("f")).select("key", F.col("f.doc_id").alias("a"), F.col("f.root").alias("root_a"), F.col("f.total").alias("total_a"), F.col("f.most").alias("most_a")), "heads")
-        fits = (F.col("root") != F.col("root_a")) & (F.col("total") <= F.col("most_a")) & (F.col("total_a") <= F.col("most"))
-        pairs = members.join(firsts, "key").where(fits).select("a", F.col("doc_id").alias("b"))
-        edges = edges.unionByName(work.put(verify(pair(pairs), sets, least), "verified"))
-        if members.where(F.col("n") > HEADS).isEmpty():
-            break
-        roots = components(work, edges).select(F.col("node").alias("doc_id"), F.col("root").alias("now"))
-        over = members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
-        over = over.where(F.col("n") > HEADS).drop("n", "beside")
-        done = firsts.select("key", F.col("a").alias("doc_id"), F.lit(True).alias("now_tried"))
-        tokens = work.put(over.join(done, ["key", "doc_id"], "left").withColumn("tried", F.col("tried") | F.col("now_tried").isNotNull()).drop("now_tried"), "prefixes")
-    roots = components(work, edges)
-    classes = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A text goes by the number of the row that has its least doc_id; one doc_id may have several texts.
+    first = F.min(F.struct("doc_id", "row")).alias("f")
+    texts = rows.where("doc_id is not null").groupBy("h1", "h2").agg(first, F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    texts = work.put(texts.select("h1", "h2", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("node"), "n_copies", "bands"), "texts")
+    pairs = stars(work, texts)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = nodes.join(texts.select("node", F.col("rep").alias("doc_id"), "h1", "h2"), "node")
+    own = ["doc_id", "h1", "h2"]
+    found = docs.select("*", *text_keys()).join(nodes.hint("shuffle_hash"), own).dropDuplicates(own)
+    sets = work.put(weighted_sets(found, idf, least), "sets")
+    alike = work.put(verify(pairs, sets, least), "alike")
+    roots = components(work, alike)
+    classes = texts.select("h1", "h2", "rep", "node", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for onward in crossings(work, sets, roots, least, dense):
+        now = onward.select(F.col("node").alias("root"), F.col("root").alias("now"))
+        classes = classes.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
     classes = work.put(classes, "classes")
-    # Only where such a number is in a component, its root may not be its least doc_id.
-    odd = classes.join(classes.where("other").select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min(F.struct("rep", "row")).alias("least"))
-    top = F.when(F.col("least").isNull(), F.col("node") == F.col("root")).otherwise(F.col("row") == F.col("least.row"))
-    classes = classes.join(work.put(odd, "odd"), "root", "left")
-    classes = work.put(classes.select("h1", "h2", "n_copies", F.coalesce("least.rep", "root").alias("component_id"), F.when(top, F.col("row")).alias("best")), "judged")
+    top = classes.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("top"))
+    classes = classes.join(top, "root").select("h1", "h2", "n_copies", F.col("top.rep").alias("component_id"), F.col("top.node").alias("best"))
     out = rows.select("doc_id", "h1", "h2", "row").join(classes, ["h1", "h2"], "left")
     some = F.col("doc_id").isNotNull()
     best = F.coalesce(F.col("row") == F.col("best"), F.lit(False))
     return out.select("doc_id", "h1", "h2", F.when(some, F.col("component_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (~some | best).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFrame:
+def deduplicate(docs: DataFrame, *, least: float = 0.8, dense: int = DENSE) -> DataFrame:
     """doc_id, component_id, n_copies, kept: one row per row of docs.
 
     Rows of one component are linked by equal texts or by weighted similarities of at least `least`;
@@ -271,14 +289,16 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFr
     texts equal each other; a text without words has no other links. A null doc_id is a component of its own.
     Columns besides doc_id and text are not read.
     """
-    return _judged(docs, least, few).select("doc_id", "component_id", "n_copies", "kept")
+    return _judged(docs, least, dense).select("doc_id", "component_id", "n_copies", "kept")
 
 
-def without_copies(docs: DataFrame, *, least: float = 0.8, few: int = 16) -> DataFrame:
-    """The rows of docs that `deduplicate` keeps, one of each component."""
+def without_copies(docs: DataFrame, *, least: float = 0.8, dense: int = DENSE) -> DataFrame:
+    """The rows of docs that `deduplicate` keeps, one of each component, with all columns, whatever their names."""
     work = Workspace(docs.sparkSession, "near")
-    kept = work.put(_judged(docs, least, few).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "kept")
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), **dict(zip(("_h1", "_h2"), text_keys()))})
+    id_, h1, h2 = names = fresh_names(docs, "id", "h1", "h2")
+    kept = _judged(docs, least, dense).where("kept and doc_id is not null")
+    kept = work.put(kept.select(F.col("doc_id").alias(id_), F.col("h1").alias(h1), F.col("h2").alias(h2)), "kept")
+    rows = docs.withColumns({id_: F.col("doc_id").cast("long"), **dict(zip((h1, h2), text_keys()))})
     # Of a repeated row all come up to here.
-    once = rows.join(kept, ["_id", "_h1", "_h2"], "left_semi").dropDuplicates(["_id", "_h1", "_h2"])
+    once = rows.join(kept, names, "left_semi").dropDuplicates(names)
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
