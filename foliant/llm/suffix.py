@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.graph import text_keys
+from foliant.llm.graph import fresh_names, text_keys
 from foliant.llm.kernels import U, Block, blocks, mix, powers
 from foliant.workspace import Workspace
 
@@ -359,7 +359,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
 
 
 def without_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """docs with the repeated bytes taken out of `text`; half characters left at a cut are dropped; all rows stay."""
+    """docs with the bytes of repeated strings of `window` bytes taken out of `text`.
+
+    All rows and columns stay, whatever their names. Of a character cut in half what is left is dropped. Null stays
+    null, texts under the window stay whole, and of equal texts of at least a window nothing stays in either.
+    """
     work = Workspace(docs.sparkSession, "suffix")
     _, reps, done = removed_spans(docs.select("doc_id", "text"), work, window, anchor)
 
@@ -368,7 +372,9 @@ def without_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(2)], pa.string())], ["h1", "h2", "kept"])
 
     done = done.select("h1", "h2", "kept").mapInArrow(decode, "h1 long, h2 long, kept string")
-    fates = work.put(reps.select("h1", "h2", "n_copies").join(done, ["h1", "h2"], "left").where("n_copies > 1 or kept is not null"), "fates")
-    rows = docs.withColumns(dict(zip(("_h1", "_h2"), text_keys()))).join(fates.withColumnsRenamed({"h1": "_h1", "h2": "_h2", "kept": "_kept", "n_copies": "_n"}), ["_h1", "_h2"], "left")
-    all_gone = (F.col("_n") > 1) & (F.octet_length("text") >= window)
-    return rows.withColumn("text", F.when(all_gone, F.lit("")).otherwise(F.coalesce("_kept", "text"))).select(*docs.columns)
+    fates = reps.select("h1", "h2", "n_copies").join(done, ["h1", "h2"], "left").where("n_copies > 1 or kept is not null")
+    h1, h2, kept, copies = fresh_names(docs, "h1", "h2", "kept", "n_copies")
+    fates = work.put(fates.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("kept").alias(kept), F.col("n_copies").alias(copies)), "fates")
+    rows = docs.withColumns(dict(zip((h1, h2), text_keys()))).join(fates, [h1, h2], "left")
+    all_gone = (F.col(copies) > 1) & (F.octet_length("text") >= window)
+    return rows.withColumn("text", F.when(all_gone, F.lit("")).otherwise(F.coalesce(kept, "text"))).select(*docs.columns)
