@@ -45,8 +45,8 @@ def count(block: Block) -> dict[str, np.ndarray]:
     inner = newlines + 1 < offsets[row_of + 1]
     line_starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], newlines[inner] + 1]))
     line_rows = np.searchsorted(offsets, line_starts, "right") - 1
-    cuts = np.sort(np.concatenate([newlines, offsets[1:]]))
-    line_ends = cuts[np.searchsorted(cuts, line_starts)]
+    # Up to the next newline, or the end of the row itself (not that of the row before, where the first line starts).
+    line_ends = np.minimum(np.append(newlines, len(data))[np.searchsorted(newlines, line_starts)], offsets[line_rows + 1])
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, line_rows = line_starts[worded], line_ends[worded], line_rows[worded]
     salt = np.arange(block.rows, dtype=U) * U(0x9E3779B97F4A7C15)
