@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm import embed, near, ordinal, packing, quality_rules, spm, substring, suffix, toxicity, urls
 
@@ -57,5 +57,56 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_toxicity, op4_suffix_array_dedup, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op8_embedding_near_dedup, op9_minhash_near_dedup, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op2 and its base limits, which SQL can express."""
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    counts = quality_rules.text_counts(_table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of op5, without the model's verdict on the rest."""
+    parts = _table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    rule = urls.rule_of(F.col("host"), F.col("path"))
+    return parts.select("page_id", "host", "path", rule["rule"].alias("rule"), rule["verdict"].alias("verdict"))
+
+
+_OPERATORS = (
+    op1_substring_dedup, op2_quality_rules, op3_toxicity, op4_suffix_array_dedup, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op8_embedding_near_dedup,
+    op9_minhash_near_dedup, op10_quality_classifier,
+)
+QUERIES = {f.__name__: f for f in (*_OPERATORS, quality_counts, url_rules)}
+
+_WORD = r"[^\x20\x09-\x0D]"
+ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_array_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT r, i, md5(b[i + 1 : i + 400]) AS k FROM d, range(0, n - 399) t(i)),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+runs AS (SELECT r, i, sum(starts) OVER (PARTITION BY r ORDER BY i) AS s FROM (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 400)::INT AS starts FROM hit)),
+spans AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM runs GROUP BY r, s),
+parts AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans),
+cut AS (SELECT r, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, string_agg(CASE WHEN a > before THEN hex(b[before + 1 : a]) ELSE '' END, '' ORDER BY a) || CASE WHEN max(z) < max(n) THEN hex(any_value(b)[max(z) + 1 : max(n)]) ELSE '' END AS x
+  FROM parts JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN x IS NULL THEN sha256(b) ELSE sha256(unhex(x)) END AS kept_sha256 FROM d LEFT JOIN cut USING (r)""",
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM s a JOIN s b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT x, y FROM p UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x),
+least_ AS (SELECT x, min(y) AS y FROM reach GROUP BY x), links AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id <= coalesce(y, vec_id) AS kept FROM embeddings LEFT JOIN links ON links.x = vec_id LEFT JOIN least_ ON least_.x = vec_id""",
+    "quality_counts": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_WORD}+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+t AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w), g AS (SELECT r, i, [words[i], words[i + 1], words[i + 2]] AS three FROM t),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, three) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM twice, range(0, 3) t(k) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, list_sum(list_prepend(0, list_transform(words, lambda x: length(x))))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+(len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(words) < 50 OR 100 * coalesce(n, 0) > 50 * len(words) AS base_failed FROM w LEFT JOIN covered USING (r)""",
+    "url_rules": """
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(h, q, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN best USING (page_id)""",
+}
