@@ -25,7 +25,7 @@ SPECIAL = "<|endoftext|>"
 #: A run of white space that the pattern matcher of the fast form may give up on: it backtracks once a character and
 #: stops for good at a million. Texts with a tenth of that go to `tokenizers`.
 SAFE_RUN = 100_000
-LONG_RUN = re.compile(rf"\s{{{SAFE_RUN}}}")
+LONG_RUN = re.compile(r"\s{1000,}")
 
 
 class OpenBins:
@@ -86,7 +86,8 @@ class Encoder:
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or SPECIAL in text or len(text) >= SAFE_RUN and LONG_RUN.search(text):
+        # A match takes a run whole, so that looking for them stays linear.
+        if self.fast is None or SPECIAL in text or len(text) >= SAFE_RUN and any(m.end() - m.start() >= SAFE_RUN for m in LONG_RUN.finditer(text)):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -27,7 +27,7 @@ def rows():
     """Nulls, empty and long texts, ties, repeated rows, copies, near copies and shared passages."""
     rng = random.Random(4)
     base, passage = said(rng, 200), said(rng, 80)
-    texts = [None, "", " \n\t", "x", base, base, base.replace(base.split()[50], "other"), said(rng, 100) + " " + passage + " " + said(rng, 50), said(rng, 20) + " " + passage, said(rng, 3000), "le " * 300, "é ñ 日本 " * 60, "<|endoftext|> a"]
+    texts = [None, "", " \n\t", "x", base, base, base.replace(base.split()[50], "other"), said(rng, 100) + " " + passage + " " + said(rng, 50), said(rng, 20) + " " + passage, said(rng, 3000), "le " * 300, "é ñ 日本 " * 60, "<|endoftext|> a", "one line\n\nother\none line"]
     out = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["s", None]), None, "clash", "clash", 1.0) for i, t in enumerate(texts)]
     return [*out, out[5]]
 
@@ -118,8 +118,8 @@ def test_passages(docs, empty):
 def test_near(docs, empty):
     got = {r.doc_id: r.component_id for r in near.deduplicate(docs).collect()}
     assert got[6] == got[5] == got[4] == 4 and got[0] == got[1] == 0
-    assert all(got[i] == i for i in (2, 3, 7, 8, 9, 10, 11, 12))
-    assert near.deduplicate(docs).count() == 14 and near.deduplicate(empty).count() == 0
+    assert all(got[i] == i for i in (2, 3, 7, 8, 9, 10, 11, 12, 13))
+    assert near.deduplicate(docs).count() == 15 and near.deduplicate(empty).count() == 0
 
 
 def test_near_finds_similar_pairs_by_brute_force(spark):
@@ -163,6 +163,40 @@ def test_near_links_stars_whose_original_comes_last(spark, copies):
     assert all(got[i] == i for i in range(250))
 
 
+def components_of(n, pairs):
+    low = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                changed = True
+    return low
+
+
+def near_against_brute_force(spark, monkeypatch, texts, one_bucket, **limits):
+    """(components found, components over all pairs by the weights that the operator used); texts are distinct."""
+    signed, sets = near.signatures, near.weighted_sets
+    held = []
+
+    def watched(docs, idf, least):
+        out = sets(docs, idf, least)
+        held.extend(sorted((r.node, np.frombuffer(r.ids, np.uint32), np.frombuffer(r.weights, np.float32)) for r in out.collect()))
+        return out
+
+    if one_bucket:
+        monkeypatch.setattr(near, "signatures", lambda *a: signed(*a).withColumn("bands", near.F.array(near.F.lit(7).cast("long"))))
+    monkeypatch.setattr(near, "weighted_sets", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.deduplicate(docs, **limits).collect()}
+    if not one_bucket:
+        return got, None
+    assert len(held) == len(texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near.weighted_jaccard(*held[i][1:], *held[j][1:]) >= 0.8]
+    return [got[i] for i in range(len(texts))], components_of(len(texts), pairs)
+
+
 def test_near_splits_one_large_bucket_by_brute_force(spark, monkeypatch):
     """Texts that share a long passage, all in one bucket; every second is its forerunner with a seventh more."""
     rng = random.Random(12)
@@ -170,25 +204,52 @@ def test_near_splits_one_large_bucket_by_brute_force(spark, monkeypatch):
     for i in range(40):
         own = said(rng, rng.choice((38, 42, 46)))
         texts += [passage + " " + own, passage + " " + own + " " + said(rng, 31)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    signed, sets = near.signatures, near.weighted_sets
-    held = {}
+    got, want = near_against_brute_force(spark, monkeypatch, texts, True)
+    assert 10 < len(set(want)) <= 40 and got == want
 
-    def watched(docs, idf, least):
-        out = sets(docs, idf, least)
-        held.update({r.doc_id: (np.frombuffer(r.ids, np.uint32), np.frombuffer(r.weights, np.float32)) for r in out.collect()})
-        return out
 
-    monkeypatch.setattr(near, "signatures", lambda *a: signed(*a).withColumn("bands", near.F.array(near.F.lit(7).cast("long"))))
-    monkeypatch.setattr(near, "weighted_sets", watched)
-    got = {r.doc_id: r.component_id for r in near.deduplicate(docs).collect()}
-    low = list(range(len(texts)))
-    pairs = [(i, j) for i in low for j in range(i) if near.weighted_jaccard(*held[i], *held[j]) >= 0.8]
-    for _ in pairs:
-        for i, j in pairs:
-            low[i] = low[j] = min(low[i], low[j])
-    assert len(pairs) >= 40 and len(set(low)) > 10
-    assert [got[i] for i in range(len(texts))] == low
+@pytest.mark.parametrize("dense", [near.DENSE, 0])
+def test_near_links_what_only_some_members_are_similar_to(spark, monkeypatch, dense):
+    """Chains of edits, and groups of 61 whose smallest id is similar to a few of them only, in one bucket."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(3):  # each link of a chain has one more edit than the one before
+        words = said(rng, 160).split()
+        for k in range(12):
+            words[5 + 12 * k] = said(rng, 1) + "y"
+            texts.append(" ".join(words))
+    for _ in range(2):
+        words = said(rng, 200).split()
+        far = list(words)
+        for k in (20, 60, 100, 140, 180):
+            far[k] = said(rng, 1) + "z"
+        texts.append(" ".join(far))
+        for _ in range(60):
+            other = list(words)
+            for k in rng.sample(range(200), rng.choice((1, 2, 3))):
+                other[k] = said(rng, 1) + "x"
+            texts.append(" ".join(other))
+    texts = list(dict.fromkeys(texts))
+    rng.shuffle(texts)
+    got, want = near_against_brute_force(spark, monkeypatch, texts, True, dense=dense)
+    assert got == want and 5 < len(set(want)) < 100
+
+
+def test_near_recall_by_brute_force(spark, monkeypatch):
+    """Of pairs p and m similar to each other, where a third text with the smallest id is similar to p only."""
+    rng = random.Random(77)
+    texts, pairs = [], []
+    for _ in range(60):
+        words = said(rng, 240).split()
+        first, other = list(words), list(words)
+        for k in rng.sample(range(0, 120), 3):
+            first[k] = said(rng, 1) + "x"
+        for k in rng.sample(range(120, 240), 3):
+            other[k] = said(rng, 1) + "y"
+        pairs.append((len(texts) + 1, len(texts) + 2))
+        texts += [" ".join(first), " ".join(words), " ".join(other)]
+    got, _ = near_against_brute_force(spark, monkeypatch, texts, False)
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
 
 
 def test_sampler_estimates_weighted_jaccard():
@@ -212,13 +273,14 @@ def test_components(spark):
     assert {r.node for r in got} == {x for a, b in edges if a != b for x in (a, b)}
 
 
-def test_embeddings_by_brute_force(spark):
+@pytest.mark.parametrize("block", [17, 3, 2000])
+def test_embeddings_by_brute_force(spark, block):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(60, 16))
     vectors = [*base, *(base[:40] + rng.normal(scale=0.1, size=(40, 16)) * rng.uniform(0, 1, (40, 1))), *base[:3]]
     rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(vectors)]
     odd = [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, rows[0][1], None), (504, [1.0, None], 1), (505, [], 0)]
-    got = {r.vec_id: r for r in embed.link(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int"), block=17, cells=4).collect()}
+    got = {r.vec_id: r for r in embed.link(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int"), block=block).collect()}
     m = np.array([r[1] for r in rows])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows])
@@ -272,6 +334,20 @@ def test_packing_is_whole_and_gapless(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "x" + "\n" * 1_200_000, ("a" + " " * 99_990) * 3, "\u3000" * 200_000 + "b", "é" * 300_000])
+def test_packing_encodes_long_runs(text):
+    encode = packing.Encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
+    assert encode(text) == encode.exact.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_is_near_the_floor(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, said(rng, rng.choice((20, 120, 300, 700)))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    got = packing.pack(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")).collect()
+    floor = -(-sum(r.length for r in got) // 2048)
+    assert floor <= len({r.sequence_id for r in got}) <= 1.03 * floor + 1
+
+
 def test_urls(spark):
     cases = {
         "https://WWW.Example.com/en/a?x=1": ("www.example.com", "/en/a", "www.example.com/en/", "allow"),
@@ -307,7 +383,52 @@ def test_models_on_held_out(spark):
     assert np.mean([r.kept == bool(labels[r.doc_id].quality) for r in good]) > 0.93
 
 
+def test_ordinal_tails_by_hand(spark):
+    """Each word's four features, looked up one by one."""
+    rng = random.Random(9)
+    sample = [(i, "en", " ".join(rng.choice(("good", "bad", "fine")[g : g + 2] + ("x",)) for _ in range(20)), float(g)) for i in range(60) for g in (0, 1)]
+    model = ordinal.CumulativeLink(sample, epochs=2)
+    for text in ("good bad bad", "", "x", "Good  9ine\tx x x"):
+        block = kernels.Block(*kernels.text_buffers(pa.array([text])))
+        buckets, _ = ordinal.features(block)
+        raw = sum(model.weights[b] for row in buckets.tolist() for b in row) / max(1, len(text.split()))
+        want = [1 / (1 + np.exp(-(raw - t))) for t in model.thresholds]
+        assert np.allclose(model.tails(block)[0], want)
+
+
+def test_mcd_finds_the_centre_despite_outliers(spark):
+    rng = np.random.default_rng(8)
+    p = len(quality_rules.STATS)
+    good = rng.normal(size=(600, p)) * 0.3 + 1.0
+    bad = rng.normal(size=(100, p)) * 0.3 + 9.0
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in (*good, *bad)], ["g", *quality_rules.STATS])
+    fit = quality_rules.robust_fits(spark, rows, Workspace(spark, "test")).first()
+    assert np.abs(np.array(fit["centre"]) - good.mean(axis=0)).max() < 0.1
+    inverse = np.array(fit["inverse"]).reshape(p, p)
+    d2 = lambda m: np.einsum("ij,jk,ik->i", m - fit["centre"], inverse, m - fit["centre"])
+    assert np.quantile(d2(good), 0.95) < np.quantile(d2(bad), 0.01)
+
+
+def test_kept_handles_nulls_and_constant_groups(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, words, None, None) for i in range(60)] + [(100, None, "en", "s"), (101, "", None, "s"), (102, "a " * 60, "en", None)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in (100, 101, 102)) and len(got) == 63
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    one = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+    assert sorted(got.columns) == sorted(want.columns) and one(got) == one(want)
+
+
 def test_models_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert toxicity.classify(docs, none).count() == 14
+    assert toxicity.classify(docs, none).count() == 15
     assert {r.kept for r in ordinal.grade(docs, none).collect()} == {True}
