@@ -108,6 +108,67 @@ def test_compact_windows_cover_each_sequence_once():
                 assert held == [i + int(np.argmin(values[i : j + 1]))]
 
 
+@pytest.mark.parametrize("words", [40, 3])
+def test_joint_windows_by_brute_force(words):
+    """Any two windows of different functions that hold each other's top and a passage."""
+    rng, width = np.random.default_rng(2), 5
+    tokens = rng.integers(0, words, 90).astype(np.uint64)
+    first, keys, packed, spans = np.array([0, 90]), [], [], []
+    for which, salt in enumerate(substring.SALTS):
+        values = (kernels.mix(tokens ^ np.uint64(salt)) & ~np.uint64(3)) | np.uint64(which)
+        for left, top, right in substring.compact_windows(values, first, width):
+            keys.append(int(values[top]))
+            packed.append(top << 38 | (top - left) << 19 | (right - top))
+            spans.append((which, left, top, right))
+    got, _ = substring.joint_windows(np.array(keys, np.uint64).view(np.int64), np.array(packed, np.int64), width)
+    want = set()
+    for (f, l1, c1, r1), a in zip(spans, keys):
+        for (g, l2, c2, r2), b in zip(spans, keys):
+            if f < g and l1 <= c2 <= r1 and l2 <= c1 <= r2 and min(r1, r2) - max(l1, l2) + 1 >= width:
+                want.add((a * 0xD6E8FEB86659FD93 + b) % 2**64)
+    want = set(kernels.mix(np.array(sorted(want), np.uint64)).view(np.int64).tolist())
+    assert set(got.tolist()) == want
+
+
+def shared_passages(texts, least, width=46):
+    """Texts that hold a passage of 50 words like one of another text, on some diagonal of shingles in common."""
+    shingles = [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (t.split() for t in texts)]
+    places = [{g: k for k, g in reversed(list(enumerate(x)))} for x in shingles]
+    out = set()
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles):
+            shifts = collections.Counter(k - places[j][g] for k, g in enumerate(a) if g in places[j]) if i != j else {}
+            for shift, n in shifts.items():
+                for s in range(max(0, shift), min(len(a), len(b) + shift) - width + 1) if n >= 10 else ():
+                    x, y = set(a[s : s + width]), set(b[s - shift : s - shift + width])
+                    if len(x & y) >= least * len(x | y):
+                        out.add(i)
+                        break
+    return out
+
+
+def test_passages_by_brute_force(spark):
+    """Passages of 60 words with up to two words changed, in texts that share frequent phrases; some in three texts."""
+    rng = random.Random(15)
+    phrases = [said(rng, 12) for _ in range(3)]
+    filler = lambda: " ".join(x for _ in range(4) for x in (said(rng, rng.randint(15, 40)), rng.choice(phrases)))
+    texts, planted = [filler() for _ in range(40)], []
+    for k in range(40):
+        words = said(rng, 60).split()
+        for _ in range(2 + (k % 3 == 0)):
+            own = list(words)
+            for at in rng.sample(range(60), k % 3):
+                own[at] = said(rng, 1) + "q"
+            planted.append((len(texts), k % 3))
+            texts.append(f"{filler()} {' '.join(own)} {filler()}")
+    got = {r.doc_id for r in substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    equal = {i for i, edits in planted if edits == 0}
+    assert equal <= got
+    want = shared_passages(texts, 0.8)
+    assert len(want & got) >= 0.97 * len(want)
+    assert not got & set(range(40))
+
+
 def test_passages(docs, empty):
     got = {(r.doc_id, r.partner_doc_id) for r in substring.repeated_passages(docs).collect()}
     assert {(7, 8), (8, 7), (5, 4), (4, 5)} <= got
