@@ -17,6 +17,8 @@ from foliant.llm.training import fold, labelled_sample
 
 PREFIXES = (4, 5, 6)
 WIDTHS = (1, 2, 3)
+#: Zero words after each document.
+GAP = 2 * (max(WIDTHS) - 1)
 SLOT_BITS = 20
 
 
@@ -55,15 +57,15 @@ class Cnn:
 
     def pooled(self, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Pooled activations of each document, and the convolution's values before pooling."""
-        most = max(WIDTHS) - 1
         n, docs = len(rows), len(first) - 1
-        # Between documents stand zero words, so that no filter sees two documents.
-        at = np.arange(n) + np.repeat(np.arange(docs), np.diff(first)) * most
-        words = np.zeros((n + (docs + 1) * most, self.table.shape[1]), np.float32)
+        # After each document stand zero words for the filters that begin in it or reach in from the last of its own.
+        at = np.arange(n) + np.repeat(np.arange(docs), np.diff(first)) * GAP
+        words = np.zeros((n + docs * GAP, self.table.shape[1]), np.float32)
         words[at] = self.table[rows[:, 0]]
         for i in range(1, rows.shape[1]):
             words[at] += self.table[rows[:, i]]
-        starts = first[:-1] + np.arange(docs) * most
+        starts = first[:-1] + np.arange(docs) * GAP
+        spans = np.stack([starts, starts + np.diff(first) + GAP // 2], 1).ravel()  # half of the zeros belong to the pooling
         values, pooled = [], []
         for filters, bias in zip(self.filters, self.biases):
             made = words @ filters[0]
@@ -71,7 +73,7 @@ class Cnn:
                 made[:-j] += (words @ filters[j])[j:]
             made += bias
             values.append(made)
-            pooled.append(np.maximum.reduceat(made, starts, axis=0))
+            pooled.append(np.maximum.reduceat(made, spans, axis=0)[::2] if docs else np.zeros((0, filters.shape[2]), np.float32))
         return np.maximum(np.concatenate(pooled, axis=1), 0), values, words
 
     def scores(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ class Cnn:
     def train(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, keep: np.ndarray, *, epochs: int = 8, batch: int = 32, rate: float = 0.08, seed: int = 7) -> None:
         """Adagrad on the logistic loss of the documents in keep; gradients reach only the words that won the pooling."""
         rng = np.random.default_rng(seed)
-        most, size = max(WIDTHS) - 1, self.table.shape[1]
+        size = self.table.shape[1]
         squares = [np.full_like(x, 1e-3) for x in (self.table, *self.filters, *self.biases, self.out)]
         bias_square = 1e-3
 
@@ -101,7 +103,7 @@ class Cnn:
                 error = ((p - labels[docs]) / len(docs)).astype(np.float32)
                 on = error[:, None] * self.out[None, :] * (pooled > 0)
                 grad_out = error @ pooled + 1e-4 * self.out
-                starts = own[:-1] + np.arange(len(docs)) * most
+                starts = own[:-1] + np.arange(len(docs)) * GAP
                 touched = np.zeros_like(words)
                 filter_grads = [np.zeros_like(f) for f in self.filters]
                 bias_grads = [np.zeros_like(b) for b in self.biases]
@@ -112,13 +114,13 @@ class Cnn:
                         if not g.any():
                             continue
                         # The pooling of a document spans its words and the zero words after them.
-                        best = made[s : s + lengths[d] + most].argmax(axis=0) + s
+                        best = made[s : s + lengths[d] + GAP // 2].argmax(axis=0) + s
                         bias_grads[w] += g
                         for j in range(len(f)):
                             reach = np.minimum(best + j, len(words) - 1)
                             filter_grads[w][j] += words[reach].T * g
                             np.add.at(touched, reach, g[:, None] * f[j].T)
-                at = np.arange(own[-1]) + np.repeat(np.arange(len(docs)), lengths) * most
+                at = np.arange(own[-1]) + np.repeat(np.arange(len(docs)), lengths) * GAP
                 hit = np.flatnonzero(touched[at].any(axis=1))
                 grads = np.repeat(touched[at[hit]], rows.shape[1], axis=0)
                 ids, inverse = np.unique(picked[hit].ravel(), return_inverse=True)

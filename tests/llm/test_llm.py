@@ -444,6 +444,24 @@ def test_models_on_held_out(spark):
     assert np.mean([r.kept == bool(labels[r.doc_id].quality) for r in good]) > 0.93
 
 
+def test_toxicity_scores_by_hand():
+    """The network's value for each text alone, by loops; a score doesn't depend on the texts beside it."""
+    texts = ["alpha beta", "gamma", "delta epsilon zeta eta", "", "eta theta alpha", "unknown words only", "a"]
+    vocabulary = np.unique(toxicity.features(kernels.Block(*kernels.text_buffers(pa.array(texts[:5]))))[0])
+    net = toxicity.Cnn(vocabulary[vocabulary != 0])
+    hashes, first = toxicity.features(kernels.Block(*kernels.text_buffers(pa.array(texts))))
+    rows = net.rows(hashes)
+    got = net.scores(rows, first)
+    for i in range(len(texts)):
+        own = [sum(net.table[r] for r in row) for row in rows[first[i] : first[i + 1]].tolist()]
+        own = [*own, *[np.zeros(net.table.shape[1], np.float32)] * 4]
+        pooled = []
+        for filters, bias in zip(net.filters, net.biases):
+            values = [sum(own[k + j] @ filters[j] for j in range(len(filters))) + bias for k in range(len(own) - 2)]
+            pooled += np.maximum(np.max(values, axis=0), 0).tolist()
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(np.dot(pooled, net.out) + net.bias))), abs=1e-6)
+
+
 def test_ordinal_tails_by_hand(spark):
     """Each word's four features, looked up one by one."""
     rng = random.Random(9)
