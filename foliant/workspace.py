@@ -7,6 +7,7 @@ Tables go to the folder that the cluster names in ``spark.checkpoint.dir``; only
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="foliant-")
@@ -44,6 +47,7 @@ class Workspace:
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: list[str] = []
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write and reread; the returned frame starts at the files."""
@@ -52,14 +56,24 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._foliant_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
+        self._delete([df._foliant_path for df in frames])
+
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all tables written so far but these."""
+        kept = {df._foliant_path for df in frames}
+        self._delete([p for p in self.paths if p not in kept])
+
+    def _delete(self, paths: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._foliant_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            self.paths.remove(path)
 
     def sweep(self) -> None:
         """Let Spark release the shuffle files of finished steps: it does so once the driver collects its garbage."""
