@@ -166,6 +166,7 @@ def link(vectors: DataFrame, *, least: float = 0.98, sample: int = 20_000, block
     counts = linked.groupBy("vec_id").agg(F.sum("links").alias("links"))
     per_rep = reps.withColumnRenamed("rep", "vec_id").join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     per_rep = work.put(per_rep.select(*keys, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")), "classes")
+    work.only(per_rep)
     whole = keyed.select("vec_id", "sound", *(F.when(F.col("sound"), F.col(k)).alias(k) for k in keys)).join(per_rep, keys, "left")
     component = F.coalesce("component_id", "vec_id")
     return whole.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -272,6 +272,7 @@ def _judged(docs: DataFrame, least: float, dense: int) -> DataFrame:
         now = onward.select(F.col("node").alias("root"), F.col("root").alias("now"))
         classes = classes.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
     classes = work.put(classes, "classes")
+    work.only(rows, classes)
     top = classes.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("top"))
     classes = classes.join(top, "root").select("h1", "h2", "n_copies", F.col("top.rep").alias("component_id"), F.col("top.node").alias("best"))
     out = rows.select("doc_id", "h1", "h2", "row").join(classes, ["h1", "h2"], "left")

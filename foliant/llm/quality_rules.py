@@ -200,6 +200,7 @@ def judge(docs: DataFrame, *, quantile: float = 1 - 1e-9, least_rows: int = 50,
     )
     needed = grouped.select("g").distinct()
     fits = robust_fits(spark, work.put(levels.join(needed, "g", "left_semi"), "levels"), work)
+    work.only(stats, sizes, fits)
     joined = stats.join(sizes, ["key_lang", "key_source"], "left").join(fits.select("g", "centre", "inverse"), "g", "left")
     d2 = _distance(list(STATS)) / (1 + short / F.greatest("n_words", F.lit(1)))
     most = chi2_quantile(quantile, len(STATS))

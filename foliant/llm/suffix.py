@@ -347,6 +347,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     keyed, reps, done = removed_spans(docs, work, window, anchor, hot)
     fates = reps.select("h1", "h2", "n_copies").join(done.select("h1", "h2", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")), ["h1", "h2"], "left")
     fates = work.put(fates.where("n_copies > 1 or sha is not null"), "fates")
+    work.only(fates)
     data = F.col("text").cast("binary")
     rows = keyed.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole")).join(fates, ["h1", "h2"], "left")
     all_gone = (F.col("n_copies") > 1) & (F.col("n_bytes") >= window)
@@ -375,6 +376,7 @@ def without_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     fates = reps.select("h1", "h2", "n_copies").join(done, ["h1", "h2"], "left").where("n_copies > 1 or kept is not null")
     h1, h2, kept, copies = fresh_names(docs, "h1", "h2", "kept", "n_copies")
     fates = work.put(fates.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("kept").alias(kept), F.col("n_copies").alias(copies)), "fates")
+    work.only(fates)
     rows = docs.withColumns(dict(zip((h1, h2), text_keys()))).join(fates, [h1, h2], "left")
     all_gone = (F.col(copies) > 1) & (F.octet_length("text") >= window)
     return rows.withColumn("text", F.when(all_gone, F.lit("")).otherwise(F.coalesce(kept, "text"))).select(*docs.columns)
