@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 import foliant
@@ -22,10 +23,13 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--resume", action="store_true")
         one.add_argument("--to", required=name == "translate", help="language to translate to")
         one.add_argument("--glossary", help="JSON file of source and target terms")
-        one.add_argument("--url", help="a chat-completions service; without one, texts are cut by rule")
+        one.add_argument("--service", help="a known service; its keys are read from the environment")
+        one.add_argument("--thinking", help="how much the service is to think, or auto")
+        one.add_argument("--url", help="the address of a chat-completions service; without one, texts are cut by rule")
         one.add_argument("--model", default="")
         one.add_argument("--keys", help="keys of the service, parted by commas")
         one.add_argument("--host", action="append", default=[], help="a host that keys may go to")
+        one.add_argument("--rank-images", action="store_true", help="let the service choose the images")
         if name == "condense":
             one.add_argument("--ratio", type=float, default=0.30)
             one.add_argument("--chunk-tokens", type=int, default=2000)
@@ -38,7 +42,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(foliant.__version__)
         return 0
     from foliant import engine
-    from foliant.functions.provider import ChatProvider, Extracting
+    from foliant.functions.provider import ChatProvider, Extracting, service
     from foliant.operators.render import formats
     from foliant.session import local_session
 
@@ -49,7 +53,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         rows = engine.estimate(books, ratio=getattr(args, "ratio", 1.0), chunk_tokens=getattr(args, "chunk_tokens", 2000), model=args.model, translate=bool(args.to))
         print("\n".join(rows.toJSON().collect()))  # a line a book
         return 0
-    provider = ChatProvider(args.url, args.model, args.keys, frozenset(args.host)) if args.url else Extracting()
+    if args.service:
+        provider = service(args.service, args.model, dict(os.environ), url=args.url, thinking=args.thinking)
+    else:
+        provider = ChatProvider(args.url, args.model, args.keys, frozenset(args.host)) if args.url else Extracting()
     outcomes = []
     if args.command == "condense":
         outcomes.append(engine.condense(spark, books, provider, model=args.model, ratio=args.ratio, chunk_tokens=args.chunk_tokens, log_path=f"{args.out}/.foliant", resume=args.resume))
@@ -61,6 +68,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 terms = {str(a): str(b) for a, b in json.load(f).items() if str(a).strip() and str(b).strip()}
         outcomes.append(engine.translate(books, provider, args.to, terms=terms))
         books = outcomes[-1].books
+    if args.rank_images:
+        if not hasattr(provider, "generate_with_image"):
+            raise ValueError("images can only be ranked by a service that sees them")
+        books = engine.rank_images(books, provider)
     _, skipped = engine.write(engine.chosen(books), args.out, asked)
     for outcome in outcomes:
         for row in outcome.report.toJSON().collect():

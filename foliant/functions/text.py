@@ -14,6 +14,10 @@ LANGUAGE_TAGS = {
 }
 
 
+# Fixed value: the form of a language code.
+CODE = r"^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*$"
+
+
 def strip(c: Column) -> Column:
     """Without white space, in Unicode's sense, at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -54,7 +58,7 @@ def to_bcp47(c: Column) -> Column:
     first = F.regexp_replace(F.regexp_extract(named, r"^(\S*)", 1), r"^[()]+|[()]+$", "")
     dash = F.instr(code, "-")
     tidy = F.when(dash > 0, F.concat(F.lower(F.substr(code, F.lit(1), dash - 1)), F.substr(code, dash))).otherwise(F.lower(code))
-    coded = F.when(code.rlike(r"^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*$"), tidy).otherwise("und")
+    coded = F.when(code.rlike(CODE), tidy).otherwise("und")
     return F.coalesce(F.try_element_at(tags, named), F.try_element_at(tags, first), coded)
 
 
@@ -72,7 +76,8 @@ def html_escape(c: Column) -> Column:
 
 
 def image_filename(path: Column, image_id: Column, extension: Column) -> Column:
-    """Base name of the path, or id and extension, in safe characters."""
+    """Base name of the path, or the id, in safe characters, with an extension."""
     base = F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]*)$", 1), F.lit("")), F.concat(image_id, extension))
     safe = F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9._-]", "_"), r"^\.+", "")
-    return F.when(safe == "", "image").otherwise(safe)
+    named = F.when(safe == "", "image").otherwise(safe)
+    return F.when(F.contains(named, F.lit(".")), named).otherwise(F.concat(named, extension))

@@ -258,16 +258,17 @@ def page(title: str, body: str) -> str:
 def make_book(title: str, chapters: list[tuple[str | None, str]], *, author: str | None = None, language: str | None = None, images: list[tuple[str, str, bytes]] = (), cover: str | None = None) -> bytes:
     """Bytes of an EPUB 3 of chapters (title, markup) and images (file name, mime, bytes); cover is one's file name."""
     names = list(unique([n for n, _, _ in images]))
+    ids = xml_ids([f"img-{n}" for n in names])
     front = next((n for n, (own, _, _) in zip(names, images) if own == cover), None) if cover else None
     pages = [(f"chap-{i}", f"chap-{i}.xhtml", t or f"Chapter {i}", page(t or title, body)) for i, (t, body) in enumerate(chapters, 1)]
     if front:
         pages.insert(0, ("cover-page", "cover.xhtml", "", page("Cover", f'<img src="images/{escape(front)}" alt="Cover"/>')))
     items = ['<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>']
     items += [f'<item id="{i}" href="{href}" media-type="application/xhtml+xml"/>' for i, href, _, _ in pages]
-    items += [f'<item id="img-{k}" href="images/{escape(n)}" media-type="{escape(mime)}"{" properties=" + chr(34) + "cover-image" + chr(34) if n == front else ""}/>' for k, (n, (_, mime, _)) in enumerate(zip(names, images), 1)]
+    items += [f'<item id="{i}" href="images/{escape(n)}" media-type="{escape(mime)}"{" properties=" + chr(34) + "cover-image" + chr(34) if n == front else ""}/>' for i, n, (_, mime, _) in zip(ids, names, images)]
     about = [f'<dc:identifier id="bookid">urn:foliant:{hashlib.sha256(title.encode()).hexdigest()[:16]}</dc:identifier>', f"<dc:title>{escape(title)}</dc:title>", f"<dc:language>{escape(language or 'en')}</dc:language>"]
     about += [f"<dc:creator>{escape(author)}</dc:creator>"] if author else []
-    about += [f'<meta name="cover" content="img-{names.index(front) + 1}"/>'] if front else []
+    about += [f'<meta name="cover" content="{ids[names.index(front)]}"/>'] if front else []
     about.append(f'<meta property="dcterms:modified">{MODIFIED}</meta>')
     package = (
         '<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid">\n'

@@ -38,9 +38,9 @@ def test_scan_and_cover(spark, tmp_path):
     (tmp_path / "b.epub").write_bytes(E.make_book("T", [("One", "<p>x</p>")], images=[("c.png", "image/png", b"1")], cover="c.png"))
     (tmp_path / "n.txt").write_text("no")
     books = E.scan(spark, str(tmp_path))
-    assert E.read_metadata(books, "path").select("title", "cover", "chapters").collect() == [("T", "img-1", 2)]
+    assert E.read_metadata(books, "path").select("title", "cover", "chapters").collect() == [("T", "img-c.png", 2)]
     blocks = E.read_blocks(books, "path")
-    left = E.without_leading_cover(blocks, books.select("path", F.lit("img-1").alias("cover")), "path")
+    left = E.without_leading_cover(blocks, books.select("path", F.lit("img-c.png").alias("cover")), "path")
     assert [r["type"] for r in left.collect()] == ["paragraph"]
 
 
@@ -97,3 +97,24 @@ def test_manual_toc(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"title": "A"}]')
     with pytest.raises(Exception, match="start_page"):
         P.manual_toc(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_services():
+    made = V.service("Gemini", "m", {"GEMINI_API_KEY": "a, b"})
+    assert made.keys == ["a", "b"] and made.options == {"reasoning_effort": "disable"}
+    assert V.service("gemini", "m", {"GEMINI_API_KEY": "a"}, thinking="auto").options == {}
+    assert V.service("openai", "m", {"OPENAI_API_KEY": "a"}, thinking="low").options == {"reasoning_effort": "low"}
+    assert V.service("ollama", "m", {}).keys == []
+    assert V.service("openai", "m", {}, url="http://127.0.0.1:9/v1").keys == []
+    for bad in (("none", {}), ("openai", {}), ("gemini", {"GEMINI_API_KEY": " , "})):
+        with pytest.raises(ValueError):
+            V.service(bad[0], "m", bad[1])
+    with pytest.raises(ValueError, match="unlisted"):
+        V.service("openai", "m", {"OPENAI_API_KEY": "a"}, url="https://elsewhere/v1")
+
+
+@pytest.mark.parametrize(("path", "name"), [("a/b c.png", "b_c.png"), ("a/..x", "x.png"), ("noend", "noend.png"), (None, "id_1.png"), ("a/", "id_1.png"), ("a/..", "image.png")])
+def test_image_names(spark, path, name):
+    from foliant.functions import text as T
+
+    assert spark.range(1).select(T.image_filename(F.lit(path).cast("string"), F.lit("id 1"), F.lit(".png")).alias("n")).first()["n"] == name
