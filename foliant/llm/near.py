@@ -288,7 +288,8 @@ def deduplicate(docs: DataFrame, *, least: float = 0.8, dense: int = DENSE) -> D
     `component_id` is its smallest doc_id, of which one row alone is kept; `n_copies` counts the rows of the same
     text. Rows are told apart by their texts, also where they have one doc_id. Null is as the empty text, and empty
     texts equal each other; a text without words has no other links. A null doc_id is a component of its own.
-    Columns besides doc_id and text are not read.
+    Texts of any length are compared whole; an empty table gives an empty result. Columns besides doc_id and text are
+    not read.
     """
     return _judged(docs, least, dense).select("doc_id", "component_id", "n_copies", "kept")
 

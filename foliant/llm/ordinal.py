@@ -109,7 +109,9 @@ def grade(docs: DataFrame, labels: DataFrame, *, most: int = 2500, least_grade:
 
     `tail_probability` is that of reaching `least_grade` (the highest grade if None); a row is kept at
     `least_tail` or more. Null and empty texts have no words and rest on the thresholds alone; without labels of
-    two grades nothing can be told apart: the tail probability is null and every row is kept.
+    two grades nothing can be told apart: the tail probability is null and every row is kept. Repeated rows are graded
+    alike, ties at `least_tail` are kept, texts of any length are read whole, and an empty table gives an empty result.
+    Columns besides doc_id and text are not read.
     """
     fitted = fit(docs, labels, most=most)
     model = docs.sparkSession.sparkContext.broadcast(fitted)

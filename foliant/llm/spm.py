@@ -237,14 +237,21 @@ class UnitCache:
         return said.count(","), hashlib.sha256(said[1:].encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+@lru_cache(2)
+def unit_cache(path: str) -> UnitCache:
+    """One for all tasks that a worker runs."""
+    return UnitCache(load(path))
+
+
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per document with digests of its ids and of the text that they decode to.
 
-    Null is as empty: no ids. Repeated rows are encoded one by one; other columns are not read.
+    Null is as empty: no ids. Texts of any length are encoded whole, unit by unit. Repeated rows are encoded one by one;
+    other columns are not read, and an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = UnitCache(load(model_path))
+        cache = unit_cache(model_path)
         for batch in batches:
             rows = [cache.digest(t.as_py() or "") for t in batch.column(1)]
             if rows:

@@ -214,6 +214,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, most: int = 3000) -> DataFra
 
     `rejected` applies the threshold of the row's language (0.5 for one without a threshold). Null and empty
     texts score as a text without words; without labels every score is that of an untrained network at about 0.5.
+    Repeated rows score alike, ties at a threshold are rejected, texts of any length are read whole, and an empty table
+    gives an empty result. Columns besides doc_id, text and lang are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most=most))
 
