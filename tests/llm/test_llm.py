@@ -507,6 +507,21 @@ def test_queries_equal_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns) and one(got) == one(want)
 
 
+def test_too_many_labels(spark, docs):
+    labels = spark.range(200).selectExpr("id as doc_id", "cast(id as int) as quality")
+    with pytest.raises(ValueError, match="over 64"):
+        ordinal.fit(docs, labels)
+
+
+def test_urls_of_any_kind(spark):
+    rows = [(1, None), (2, ""), (2, ""), (3, "no scheme"), (4, "http://" + "a" * 200_000 + ".com/x"), (5, "HTTP://WWW.Example.COM/en/é?q#f"), (6, "x://net/es/"), (7, "http://h/" + "é" * 100_000)]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (got[1].host, got[1].path, got[1].rule) == ("", "", None) and got[3].host == ""
+    assert got[4].rule == "com/" and got[5].rule == "www.example.com/en/" and got[6].verdict == "block" and got[7].host == "h"
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).count() == len(rows)
+
+
 def test_models_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.classify(docs, none).count() == 15
