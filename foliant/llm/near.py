@@ -33,6 +33,8 @@ BANDS, ROWS = 12, 4
 DENSE, DELEGATES = 20_000, 4
 #: Steps of totals; slack for sums of floats; how many earlier keys a member carries, to see where a pair met before.
 STEP, EDGE, BEFORE = 1.02, 1e-5, 32
+#: Shingles of this inverse document frequency or more are marked in a bitmap of so many longs.
+RARE, MARKS = 1.0, 4
 DF_BITS = 16
 ID_BITS = 44
 _ID = U((1 << ID_BITS) - 1)
@@ -133,7 +135,8 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def weighted_sets(docs: DataFrame, idf, least: float) -> DataFrame:
-    """node, sorted 32-bit shingle ids, their weights and total, the ids of the prefix for similarities from `least`, and what of the total is left at each."""
+    """node, sorted 32-bit shingle ids, their weights and total, the ids of the prefix for similarities from `least`, what of the total is left at each, and the bitmap of rare shingles."""
+    marks = [f"mark{i}" for i in range(MARKS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,11 +152,14 @@ def weighted_sets(docs: DataFrame, idf, least: float) -> DataFrame:
                     total = before[-1] if b > a else 0.0
                     short = int(np.searchsorted(before, (1 - least) * total * (1 + 1e-6), "right")) + 1
                     left = np.concatenate([[total], total - before])[:short]
-                    cells.append((small[a:b].tobytes(), weights[a:b].tobytes(), total, small[a:b][order[:short]].view(np.int32), left[: b - a]))
-                columns = [pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["node", "ids", "weights", "total", "prefix", "left"])
+                    bits = np.zeros(64 * MARKS, bool)
+                    bits[(small[a:b][rarity[a:b] >= RARE] * np.uint32(0x9E3779B1) >> np.uint32(16)) % (64 * MARKS)] = True
+                    cells.append((small[a:b].tobytes(), weights[a:b].tobytes(), total, small[a:b][order[:short]].view(np.int32), left[: b - a], *np.packbits(bits).view(np.int64).tolist()))
+                types = (pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), *[pa.int64()] * MARKS)
+                columns = [pa.array([c[i] for c in cells], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["node", "ids", "weights", "total", "prefix", "left", *marks])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, ids binary, weights binary, total double, prefix array<int>, left array<double>")
+    return docs.select("node", "text").mapInArrow(run, "node long, ids binary, weights binary, total double, prefix array<int>, left array<double>, " + ", ".join(f"{m} long" for m in marks))
 
 
 def weighted_jaccard(ids_a: np.ndarray, w_a: np.ndarray, ids_b: np.ndarray, w_b: np.ndarray) -> float:
@@ -193,21 +199,25 @@ def stars(work: Workspace, texts: DataFrame) -> DataFrame:
     return work.put(pairs, "stars")
 
 
-def meetings(lights: DataFrame, members: DataFrame) -> DataFrame:
+def meetings(lights: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """(a, b, ra, rb): pairs of different roots that share a key, and whose totals leave them a chance there.
 
     Of two similar texts the lighter one, x, is light at the first shingle in common, and the other's total lies
-    between its own and `most`; so members are dealt by key and by steps of their total. A pair that is known to
-    meet at an earlier key as well is left to that one.
+    between its own and `most`; so members are dealt by key and by steps of their total. Each bit in which the bitmaps
+    of rare shingles differ is a shingle of one of them that the other lacks, and so bounds their similarity. A pair
+    that is known to meet at an earlier key as well is left to that one.
     """
     step = lambda c: F.floor(F.log(c) / math.log(STEP)).cast("int")
     low = step(F.col("total") * (1 - EDGE))
     steps = F.explode(F.sequence(low, F.greatest(low, step(F.col("most"))))).alias("step")
-    named = lambda mark: [F.col(c).alias(f"{c}_{mark}") for c in ("node", "root", "total", "most", "before")]
+    marks = [f"mark{i}" for i in range(MARKS)]
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "total", "most", "before", *marks)]
     x = lights.select("key", *named("x"), F.col("total"), F.col("most")).select("*", steps).drop("total", "most")
     y = members.select("key", *named("y"), step(F.col("total")).alias("step"))
     c = F.col
     fits = (c("root_x") != c("root_y")) & (c("total_y") >= c("total_x") * (1 - EDGE)) & (c("total_y") <= c("most_x")) & (c("total_x") <= c("most_y"))
+    apart = sum((F.bit_count(c(f"{m}_x").bitwiseXOR(c(f"{m}_y"))) for m in marks), F.lit(0))
+    fits &= apart * RARE <= (c("total_x") + c("total_y")) * ((1 - least) / (1 + least) * (1 + EDGE))
     met = x.join(y, ["key", "step"]).where(fits & ~F.arrays_overlap("before_x", "before_y"))
     pick = lambda name, one, other: F.when(c("node_x") < c("node_y"), c(f"{name}_{one}")).otherwise(c(f"{name}_{other}"))
     return met.select(pick("node", "x", "y").alias("a"), pick("node", "y", "x").alias("b"), pick("root", "x", "y").alias("ra"), pick("root", "y", "x").alias("rb")).distinct()
@@ -215,11 +225,12 @@ def meetings(lights: DataFrame, members: DataFrame) -> DataFrame:
 
 def crossings(work: Workspace, sets: DataFrame, roots: DataFrame, least: float, dense: int) -> list[DataFrame]:
     """Tables (node, root) that lead on, one after the other, from roots to those of all linked texts."""
-    held = sets.select("node", "total", "prefix", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tokens = held.select("node", "root", "total", F.posexplode(F.arrays_zip("prefix", "left")).alias("pos", "at"))
+    marks = [f"mark{i}" for i in range(MARKS)]
+    held = sets.select("node", "total", "prefix", "left", *marks).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tokens = held.select("node", "root", "total", *marks, F.posexplode(F.arrays_zip("prefix", "left")).alias("pos", "at"))
     # The greatest total that a similar text can have, if this is the first shingle in common.
     most = F.col("at.left") * ((1 + least) / least) * (1 + EDGE) - F.col("total")
-    tokens = work.put(tokens.select("node", "root", "total", "pos", F.col("at.prefix").alias("key"), most.alias("most")), "prefixes")
+    tokens = work.put(tokens.select("node", "root", "total", *marks, "pos", F.col("at.prefix").alias("key"), most.alias("most")), "prefixes")
     light = F.col("most") >= F.col("total") * (1 - EDGE)
     out: list[DataFrame] = []
     while True:
@@ -227,18 +238,18 @@ def crossings(work: Workspace, sets: DataFrame, roots: DataFrame, least: float,
         keys = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *sizes).where("low != high and lights > 0")
         keys = work.put(keys.select("key", "n", "lights"), "keys")
         # Each member of a key with the first of the keys that it has before.
-        own = tokens.join(keys.select("key"), "key").groupBy("node", "root", "total").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "most"))).alias("t"))
-        own = own.select("node", "root", "total", F.slice("t.key", 1, BEFORE).alias("first"), F.posexplode("t").alias("i", "e"))
-        own = own.select("node", "root", "total", "e.*", F.slice("first", F.lit(1), F.least("i", F.lit(BEFORE))).alias("before"))
+        own = tokens.join(keys.select("key"), "key").groupBy("node", "root", "total", *marks).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "most"))).alias("t"))
+        own = own.select("node", "root", "total", *marks, F.slice("t.key", 1, BEFORE).alias("first"), F.posexplode("t").alias("i", "e"))
+        own = own.select("node", "root", "total", *marks, "e.*", F.slice("first", F.lit(1), F.least("i", F.lit(BEFORE))).alias("before"))
         members = work.put(own, "members")
         load = keys.agg(F.sum(F.col("n").cast("double") * F.col("lights")) / F.sum("n")).first()[0] or 0
         # Where keys are large, a few members of each component first: what these connect needs no further pair.
         few = load > dense and not out
         others = members
         if few:
-            one = members.groupBy("key", "root", F.pmod(F.xxhash64("node"), F.lit(DELEGATES))).agg(F.min(F.struct("node", "total", "most", "before")).alias("m"))
+            one = members.groupBy("key", "root", F.pmod(F.xxhash64("node"), F.lit(DELEGATES))).agg(F.min(F.struct("node", "total", "most", "before", *marks)).alias("m"))
             others = work.put(one.select("key", "root", "m.*"), "delegates")
-        links = work.put(verify(meetings(members.where(light), others), sets, least), "crossings")
+        links = work.put(verify(meetings(members.where(light), others, least), sets, least), "crossings")
         onward = components(work, links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         out.append(onward)
         if not few:
