@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -169,6 +170,43 @@ def test_passages_by_brute_force(spark):
     assert not got & set(range(40))
 
 
+def test_passages_of_members_that_are_like_neither_end_of_a_key(spark):
+    """Families of two texts share 55 words, of which all families share 35: the texts of a key's ends belong to two of them."""
+    rng = random.Random(23)
+    core, texts = said(rng, 35), []
+    for _ in range(40):
+        own = said(rng, 20)
+        texts += [f"{said(rng, 60)} {core} {own} {said(rng, 60)}" for _ in range(2)]
+    # The place that matters is the second one of its key.
+    last = said(rng, 20)
+    texts += [f"{said(rng, 60)} {core} {said(rng, 80)} {core} {last} {said(rng, 9)}", f"{said(rng, 60)} {core} {last} {said(rng, 60)}"]
+    got = {(r.doc_id, r.partner_doc_id) for r in substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(i, i ^ 1) for i in range(82)}
+
+
+@pytest.mark.parametrize("kinds", [4, 30, 1000])
+def test_links_of_group_by_brute_force(kinds):
+    """Every place that has any partner at its key is covered by a link, and all links are verified ones."""
+    rng, width = np.random.default_rng(kinds), 12
+    stems = [rng.integers(0, kinds, 40).astype(np.uint32) for _ in range(4)]
+    tokens = [stems[k % 4].copy() for k in range(16)]
+    for t in tokens:
+        t[rng.integers(0, 40, 1)] = rng.integers(0, kinds)
+        t[rng.permutation(40)[: rng.integers(0, 30)]] += np.uint32(5000)
+    owner, top = np.repeat(np.arange(16), 2), np.tile([10, 28], 16)
+    keys, packed = np.tile([7, 8], 16), top << 38 | np.tile([10, 16], 16) << 19 | np.tile([16, 11], 16)
+    got = list(substring.links_of_group(list(range(16)), [0] * 16, tokens, owner, keys, packed, np.ones(32, bool), width, 0.8))
+    assert all(a != b and sim >= 0.8 for a, _, _, b, sim in got)
+    for i, j in itertools.permutations(range(16), 2):
+        for k in range(2):
+            for a, b, c, d in substring.places([(int(packed[2 * i + k]), int(packed[2 * j + k]), 7)], width):
+                for start, to, *_ in substring.verified(tokens[i][a : b + 1], tokens[j][c : d + 1], width, 0.8):
+                    if a + start <= top[k] <= a + to:
+                        assert any(h == i and s <= top[k] <= s + n - 5 for h, s, n, _, _ in got)
+    x = tokens[0]
+    assert substring.fewest_distinct(x, width) == min(len(set(x[s : s + width].tolist())) for s in range(len(x) - width + 1))
+
+
 def test_passages(docs, empty):
     got = {(r.doc_id, r.partner_doc_id) for r in substring.repeated_passages(docs).collect()}
     assert {(7, 8), (8, 7), (5, 4), (4, 5)} <= got
