@@ -214,6 +214,14 @@ def test_passages(docs, empty):
     assert substring.repeated_passages(empty).count() == 0
 
 
+def test_batches_hold_few_bytes(spark):
+    """A thousand long texts make several batches."""
+    Workspace(spark, "batches")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    got = [r.n for r in spark.range(0, 1000, 1, 1).selectExpr("repeat('x', 50000)").mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 50_000_000 and max(got) <= 9_000_000
+
+
 def test_near(docs, empty):
     got = {r.doc_id: r.component_id for r in near.deduplicate(docs).collect()}
     assert got[6] == got[5] == got[4] == 4 and got[0] == got[1] == 0
