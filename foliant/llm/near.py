@@ -7,7 +7,8 @@ prefix filter, exactly, among all texts that share a bucket with any other: orde
 texts share a shingle among those that come before the last 0.8 of their weights. At the first shingle that two texts
 share, what is left of both bounds their overlap; so the lighter of the two holds it among those before the last
 2 * 0.8 / 1.8 of its weight, and the other's total lies within narrow bounds. Each comparison is verified on the
-whole weighted sets.
+whole weighted sets. Where a large group of near copies makes many such pairs, those of a few texts chosen by hash come
+first and are contracted, twice; then come all pairs of what are still different components, so the result is exact.
 
 The inverse document frequency is ln(1 + N / (df + N / 2)): the added half damps it, so that what a group of near
 copies shares isn't outweighed by its few edits. Frequencies are counted in a table of 2**16 hash buckets, whose
@@ -29,8 +30,9 @@ from foliant.workspace import Workspace
 
 WORDS = 5
 BANDS, ROWS = 12, 4
-#: Members of each component that are tried first where keys hold over DENSE pairs a member.
-DENSE, DELEGATES = 20_000, 4
+#: Where keys hold over DENSE pairs of different components a member, the pairs that one text in SHARES makes with a few
+#: members of each component come first: what these connect needs no further pair. All others come last in any case.
+DENSE, DELEGATES, SHARES = 8, 4, (64, 8)
 #: Steps of totals; slack for sums of floats; how many earlier keys a member carries, to see where a pair met before.
 STEP, EDGE, BEFORE = 1.02, 1e-5, 32
 #: Shingles of this inverse document frequency or more are marked in a bitmap of so many longs.
@@ -223,6 +225,14 @@ def meetings(lights: DataFrame, members: DataFrame, least: float) -> DataFrame:
     return met.select(pick("node", "x", "y").alias("a"), pick("node", "y", "x").alias("b"), pick("root", "x", "y").alias("ra"), pick("root", "y", "x").alias("rb")).distinct()
 
 
+def crossing_load(members: DataFrame, light) -> float:
+    """How many pairs of a light member and one of another component keys hold, for each member."""
+    by_root = members.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"), F.count_if(light).cast("double").alias("lights"))
+    n, lights = F.sum("n"), F.sum("lights")
+    pairs, held = by_root.groupBy("key").agg((n * lights - F.sum(F.col("n") * F.col("lights"))).alias("pairs"), n.alias("held")).agg(F.sum("pairs"), F.sum("held")).first()
+    return pairs / held if held else 0.0
+
+
 def crossings(work: Workspace, sets: DataFrame, roots: DataFrame, least: float, dense: int) -> list[DataFrame]:
     """Tables (node, root) that lead on, one after the other, from roots to those of all linked texts."""
     marks = [f"mark{i}" for i in range(MARKS)]
@@ -233,30 +243,29 @@ def crossings(work: Workspace, sets: DataFrame, roots: DataFrame, least: float,
     tokens = work.put(tokens.select("node", "root", "total", *marks, "pos", F.col("at.prefix").alias("key"), most.alias("most")), "prefixes")
     light = F.col("most") >= F.col("total") * (1 - EDGE)
     out: list[DataFrame] = []
-    while True:
-        sizes = F.count("*").alias("n"), F.count_if(light).alias("lights")
-        keys = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *sizes).where("low != high and lights > 0")
-        keys = work.put(keys.select("key", "n", "lights"), "keys")
+    for share in (*SHARES, None):
+        keys = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(light).alias("lights")).where("low != high and lights > 0")
+        keys = work.put(keys.select("key"), "keys")
         # Each member of a key with the first of the keys that it has before.
-        own = tokens.join(keys.select("key"), "key").groupBy("node", "root", "total", *marks).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "most"))).alias("t"))
+        own = tokens.join(keys, "key").groupBy("node", "root", "total", *marks).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "most"))).alias("t"))
         own = own.select("node", "root", "total", *marks, F.slice("t.key", 1, BEFORE).alias("first"), F.posexplode("t").alias("i", "e"))
         own = own.select("node", "root", "total", *marks, "e.*", F.slice("first", F.lit(1), F.least("i", F.lit(BEFORE))).alias("before"))
         members = work.put(own, "members")
-        load = keys.agg(F.sum(F.col("n").cast("double") * F.col("lights")) / F.sum("n")).first()[0] or 0
-        # Where keys are large, a few members of each component first: what these connect needs no further pair.
-        few = load > dense and not out
-        others = members
-        if few:
-            one = members.groupBy("key", "root", F.pmod(F.xxhash64("node"), F.lit(DELEGATES))).agg(F.min(F.struct("node", "total", "most", "before", *marks)).alias("m"))
+        lights, others = members.where(light), members
+        last = share is None or crossing_load(members, light) <= dense
+        if not last:
+            lights = lights.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
+            one = members.groupBy("key", "root", F.pmod(F.xxhash64("node", F.lit(share)), F.lit(DELEGATES))).agg(F.min(F.struct("node", "total", "most", "before", *marks)).alias("m"))
             others = work.put(one.select("key", "root", "m.*"), "delegates")
-        links = work.put(verify(meetings(members.where(light), others, least), sets, least), "crossings")
+        links = work.put(verify(meetings(lights, others, least), sets, least), "crossings")
         onward = components(work, links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         out.append(onward)
-        if not few:
-            return out
+        if last:
+            break
         now = onward.select(F.col("node").alias("root"), F.col("root").alias("now"))
         tokens = members.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now", "before")
         tokens = work.put(tokens, "prefixes")
+    return out
 
 
 def _judged(docs: DataFrame, least: float, dense: int) -> DataFrame:

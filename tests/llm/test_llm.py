@@ -342,6 +342,29 @@ def test_near_links_what_only_some_members_are_similar_to(spark, monkeypatch, de
     assert got == want and 5 < len(set(want)) < 100
 
 
+def test_near_contracts_a_large_group_before_it_pairs_all(spark, monkeypatch):
+    """350 near copies of one text, in one bucket, whose smallest id is similar to none of them."""
+    rng = random.Random(5)
+    words, texts = said(rng, 200).split(), []
+    for n in (14, *rng.choices((1, 2, 3, 4), k=350)):
+        other = list(words)
+        for k in rng.sample(range(0, 200, 5), n):
+            other[k] = said(rng, 1) + "x"
+        texts.append(" ".join(other))
+    texts = list(dict.fromkeys(texts))
+    made, meetings = [], near.meetings
+
+    def counted(*a):
+        out = meetings(*a)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "meetings", counted)
+    got, want = near_against_brute_force(spark, monkeypatch, texts, True)
+    pairs = len(texts) * (len(texts) - 1) // 2
+    assert got == want and len(made) > 1 and sum(made) < pairs / 4
+
+
 def test_near_recall_by_brute_force(spark, monkeypatch):
     """Of pairs p and m similar to each other, where a third text with the smallest id is similar to p only."""
     rng = random.Random(77)
