@@ -51,11 +51,11 @@ class Workspace:
         self.count = 0
         self.paths: list[str] = []
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write and reread; the returned frame starts at the files."""
+    def put(self, df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+        """Write, in a folder for each value of `by` if given, and reread; the returned frame starts at the files."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._foliant_path = path
         self.paths.append(path)
