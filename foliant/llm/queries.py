@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import embed, near, ordinal, packing, quality_rules, spm, substring, suffix, toxicity, urls
+from foliant.llm import embed, fingerprints, merkle, near, ordinal, packing, quality_rules, spm, substring, suffix, toxicity, urls, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op11 by their digests, which SQL can express."""
+    return op11_edit_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of op2 and its base limits, which SQL can express."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -73,12 +90,76 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_substring_dedup, op2_quality_rules, op3_toxicity, op4_suffix_array_dedup, op5_url_filter, op6_best_fit_packing, op7_sentencepiece, op8_embedding_near_dedup,
-    op9_minhash_near_dedup, op10_quality_classifier,
+    op9_minhash_near_dedup, op10_quality_classifier, op11_edit_fingerprints, op12_merkle_manifest, op13_yinyang_clusters,
 )
-QUERIES = {f.__name__: f for f in (*_OPERATORS, quality_counts, url_rules)}
+QUERIES = {f.__name__: f for f in (*_OPERATORS, quality_counts, url_rules, edited_texts)}
+
+
+def _merkle_sql(tree_levels: int = 12, crest_levels: int = 6) -> str:
+    """A manifest of up to 3**tree_levels rows a source and 3**crest_levels sources, level by level."""
+
+    def climb(name: str, levels: int) -> list[str]:
+        out = []
+        for k in range(levels):
+            out.append(f"""{name}_s{k} AS (SELECT *,
+  CASE WHEN size > 1 THEN coalesce(string_agg(digest, '') OVER (PARTITION BY tree, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS a,
+  CASE WHEN size > 1 THEN coalesce(string_agg(digest, '') OVER (PARTITION BY tree, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS b FROM {name}_{k})""")
+            out.append(f"""{name}_{k + 1} AS (SELECT tree, idx // 3 AS idx, (size + 2) // 3 AS size,
+  CASE WHEN size = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest FROM {name}_{k} GROUP BY tree, idx // 3, size)""")
+        return out
+
+    def follow(name: str, start: str, levels: int) -> list[str]:
+        return [f"""{name}_p{k + 1} AS (SELECT p.* REPLACE (p.pos // 3 AS pos, p.proof || coalesce(s.a || s.b, '') AS proof,
+  CASE WHEN s.size > 1 THEN sha256(s.a || p.fold || s.b) ELSE p.fold END AS fold)
+  FROM {start if k == 0 else f"{name}_p{k}"} p JOIN {name}_s{k} s ON s.tree = p.{"tree" if name == "t" else "crest"} AND s.idx = p.pos)""" for k in range(levels)]
+
+    said = lambda x: f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')"
+    head = " || ".join(said(x) for x in ("doc_id", "source", "lang", "n_chars"))
+    even = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), range(0, 8)), lambda y, i: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END))) % 2 = 1"""
+    parts = [f"""d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS tree, sha256({head} || {said("text")}) AS leaf,
+  CASE WHEN {even} THEN sha256({head} || {said("replace(text, chr(10), '')")}) END AS other FROM documents)"""]
+    parts.append("""n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, other NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS size FROM d)""")
+    parts.append("t_0 AS (SELECT tree, idx, size, leaf AS digest FROM n)")
+    parts += climb("t", tree_levels)
+    parts.append(f"""c_0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS size, digest FROM t_{tree_levels})""")
+    parts.append(f"""names AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM t_{tree_levels})""")
+    parts += climb("c", crest_levels)
+    parts.append("start AS (SELECT r, doc_id, leaf, tree, idx AS pos, '' AS proof, coalesce(other, leaf) AS fold FROM n)")
+    parts += follow("t", "start", tree_levels)
+    parts.append(f"""middle AS (SELECT r, doc_id, leaf, '' AS crest, place AS pos, proof, fold, subroot FROM t_p{tree_levels} JOIN names USING (tree))""")
+    parts += follow("c", "middle", crest_levels)
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = digest AS verified
+FROM c_p{crest_levels}, (SELECT digest FROM c_{crest_levels})"""
+
+
+def _kmeans_sql() -> str:
+    """Every vector against every centroid in each round."""
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    parts = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: greatest(least(floor(256 * e::DOUBLE), {yinyang.MOST}), -{yinyang.MOST})::BIGINT) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = {yinyang.COMPONENTS} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)"""]
+    parts.append(f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v ORDER BY sha256('2:' || vec_id), x LIMIT {yinyang.CLUSTERS})""")
+    for k in range(yinyang.ROUNDS + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, min(d) AS d, arg_min(c, (d, c)) AS c
+  FROM (SELECT v.r, v.vec_id, c.c, {apart} AS d FROM v, c{k} c) GROUP BY r)""")
+        if k < yinyang.ROUNDS:
+            parts.append(f"""s{k} AS (SELECT c, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{k} JOIN v USING (r), range(1, {yinyang.COMPONENTS + 1}) t(i) GROUP BY c, i)""")
+            parts.append(f"""m{k} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{k} GROUP BY c)""")
+            parts.append(f"""c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{k} o LEFT JOIN m{k} m ON m.c = o.c)""")
+    last = yinyang.ROUNDS
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{last} a JOIN c{last} c ON c.c = a.c"""
+
 
 _WORD = r"[^\x20\x09-\x0D]"
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_yinyang_clusters": _kmeans_sql(),
+    "edited_texts": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER w AS after, first_value(coalesce(text, '')) OVER w AS first_ FROM documents WINDOW w AS (ORDER BY doc_id))
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(substr(text, 1, length(text) - length(text) // 2) || substr(coalesce(after, first_), 1, length(text) // 2)) AS edited_sha256 FROM d""",
     "op4_suffix_array_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
 w AS (SELECT r, i, md5(b[i + 1 : i + 400]) AS k FROM d, range(0, n - 399) t(i)),
