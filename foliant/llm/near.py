@@ -7,8 +7,9 @@ prefix filter, exactly, among all texts that share a bucket with any other: orde
 texts share a shingle among those that come before the last 0.8 of their weights. At the first shingle that two texts
 share, what is left of both bounds their overlap; so the lighter of the two holds it among those before the last
 2 * 0.8 / 1.8 of its weight, and the other's total lies within narrow bounds. Each comparison is verified on the
-whole weighted sets. Where a large group of near copies makes many such pairs, those of a few texts chosen by hash come
-first and are contracted, twice; then come all pairs of what are still different components, so the result is exact.
+whole weighted sets. Where a large group of near copies makes many such pairs at a shingle, those of a few texts chosen by
+hash come first and are contracted, twice; then come all pairs of what are still different components, so the result is
+exact. Shingles with few pairs meet once.
 
 The inverse document frequency is ln(1 + N / (df + N / 2)): the added half damps it, so that what a group of near
 copies shares isn't outweighed by its few edits. Frequencies are counted in a table of 2**16 hash buckets, whose
@@ -30,9 +31,10 @@ from foliant.workspace import Workspace
 
 WORDS = 5
 BANDS, ROWS = 12, 4
-#: Where keys hold over DENSE pairs of different components a member, the pairs that one text in SHARES makes with a few
+#: Where a key holds over DENSE pairs of different components a member, the pairs that one text in SHARES makes with a few
 #: members of each component come first: what these connect needs no further pair. All others come last in any case.
-DENSE, DELEGATES, SHARES = 8, 4, (64, 8)
+#: A key of over LEAD members is parted by the component that leads it.
+DENSE, DELEGATES, SHARES, LEAD = 8, 4, (64, 8), 32
 #: Steps of totals; slack for sums of floats; how many earlier keys a member carries, to see where a pair met before.
 STEP, EDGE, BEFORE = 1.02, 1e-5, 32
 #: Shingles of this inverse document frequency or more are marked in a bitmap of so many longs.
@@ -205,67 +207,90 @@ def meetings(lights: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """(a, b, ra, rb): pairs of different roots that share a key, and whose totals leave them a chance there.
 
     Of two similar texts the lighter one, x, is light at the first shingle in common, and the other's total lies
-    between its own and `most`; so members are dealt by key and by steps of their total. Each bit in which the bitmaps
-    of rare shingles differ is a shingle of one of them that the other lacks, and so bounds their similarity. A pair
-    that is known to meet at an earlier key as well is left to that one.
+    between its own and `most`; so members are dealt by key and by steps of their total. Where a key has a root that
+    leads it, either x or y isn't of that root: all x meet the others, and the others meet the leading ones, so that a
+    large component isn't held against itself. Each bit in which the bitmaps of rare shingles differ is a shingle of one
+    of them that the other lacks, and so bounds their similarity. A pair that is known to meet at an earlier key as well
+    is left to that one.
     """
     step = lambda c: F.floor(F.log(c) / math.log(STEP)).cast("int")
     low = step(F.col("total") * (1 - EDGE))
     steps = F.explode(F.sequence(low, F.greatest(low, step(F.col("most"))))).alias("step")
     marks = [f"mark{i}" for i in range(MARKS)]
     named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "total", "most", "before", *marks)]
-    x = lights.select("key", *named("x"), F.col("total"), F.col("most")).select("*", steps).drop("total", "most")
-    y = members.select("key", *named("y"), step(F.col("total")).alias("step"))
+    leads = F.coalesce(F.col("root") == F.col("lead"), F.lit(False))
+    sides = F.when(F.col("lead").isNull() | leads, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    x = lights.select("key", *named("x"), F.col("total"), F.col("most"), sides.alias("sides")).select("*", steps).drop("total", "most")
+    x = x.withColumn("side", F.explode("sides")).drop("sides")
+    y = members.select("key", *named("y"), step(F.col("total")).alias("step"), leads.cast("int").alias("side"))
     c = F.col
     fits = (c("root_x") != c("root_y")) & (c("total_y") >= c("total_x") * (1 - EDGE)) & (c("total_y") <= c("most_x")) & (c("total_x") <= c("most_y"))
     apart = sum((F.bit_count(c(f"{m}_x").bitwiseXOR(c(f"{m}_y"))) for m in marks), F.lit(0))
     fits &= apart * RARE <= (c("total_x") + c("total_y")) * ((1 - least) / (1 + least) * (1 + EDGE))
-    met = x.join(y, ["key", "step"]).where(fits & ~F.arrays_overlap("before_x", "before_y"))
+    met = x.join(y, ["key", "step", "side"]).where(fits & ~F.arrays_overlap("before_x", "before_y"))
     pick = lambda name, one, other: F.when(c("node_x") < c("node_y"), c(f"{name}_{one}")).otherwise(c(f"{name}_{other}"))
     return met.select(pick("node", "x", "y").alias("a"), pick("node", "y", "x").alias("b"), pick("root", "x", "y").alias("ra"), pick("root", "y", "x").alias("rb")).distinct()
 
 
-def crossing_load(members: DataFrame, light) -> float:
-    """How many pairs of a light member and one of another component keys hold, for each member."""
-    by_root = members.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"), F.count_if(light).cast("double").alias("lights"))
-    n, lights = F.sum("n"), F.sum("lights")
-    pairs, held = by_root.groupBy("key").agg((n * lights - F.sum(F.col("n") * F.col("lights"))).alias("pairs"), n.alias("held")).agg(F.sum("pairs"), F.sum("held")).first()
-    return pairs / held if held else 0.0
+def crossing_keys(tokens: DataFrame, dense: int | None) -> DataFrame:
+    """Keys that hold pairs of a light member and one of another root, the root that leads a large one, and whether such
+    pairs are over `dense` for each member."""
+    light = F.col("most") >= F.col("total") * (1 - EDGE)
+    by_root = tokens.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"), F.count_if(light).cast("double").alias("lights"))
+    n, lights, within = F.sum("n"), F.sum("lights"), F.sum(F.col("n") * F.col("lights"))
+    held = by_root.groupBy("key").agg((n * lights - within).alias("pairs"), n.alias("held"), F.max_by("root", F.struct("n", "root")).alias("lead")).where("pairs > 0")
+    heavy = F.lit(False) if dense is None else F.col("pairs") > dense * F.col("held")
+    return held.select("key", F.when(F.col("held") > LEAD, F.col("lead")).alias("lead"), heavy.alias("heavy"))
+
 
+def crossings(work: Workspace, sets: DataFrame, roots: DataFrame, least: float, dense: int) -> DataFrame:
+    """(node, root): where the roots of linked texts lead in the end.
 
-def crossings(work: Workspace, sets: DataFrame, roots: DataFrame, least: float, dense: int) -> list[DataFrame]:
-    """Tables (node, root) that lead on, one after the other, from roots to those of all linked texts."""
+    Keys with few pairs of different roots meet once. Those with many go through rounds: at first one text in SHARES
+    meets a few members of each component, then all do. Only they are read again, under their new roots.
+    """
     marks = [f"mark{i}" for i in range(MARKS)]
     held = sets.select("node", "total", "prefix", "left", *marks).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tokens = held.select("node", "root", "total", *marks, F.posexplode(F.arrays_zip("prefix", "left")).alias("pos", "at"))
     # The greatest total that a similar text can have, if this is the first shingle in common.
     most = F.col("at.left") * ((1 + least) / least) * (1 + EDGE) - F.col("total")
-    tokens = work.put(tokens.select("node", "root", "total", *marks, "pos", F.col("at.prefix").alias("key"), most.alias("most")), "prefixes")
+    tokens = held.select("node", "root", "total", F.posexplode(F.arrays_zip("prefix", "left")).alias("pos", "at"))
+    tokens = work.put(tokens.select("node", "root", "total", "pos", F.col("at.prefix").alias("key"), most.alias("most")), "prefixes")
+    keys = work.put(crossing_keys(tokens, dense), "keys")
+    # One row for each text, with those of its prefix that meet others, in order.
+    own = F.array_sort(F.collect_list(F.struct("pos", "key", "most", "lead", "heavy"))).alias("t")
+    texts = tokens.join(keys, "key").groupBy("node").agg(own).join(held.select("node", "root", "total", *marks), "node")
+    texts = work.put(texts, "texts")
+    work.drop(tokens, keys)
     light = F.col("most") >= F.col("total") * (1 - EDGE)
-    out: list[DataFrame] = []
-    for share in (*SHARES, None):
-        keys = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(light).alias("lights")).where("low != high and lights > 0")
-        keys = work.put(keys.select("key"), "keys")
-        # Each member of a key with the first of the keys that it has before.
-        own = tokens.join(keys, "key").groupBy("node", "root", "total", *marks).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "most"))).alias("t"))
-        own = own.select("node", "root", "total", *marks, F.slice("t.key", 1, BEFORE).alias("first"), F.posexplode("t").alias("i", "e"))
-        own = own.select("node", "root", "total", *marks, "e.*", F.slice("first", F.lit(1), F.least("i", F.lit(BEFORE))).alias("before"))
-        members = work.put(own, "members")
+    sampled = lambda share: F.pmod(F.xxhash64("node"), F.lit(share)) == 0
+    parts = ["key", "node", "root", "total", "most", "lead", "before", *marks]
+    edges: DataFrame | None = None
+    for i, share in enumerate((*SHARES, None)):
+        first = F.transform("t", lambda e: e["key"])
+        members = texts.select("node", "root", "total", *marks, F.slice(first, 1, BEFORE).alias("first"), F.posexplode("t").alias("i", "e"))
+        members = members.select("node", "root", "total", *marks, "e.*", F.slice("first", F.lit(1), F.least("i", F.lit(BEFORE))).alias("before"))
+        if i:
+            # Keys that were met before are left; roots and what is heavy have changed.
+            members = members.where("heavy").drop("lead", "heavy")
+            keys = work.put(crossing_keys(members.select("key", "node", "root", "total", "most"), None if share is None else dense), "keys")
+            members = members.join(keys, "key")
         lights, others = members.where(light), members
-        last = share is None or crossing_load(members, light) <= dense
-        if not last:
-            lights = lights.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
-            one = members.groupBy("key", "root", F.pmod(F.xxhash64("node", F.lit(share)), F.lit(DELEGATES))).agg(F.min(F.struct("node", "total", "most", "before", *marks)).alias("m"))
-            others = work.put(one.select("key", "root", "m.*"), "delegates")
-        links = work.put(verify(meetings(lights, others, least), sets, least), "crossings")
-        onward = components(work, links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        out.append(onward)
-        if last:
+        if share is not None:
+            pick = F.min(F.struct(*[c for c in parts if c not in ("key", "root")])).alias("m")
+            few = members.where("heavy").groupBy("key", "root", F.pmod(F.xxhash64("node", F.lit(share)), F.lit(DELEGATES))).agg(pick)
+            others = members.where("not heavy").select(parts).unionByName(few.select("key", "root", "m.*").select(parts))
+            lights = lights.where(~F.col("heavy") | sampled(share))
+        links = work.put(verify(meetings(lights.select(parts), others.select(parts), least), sets, least), "crossings")
+        links = links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        edges = links if edges is None else edges.union(links)
+        if share is None or texts.where(F.exists("t", lambda e: e["heavy"])).isEmpty():
             break
-        now = onward.select(F.col("node").alias("root"), F.col("root").alias("now"))
-        tokens = members.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now", "before")
-        tokens = work.put(tokens, "prefixes")
-    return out
+        now = components(work, edges.distinct()).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        left = texts.where(F.exists("t", lambda e: e["heavy"])).join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+        left = work.put(left, "heavy-texts")
+        work.drop(texts)
+        texts = left
+    return components(work, edges.distinct())
 
 
 def _judged(docs: DataFrame, least: float, dense: int) -> DataFrame:
@@ -288,9 +313,8 @@ def _judged(docs: DataFrame, least: float, dense: int) -> DataFrame:
     alike = work.put(verify(pairs, sets, least), "alike")
     roots = components(work, alike)
     classes = texts.select("h1", "h2", "rep", "node", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    for onward in crossings(work, sets, roots, least, dense):
-        now = onward.select(F.col("node").alias("root"), F.col("root").alias("now"))
-        classes = classes.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+    onward = crossings(work, sets, roots, least, dense).select(F.col("node").alias("root"), F.col("root").alias("now"))
+    classes = classes.join(onward, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
     classes = work.put(classes, "classes")
     work.only(rows, classes)
     top = classes.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("top"))
