@@ -10,8 +10,9 @@ must agree in two functions at one place. At a similarity of 0.8, two of three f
 
 In a group of equal joint keys, members are first compared with its first and its last text. A place that this leaves
 without a passage around its top is held against all places of its group: groups go by their first text, so that the
-shingles of a text come once for keys that share most of their members. There the number of distinct shingles that two
-texts share bounds what can be verified, likest texts come first, and a place is done once a passage covers its top.
+shingles of a text come once for keys that share most of their members, and large ones are parted into pairs of blocks.
+There the number of distinct shingles that two texts share, and then the share that any stretch around an open top has
+in common, bound what can be verified; likest texts come first, and a place is done once a passage covers its top.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SALTS = [int(x) for x in np.random.default_rng(29).integers(1, 1 << 63, HASHES)]
 #: A window is packed as the place of its top and how far it reaches to both sides; what reaches further is cut there,
 #: so that a passage of over half a million words is found in parts.
 REACH = (1 << 19) - 1
+#: Members of a group that are held against each other in one task.
+GROUP = 1000
 
 
 def sliding_minima(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -249,47 +252,103 @@ def matches(flat: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(a - np.cumsum(run) + run, run) + np.arange(run.sum()), run
 
 
-def links_of_group(hs: list[int], froms: list[int], tokens: list[np.ndarray], owner: np.ndarray, keys: np.ndarray, packed: np.ndarray, open_: np.ndarray, width: int, least: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """(h, start_word, n_words, other, similarity) for places that are open, each held against all places of its key.
+class Side:
+    """Members of a group with their shingles, from a place in the text on, and their places."""
+
+    def __init__(self, hs: list[int], froms: list[int], tokens: list[np.ndarray], owner: np.ndarray, keys: np.ndarray, packed: np.ndarray, open_: np.ndarray, width: int, least: float):
+        order = np.lexsort((keys, owner))
+        self.hs, self.froms, self.tokens = hs, froms, tokens
+        self.keys, self.packed, self.open = keys[order], packed[order], open_[order].copy()
+        self.first, self.top = np.searchsorted(owner[order], np.arange(len(tokens) + 1)), self.packed >> 38
+        # Two sides of at least so many distinct shingles each share the sum of both at least, to have the similarity asked for.
+        self.need = np.array([least / (1 + least) * n if (n := fewest_distinct(t, width)) else np.inf for t in tokens]) - 1e-9
+        self.by_h = {h: i for i, h in enumerate(hs)}
+
+    def close(self, h: int, start: int, to: int) -> bool:
+        """Whether a passage covers open places of a member, which then are open no more."""
+        i = self.by_h.get(h)
+        if i is None:
+            return False
+        at = slice(self.first[i], self.first[i + 1])
+        closed = self.open[at] & (self.top[at] >= start) & (self.top[at] <= to)
+        self.open[at] &= ~closed
+        return bool(closed.any())
+
+
+def coverable(found: np.ndarray, tops: np.ndarray, least: float) -> np.ndarray:
+    """Rows x tops: whether some stretch around a top has a share of `least` found.
+
+    found has a row for each other text, and tells for each shingle of a stretch of distinct ones whether the text has it;
+    what is similar to a part of that text shares at least this much of it.
+    """
+    sums = np.zeros((len(found), found.shape[1] + 1), np.float32)
+    np.cumsum(found - np.float32(least), axis=1, out=sums[:, 1:])
+    low = np.minimum.accumulate(sums, axis=1)[:, tops]
+    high = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1][:, tops + 1]
+    return high - low >= -1e-3
+
+
+def links_of_cell(left: Side, right: Side, width: int, least: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """(h, start_word, n_words, other, similarity) for open places of left members, each held against all of its key to the right.
 
-    A place is open until a passage covers its top; passages that cover none are left out. owner, keys, packed and open_ have a row for each place; tokens[i] are text i's shingles from froms[i] on.
+    A place is open until a passage covers its top; passages that cover none are left out. For each left member, all
+    right ones are bounded at once: by the shingles in common, then by whether any stretch around an open top can be
+    similar enough. Only what passes is compared, likest first.
     """
-    order = np.lexsort((keys, owner))
-    owner, keys, packed, open_ = owner[order], keys[order], packed[order], open_[order].copy()
-    first, top = np.searchsorted(owner, np.arange(len(tokens) + 1)), packed >> 38
-    distinct = [np.unique(t) for t in tokens]
-    # Two sides of at least so many distinct shingles each share the sum of both at least, to have the similarity asked for.
-    need = np.array([least / (1 + least) * n if (n := fewest_distinct(t, width)) else np.inf for t in tokens]) - 1e-9
-    flat, member = np.concatenate(distinct), np.repeat(np.arange(len(tokens)), [len(d) for d in distinct])
+    distinct = [np.unique(t) for t in right.tokens]
+    flat, member = np.concatenate([*distinct, np.zeros(0, np.uint32)]), np.repeat(np.arange(len(distinct)), [len(d) for d in distinct])
     order = np.argsort(flat, kind="stable")
     flat, member = flat[order], member[order]
-    for i in np.unique(owner[open_]).tolist():
-        mine = np.arange(first[i], first[i + 1])
-        if not open_[mine].any() or not np.isfinite(need[i]):
+    for i, h in enumerate(left.hs):
+        mine = np.arange(left.first[i], left.first[i + 1])
+        if not left.open[mine].any() or not np.isfinite(left.need[i]):
             continue
-        shared = np.bincount(member[matches(flat, distinct[i])[0]], minlength=len(tokens))
-        shared[i] = 0
-        fits = np.flatnonzero(shared >= need + need[i])
-        for j in fits[np.argsort(-shared[fits], kind="stable")].tolist():
-            x = mine[open_[mine]]
-            y, run = matches(keys[first[j] : first[j + 1]], keys[x])
+        tokens, from_ = left.tokens[i], left.froms[i]
+        own, back = np.unique(tokens, return_inverse=True)
+        at, run = matches(flat, own)
+        others, which = member[at], np.repeat(np.arange(len(own)), run)
+        shared = np.bincount(others, minlength=len(distinct))
+        if h in right.by_h:
+            shared[right.by_h[h]] = 0
+        fits = np.flatnonzero(shared >= right.need + left.need[i])
+        fits = fits[np.argsort(-shared[fits], kind="stable")]
+        place = np.full(len(distinct), -1)
+        place[fits] = np.arange(len(fits))
+        kept = place[others] >= 0
+        tops = np.clip(left.top[mine] - from_, 0, len(tokens) - 1)
+        can = np.ones((len(fits), len(mine)), bool)
+        if len(own) == len(tokens) and len(fits):
+            found = np.zeros((len(fits), len(own)), bool)
+            found[place[others[kept]], which[kept]] = True
+            can = coverable(found[:, back], tops, least)
+        for j, hope in zip(fits.tolist(), can):
+            x = mine[left.open[mine] & hope]
+            if not len(x):
+                if not left.open[mine].any():
+                    break
+                continue
+            y, run = matches(right.keys[right.first[j] : right.first[j + 1]], left.keys[x])
             if not len(y):
                 continue
-            x, y = np.repeat(x, run), first[j] + y
-            for from_a, to_a, from_b, to_b in places(list(zip(packed[x].tolist(), packed[y].tolist(), keys[x].tolist())), width):
-                from_a, from_b = max(from_a, froms[i]), max(from_b, froms[j])
-                ours, theirs = tokens[i][from_a - froms[i] : max(0, to_a + 1 - froms[i])], tokens[j][from_b - froms[j] : max(0, to_b + 1 - froms[j])]
-                if len(np.intersect1d(ours, theirs)) < need[i] + need[j]:
+            x, y = np.repeat(x, run), right.first[j] + y
+            hits = list(zip(left.packed[x].tolist(), right.packed[y].tolist(), left.keys[x].tolist()))
+            for from_a, to_a, from_b, to_b in places(hits, width):
+                from_a, from_b = max(from_a, from_), max(from_b, right.froms[j])
+                ours = tokens[from_a - from_ : max(0, to_a + 1 - from_)]
+                theirs = right.tokens[j][from_b - right.froms[j] : max(0, to_b + 1 - right.froms[j])]
+                if len(np.intersect1d(ours, theirs)) < left.need[i] + right.need[j]:
                     continue
                 for start, to, low, high, sim in verified(ours, theirs, width, least):
-                    for t, s, e, other in ((i, from_a + start, from_a + to, j), (j, from_b + low, from_b + high, i)):
-                        at = slice(first[t], first[t + 1])
-                        closed = open_[at] & (top[at] >= s) & (top[at] <= e)
-                        if closed.any():
-                            open_[at] &= ~closed
-                            yield hs[t], s, e - s + WORDS, hs[other], sim
-            if not open_[mine].any():
-                break
+                    for t, s, e, other in ((h, from_a + start, from_a + to, right.hs[j]), (right.hs[j], from_b + low, from_b + high, h)):
+                        if left.close(t, s, e):
+                            yield t, s, e - s + WORDS, other, sim
+
+
+def links_of_group(hs: list[int], froms: list[int], tokens: list[np.ndarray], owner: np.ndarray, keys: np.ndarray, packed: np.ndarray, open_: np.ndarray, width: int, least: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """The same for a group whose members are held against each other. owner, keys, packed and open_ have a row for each
+    place; tokens[i] are text i's shingles from froms[i] on."""
+    both = Side(hs, froms, tokens, owner, keys, packed, open_, width, least)
+    yield from links_of_cell(both, both, width, least)
 
 
 def repeated_passages(docs: DataFrame, *, least_words: int = 50, least: float = 0.8) -> DataFrame:
@@ -420,19 +479,33 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 50, least: float =
 
     kind = "array<struct<key: long, packed: long, open: boolean>>"
     members = texts.mapInArrow(spread, f"low long, h long, from long, tokens binary, places {kind}")
-
-    def settle(table: pa.Table) -> pa.Table:
+    # A group of over GROUP members is parted into blocks, and each pair of blocks is a cell of its own.
+    sizes = rest.select(F.explode("at.low").alias("low")).groupBy("low").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("blocks > 1")
+    members = members.join(work.put(sizes, "large-groups"), "low", "left")
+    has_open, block = F.exists("places", lambda p: p["open"]), F.pmod(F.hash("h"), F.col("blocks"))
+    cell = lambda c, left, right: F.struct(c.cast("int").alias("cell"), left.alias("left"), right.alias("right"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = F.when(has_open, F.transform(every, lambda q: cell(block * F.col("blocks") + q, F.lit(True), F.lit(False)))).otherwise(F.array())
+    right = F.transform(every, lambda p: cell(p * F.col("blocks") + block, F.lit(False), F.lit(True)))
+    cells = F.when(F.col("blocks").isNull(), F.array(cell(F.lit(0), has_open, F.lit(True)))).otherwise(F.concat(left, right))
+    members = members.select("low", "h", "from", "tokens", "places", F.explode(cells).alias("c")).select("low", "h", "from", "tokens", "places", "c.*")
+
+    def side(table: pa.Table) -> Side:
         table = table.take(pa.array(np.unique(table["h"].to_numpy(), return_index=True)[1]))  # rows may be repeated
         held = table["places"].combine_chunks()
         flat = held.flatten()
         owner = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy())
         key, packed, open_ = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
         tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["tokens"]]
-        out = list(links_of_group(table["h"].to_pylist(), table["from"].to_pylist(), tokens, owner, key, packed, open_, width, least))
+        return Side(table["h"].to_pylist(), table["from"].to_pylist(), tokens, owner, key, packed, open_.astype(bool), width, least)
+
+    def settle(table: pa.Table) -> pa.Table:
+        ours, theirs = table.filter(table["left"]), table.filter(table["right"])
+        out = list(links_of_cell(side(ours), side(theirs), width, least)) if ours.num_rows and theirs.num_rows else []
         columns = zip(*out) if out else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["h", "start_word", "n_words", "other", "similarity"])
 
-    settled = work.put(members.groupBy("low").applyInArrow(settle, schema), "settled")
+    settled = work.put(members.groupBy("low", "cell").applyInArrow(settle, schema), "settled")
     passages = passages.union(settled)
     partner = reps.select(F.col("h").alias("other"), F.col("rep").alias("partner_doc_id"))
     passages = passages.join(partner, "other").groupBy("h", "start_word", "n_words").agg(F.min(F.struct("partner_doc_id", "similarity")).alias("p"))
