@@ -51,6 +51,14 @@ def classes_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> U(54)).astype(np.int64), (h & U(255)).astype(np.uint8)
 
 
+def _masked(a: np.ndarray, b: np.ndarray, far: int) -> np.ndarray:
+    """a + b[at + a], where a is at most `far` and no walk leaves its part."""
+    out = a + b * (a == 0)
+    for k in range(1, far + 1):
+        out[:-k] += b[k:] * (a[:-k] == k)
+    return out
+
+
 def _arrivals_of_parts(steps: np.ndarray, first: np.ndarray, phase: np.ndarray) -> np.ndarray:
     """For each character when the walk reaches it, in steps from its part's start.
 
@@ -67,14 +75,12 @@ def _arrivals_of_parts(steps: np.ndarray, first: np.ndarray, phase: np.ndarray)
         goes = np.flatnonzero((phase <= s) & (bits[s][here] > 0))
         here[goes] += 1
         arrival[here[goes]] = s + 1 - phase[goes]
-    # How far a walk goes in 2, 4, ... steps of a period from each position.
-    hops = []
-    for s in range(0, PERIOD, 2):
-        a, b = bits[s], bits[s + 1]
-        after = np.append(b[1:], np.uint8(0))
-        hops.append(a + np.where(a > 0, after, b))
+    # How far a walk goes in 2, 4, ... steps of a period from each position; few ways are told apart by masks.
+    hops, far = bits, 1
     while len(hops) > 1:
-        hops = [a + b[at + a] for a, b in zip(hops[::2], hops[1::2])]
+        pairs = zip(hops[::2], hops[1::2])
+        hops = [_masked(a, b, far) if far <= 4 else a + b[at + a] for a, b in pairs]
+        far *= 2
     jumps = [at + hops[0]]
     ends = first[1:] - 1
     longest = int(np.diff(first).max(initial=1))
@@ -124,17 +130,18 @@ class Sampled:
     def __init__(self):
         self.zeros = np.zeros(0, np.uint8)
         self.levels: list[np.ndarray] = []
+        self.most = np.zeros(0, np.int64)  # for each level the greatest length with at most SAMPLES steps
 
-    def __call__(self, length: int, most: int = SAMPLES) -> tuple[int, np.ndarray]:
-        """The lowest level with at most `most` steps before `length`, and these."""
+    def __call__(self, length: int) -> tuple[int, np.ndarray]:
+        """The lowest level with at most SAMPLES steps before `length`, and these."""
         if not self.levels or len(self.zeros) < length:
             h = mix(np.arange(1, max(2 * length, 1 << 16) + 1, dtype=U))
             self.zeros = np.bitwise_count((h & (~h + U(1))) - U(1)).astype(np.uint8)
             self.levels = [np.flatnonzero(self.zeros >= z) for z in range(64)]
-        level = 0
-        while (n := np.searchsorted(self.levels[level], length)) > most:
-            level += 1
-        return level, self.levels[level][:n]
+            self.most = np.array([held[SAMPLES] if len(held) > SAMPLES else len(self.zeros) for held in self.levels])
+        level = int(np.searchsorted(self.most, length))
+        steps = self.levels[level]
+        return level, steps[: np.searchsorted(steps, length)]
 
 
 SAMPLED = Sampled()
@@ -302,7 +309,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     before = F.struct(F.pmod(at - 1, F.lit(len(starts))).alias("at"), F.lit(True).alias("guest"))
     dealt = placed.select(F.explode(F.when(first, F.array(stay, before)).otherwise(F.array(stay))).alias("to"), "doc_id", "text")
     dealt = dealt.select("to.at", "to.guest", "doc_id", "text", F.xxhash64("text").alias("h"))
-    dealt = dealt.repartition(count, "at").sortWithinPartitions("at", "guest", "doc_id", "h").select("at", "guest", "doc_id", "text")
+    dealt = dealt.repartitionById(count, "at").sortWithinPartitions("at", "guest", "doc_id", "h").select("at", "guest", "doc_id", "text")
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple]:
