@@ -13,35 +13,39 @@ from foliant.llm.kernels import U, Block, mix, powers, row_sums, text_buffers
 #: (host, path prefix, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-#: The labelled table: (url, 1 if it is to be blocked).
-LABELLED = tuple(
-    (u, y)
-    for y, urls in (
-        (
-            1,
-            """http://win-casino-bonus.biz/slots/free-spins http://best-poker-online.info/play/now http://xxx-videos.tv/adult/hot
-            http://cheap-pills-store.biz/buy/viagra http://free-movie-download.top/torrent/crack http://click-ads.top/redirect?u=1
-            http://loan-fast-cash.info/apply/payday http://adult-dating.club/singles/hot http://keygen-crack.top/serial/warez
-            http://casino-royal.club/jackpot/bonus http://sexy-cams.tv/live/girls http://replica-watches.biz/sale/discount
-            http://get-rich-quick.info/money/system http://bet-sports.top/odds/betting http://tracker.ads-server.biz/pixel/click
-            http://free-followers.club/buy/likes http://miracle-diet.info/pills/order http://porn-tube.top/videos/xxx
-            http://lottery-winner.biz/claim/prize http://spam-links.top/seo/backlinks http://phish-login.top/account/verify
-            http://malware-host.biz/setup/download.exe http://crypto-double.club/invest/profit http://escort-service.info/city/book""",
-        ),
-        (
-            0,
-            """https://docs.library.org/guide/install https://www.university.edu/physics/lecture-notes https://news.daily.org/world/article/2041
-            https://encyclopedia.org/wiki/History https://blog.gardening.org/roses/pruning https://museum.org/collections/paintings
-            https://www.hospital.org/patients/visiting https://recipes.cooking.net/soup/tomato https://city.gov/services/parks
-            https://journal.science.org/issue/12/paper/7 https://forum.linux.org/thread/4411 https://www.school.edu/courses/biology
-            https://weather.service.gov/forecast/today https://books.archive.org/details/novel https://m.travel.net/guide/mountains
-            https://blog.programming.org/python/iterators https://www.theatre.org/season/tickets https://maps.region.gov/roads
-            https://en.dictionary.org/word/river https://www.orchestra.org/concerts/2020 https://blog.history.net/rome/article/88
-            https://m.news.org/politics/story/551 https://kids.library.org/stories/bear https://www.bank.org/about/contact""",
-        ),
-    )
-    for u in urls.split()
-)
+# The labelled table is made of names by this rule: each stands in two urls, and both classes share all else, top-level
+# domains, prefixes and paths, so that only names tell them apart. Three in four are harmless, as pages are.
+BAD = """
+    win-casino bonus-slots poker-online casino-jackpot bet-sports lottery-prize xxx-videos adult-hot adult-dating porn-tube sexy-cams
+    escort-city cheap-pills viagra-store miracle-diet torrent-crack warez-keygen payday-loan fast-cash get-rich crypto-double
+    ads-click spam-links spam-seo free-followers phish-login malware-setup replica-watches
+"""
+GOOD = """
+    docs library university physics-notes daily-news encyclopedia gardening museum hospital recipes city-council science-journal
+    forum-linux school weather archive travel-guide programming theatre maps dictionary orchestra history kids-stories bank river
+    paintings lectures northfield harlow stonebridge anderson tillman thornton hanover ottersen therin latham bleston rehaus
+    dement-online nations intheland onward ingham thessen erland mentors aurelle quedon lavigne cordero schuler reichen
+    nichter aulich ouvrier enseigne treville parament station-house edition athlone ounders thandor wherever bleriot
+    elanor vision-care render horticulture menton fromage pourquoi avecplus sinfonia perolas
+"""
+DOMAINS = ("pages.com", "site.net", "portal.org", "example.info", "home.co")
+PREFIXES = ("", "www.", "m.", "blog.")
+PATHS = ("/", "/en/12", "/article/7.html", "/de/301?x=1", "/2024/page#top", "/fr/99/", "/index.php")
+
+
+def labelled_urls(bad: str = BAD, good: str = GOOD, turns: tuple[int, ...] = (0, 1)) -> tuple[tuple[str, int], ...]:
+    """(url, 1 if it is to be blocked): each name once for each turn, in another domain, prefix and path."""
+    out = []
+    for label, names in ((1, bad.split()), (0, good.split())):
+        for i, name in enumerate(names):
+            for turn in turns:
+                at = i + 3 * turn
+                host = PREFIXES[at % len(PREFIXES)] + name + "." + DOMAINS[at % len(DOMAINS)]
+                out.append((f"https://{host}{PATHS[at % len(PATHS)]}", label))
+    return tuple(out)
+
+
+LABELLED = labelled_urls()
 SIZES, BITS = (3, 4, 5), 16
 
 
@@ -83,7 +87,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class UrlModel:
     """Weights by bucket and a bias, fitted by full-batch gradient steps on the labelled table."""
 
-    def __init__(self, labelled=LABELLED, steps: int = 300, rate: float = 4.0, decay: float = 1e-4):
+    def __init__(self, labelled=LABELLED, steps: int = 1500, rate: float = 8.0, decay: float = 2e-5):
         import re
 
         keys = [m[1].lower() + " " + m[2] for u, _ in labelled for m in [re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)]]

@@ -270,3 +270,22 @@ def test_filters_spare_comparisons(monkeypatch):
 
 def test_queries_are_registered():
     assert {"op11_edit_fingerprints", "op12_merkle_manifest", "op13_yinyang_clusters"} <= set(queries.QUERIES)
+
+
+def test_url_model_tells_names_and_not_domains(spark):
+    """Fitted on one placing of each name, it knows them under other domains, prefixes and paths."""
+    import re
+
+    import pyarrow as pa
+
+    from foliant.llm import urls
+
+    keys = lambda rows: pa.array([" ".join((m[1].lower(), m[2])) for u, _ in rows for m in [re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)]])
+    fitted, held = urls.labelled_urls(turns=(0,)), urls.labelled_urls(turns=(1,))
+    said = urls.UrlModel(fitted).score(keys(held)) >= 0.5
+    assert (said == np.array([y for _, y in held], bool)).mean() > 0.97
+    ends = [{u.split("/")[2].rsplit(".", 1)[1] for u, y in urls.LABELLED if y == label} for label in (0, 1)]
+    assert ends[0] == ends[1]
+    rows = [(1, "https://www.casino-win.example.org/de/7"), (2, "https://blog.spam-farm.example.org/fr/"), (3, "https://blog.meadow.example.org/de/7"), (4, "https://www.brook.example.org/fr/")]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
