@@ -22,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--dry-run", action="store_true")
         one.add_argument("--resume", action="store_true")
         one.add_argument("--to", required=name == "translate", help="language to translate to")
+        one.add_argument("--from", dest="source", help="language to translate from")
+        one.add_argument("--manual-toc", help="JSON file with the chapters of a PDF: titles and start pages")
         one.add_argument("--glossary", help="JSON file of source and target terms")
         one.add_argument("--service", help="a known service; its keys are read from the environment")
         one.add_argument("--thinking", help="how much the service is to think, or auto")
@@ -36,6 +38,17 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def pdf_options(spark, args, provider) -> dict[str, object]:
+    """What reading a PDF needs besides its path: contents given by hand, else a service that infers them."""
+    from foliant.functions.prompts import manual_toc
+    from foliant.functions.provider import Extracting
+
+    if not args.input.lower().endswith(".pdf"):
+        return {}
+    toc = manual_toc(spark, args.manual_toc) if args.manual_toc else None
+    return {"manual_toc": toc, "provider": None if isinstance(provider, Extracting) else provider}
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     if args.command == "version":
@@ -48,35 +61,43 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     asked = formats(args.formats.split(","))
     spark = spark or local_session("foliant")
-    books = engine.read(spark, args.input)
-    if args.dry_run:
-        rows = engine.estimate(books, ratio=getattr(args, "ratio", 1.0), chunk_tokens=getattr(args, "chunk_tokens", 2000), model=args.model, translate=bool(args.to))
-        print("\n".join(rows.toJSON().collect()))  # a line a book
-        return 0
     if args.service:
         provider = service(args.service, args.model, dict(os.environ), url=args.url, thinking=args.thinking)
     else:
         provider = ChatProvider(args.url, args.model, args.keys, frozenset(args.host)) if args.url else Extracting()
+    books = engine.read(spark, args.input, **pdf_options(spark, args, provider))
+    if args.dry_run:
+        rows = engine.estimate(books, ratio=getattr(args, "ratio", 1.0), chunk_tokens=getattr(args, "chunk_tokens", 2000), model=args.model, translate=bool(args.to))
+        print("\n".join(rows.toJSON().collect()))  # a line a book
+        return 0
     outcomes = []
+
+    def told(phase: str, counts: dict[str, int]) -> None:
+        print(f"{phase}: {counts['rows']} rows, {counts['reused']} reused, {counts['calls']} calls", file=sys.stderr)
+
+    logged = lambda name: {"log_path": f"{args.out}/.foliant/{name}", "resume": args.resume, "model": args.model, "tell": told}
     if args.command == "condense":
-        outcomes.append(engine.condense(spark, books, provider, model=args.model, ratio=args.ratio, chunk_tokens=args.chunk_tokens, log_path=f"{args.out}/.foliant", resume=args.resume))
+        outcomes.append(engine.condense(spark, books, provider, ratio=args.ratio, chunk_tokens=args.chunk_tokens, **logged("condense")))
         books = outcomes[-1].books
     if args.to:
         terms = None
         if args.glossary:
             with open(args.glossary, encoding="utf-8") as f:
                 terms = {str(a): str(b) for a, b in json.load(f).items() if str(a).strip() and str(b).strip()}
-        outcomes.append(engine.translate(books, provider, args.to, terms=terms))
+        outcomes.append(engine.translate(books, provider, args.to, terms=terms, source=args.source, **logged("translate")))
         books = outcomes[-1].books
     if args.rank_images:
         if not hasattr(provider, "generate_with_image"):
             raise ValueError("images can only be ranked by a service that sees them")
-        books = engine.rank_images(books, provider)
+        outcomes.append(engine.judge_images(books, provider, **logged("images")))
+        books = outcomes[-1].books
     _, skipped = engine.write(engine.chosen(books), args.out, asked)
     for outcome in outcomes:
-        for row in outcome.report.toJSON().collect():
-            print(row)
-        for row in outcome.warned().collect():
+        for table in (outcome.report, outcome.usage(), outcome.reuse()):
+            for row in [] if table is None else table.toJSON().collect():  # a line a book and phase
+                print(row)
+        warned = outcome.warned()
+        for row in [] if warned is None else warned.collect():
             print(f"warning: {row['doc']}: {row['warning']}", file=sys.stderr)
     for text in skipped:
         print(f"warning: {text}", file=sys.stderr)

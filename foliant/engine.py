@@ -5,15 +5,19 @@ A book goes by its path (doc). All steps work on any number of books at once; no
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from foliant.functions import cost
 from foliant.functions.provider import Provider
 from foliant.functions.text import block_text, count_tokens, image_filename, to_bcp47
 from foliant.operators import blocks as B, condense as C, links as L, render as R, stages as S, translate as X, vision as V
 from foliant.sources import epub as E, pdf as P
+from foliant.sources.files import store
+from foliant.streaming.log import Log
 from foliant.workspace import Workspace
 
 DOC, CHAPTER = ["doc"], ["doc", "chapter"]
@@ -39,6 +43,18 @@ class Outcome:
     written: dict[str, object] = field(default_factory=dict)
     skipped: list[str] = field(default_factory=list)
 
+    def usage(self) -> DataFrame | None:
+        """(phase, doc, calls and their tokens) of all phases; what was reused took none."""
+        return S.usage({n: df for n, df in self.phases.items() if "calls" in df.columns}, DOC)
+
+    def reuse(self) -> DataFrame | None:
+        """(phase, total, reused): chunks, chapters, batches and images."""
+        out = None
+        for name, df in self.phases.items():
+            rows = X.batch_counters(df, CHAPTER) if name == "translate" else S.reuse_counters({name: df})
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
     def warned(self) -> DataFrame | None:
         """(doc, warning) of all phases."""
         out = None
@@ -93,7 +109,12 @@ def read(spark: SparkSession, path: str, **pdf) -> Books:
     if path.endswith("/"):
         return read_epub(E.scan(spark, path))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return read_epub(files) if suffix(path) == ".epub" else read_pdf(files, **pdf)
+    if suffix(path) == ".epub":
+        return read_epub(files)
+    toc = pdf.pop("manual_toc", None)
+    if toc is not None and "doc" not in toc.columns:  # contents of the one file, under the name that Spark gives it
+        toc = toc.select(F.lit(files.select("path").first()["path"]).alias("doc"), "*")
+    return read_pdf(files, manual_toc=toc, **pdf)
 
 
 def tokens(blocks: DataFrame) -> Column:
@@ -122,61 +143,25 @@ def estimate(books: Books, *, ratio: float = S.RATIO, chunk_tokens: int = 2000,
     return held.select("doc", "input_tokens", "chapters", "chunks", *(c.alias(n) for n, c in traffic.items()), cost.pages(F.col("input_tokens")).alias("pages"))
 
 
-class Log:
-    """Results of earlier runs under a folder, a table for each phase; emptied at the start unless a run is resumed."""
-
-    def __init__(self, spark: SparkSession, path: str | None, resume: bool):
-        self.spark, self.path = spark, path
-        if path and not resume:
-            self._delete(path)
-
-    def _files(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
-
-    def _delete(self, path: str) -> None:
-        files, place = self._files(path)
-        files.delete(place, True)
-
-    def stored(self, phase: str, keys: list[str]) -> DataFrame | None:
-        """The last result of each key; null if there's none."""
-        if not self.path:
-            return None
-        files, place = self._files(f"{self.path}/{phase}")
-        if not files.exists(place):
-            return None
-        log = self.spark.read.parquet(f"{self.path}/{phase}")
-        last = F.max_by(F.struct("fingerprint", "result"), "seq").alias("l")
-        return log.groupBy(*keys).agg(last).select(*keys, "l.*")
-
-    def append(self, phase: str, rows: DataFrame) -> None:
-        if self.path:
-            rows.withColumn("seq", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/{phase}")
-
-
-def _phase(log: Log, name: str, wanted: DataFrame, keys: list[str], schema: str, compute) -> DataFrame:
+def _phase(log: Log, name: str, wanted: DataFrame, keys: list[str], schema: str, compute, tell: Progress | None = None) -> DataFrame:
     """Results of a phase; they are written to the log once and read from there, so that no provider is asked twice."""
     results, new = S.resumed(wanted, log.stored(name, keys), keys, schema, compute)
-    if not log.path:
-        return Workspace(log.spark, name).put(results.drop("fingerprint"))
-    results.write.mode("overwrite").parquet(f"{log.path}/_last/{name}")
-    done = log.spark.read.parquet(f"{log.path}/_last/{name}")
+    done = _once(log, name, results, tell)
     names = [c for c in done.columns if c not in (*keys, "fingerprint", "reused")]
     log.append(name, done.where("not failed and not reused").select(*keys, "fingerprint", F.to_json(F.struct(*names)).alias("result")))
     return done.drop("fingerprint")
 
 
-def condense(spark: SparkSession, books: Books, provider: Provider, *, model: str = "", ratio: float = S.RATIO, chunk_tokens: int = 2000, log_path: str | None = None, resume: bool = False) -> Outcome:
+def condense(spark: SparkSession, books: Books, provider: Provider, *, model: str = "", ratio: float = S.RATIO, chunk_tokens: int = 2000, log_path: str | None = None, resume: bool = False, tell: Progress | None = None) -> Outcome:
     """Chunks condensed, chapters smoothed and trimmed, and what there is to warn of."""
     if chunk_tokens <= 0:
         raise ValueError("a chunk needs room for a token at least")
     log = Log(spark, log_path, resume)
     keys = [*CHAPTER, "chunk_no"]
     chunks = S.chunk_rows(books.blocks, CHAPTER, chunk_tokens).withColumn("fingerprint", S.chunk_fingerprint(model, ratio))
-    condensed = _phase(log, "condense", chunks, keys, S.CONDENSED, lambda rows: S.condense(rows, keys, provider, model=model, ratio=ratio))
+    condensed = _phase(log, "condense", chunks, keys, S.CONDENSED, lambda rows: S.condense(rows, keys, provider, model=model, ratio=ratio), tell)
     wanted = S.chapters_of(condensed, CHAPTER).withColumn("fingerprint", S.chapter_fingerprint(model, ratio))
-    chapters = _phase(log, "synthesize", wanted, CHAPTER, S.SYNTHESIZED, lambda rows: S.synthesize(rows.drop("fingerprint"), CHAPTER, provider, ratio=ratio))
+    chapters = _phase(log, "synthesize", wanted, CHAPTER, S.SYNTHESIZED, lambda rows: S.synthesize(rows.drop("fingerprint"), CHAPTER, provider, ratio=ratio), tell)
     blocks = S.flattened(chapters, CHAPTER)
     made = Books(blocks, books.titles, S.kept_assets(books.images, chapters, DOC).unionByName(_covers(books)).dropDuplicates(["doc", "image_id"]), books.about)
     sizes = input_tokens(books).join(output_tokens(blocks), "doc", "left").withColumn("output_tokens", F.coalesce("output_tokens", F.lit(0)))
@@ -198,24 +183,69 @@ def _covers(books: Books) -> DataFrame:
     return books.images.join(books.about.where("cover is not null").select("doc", F.col("cover").alias("image_id")), ["doc", "image_id"], "left_semi")
 
 
-def translate(books: Books, provider: Provider, target: str, *, terms: dict[str, str] | None = None, source: str | None = None) -> Outcome:
-    """All texts and titles translated, and the books' language set."""
-    blocks, titles, counts = X.translate_blocks(books.blocks, books.titles, CHAPTER, X.Translator(provider, target, terms, source))
+Progress = Callable[[str, dict[str, int]], None]
+
+
+def watched(name: str, rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """rows, and what is counted of them on the way, in the same pass: rows, reused ones and calls."""
+    seen = Observation(name)
+    reused = F.count_if("reused") if "reused" in rows.columns else F.lit(0)
+    calls = F.coalesce(F.sum(F.size("calls")), F.lit(0)) if "calls" in rows.columns else F.lit(0)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), reused.alias("reused"), calls.cast("long").alias("calls")), seen
+
+
+def _once(log: Log, name: str, rows: DataFrame, tell: Progress | None = None) -> DataFrame:
+    """Rows written once, in the log's folder if it has one, so that no provider is asked twice; then `tell` is told of them."""
+    rows, seen = watched(name, rows)
+    if log.path:
+        rows.write.mode("overwrite").parquet(f"{log.path}/_last/{name}")
+        out = log.spark.read.parquet(f"{log.path}/_last/{name}")
+    else:
+        out = Workspace(log.spark, name).put(rows)
+    if tell:
+        tell(name, seen.get)
+    return out
+
+
+def translate(
+    books: Books, provider: Provider, target: str, *, terms: dict[str, str] | None = None, source: str | None = None, model: str = "",
+    log_path: str | None = None, resume: bool = False, tell: Progress | None = None,
+) -> Outcome:
+    """All texts and titles translated, and the books' language set. Batches that an earlier run stored aren't asked again."""
+    log = Log(books.blocks.sparkSession, log_path, resume)
+    units = X.marked_units(books.blocks, books.titles, CHAPTER)
+    settings = model, source or "", json.dumps(terms or {}, sort_keys=True, ensure_ascii=False)
+    stored = log.stored("translate", [*CHAPTER, "batch_start"])
+    answers = X.resumed_batches(units, CHAPTER, "place", X.Translator(provider, target, terms, source), stored, target, *settings)
+    answers = _once(log, "translate", answers, tell)
+    log.append("translate", X.storable(answers, CHAPTER))
+    blocks, titles, counts = X.answered_blocks(books.blocks, books.titles, CHAPTER, answers)
     about = books.about.withColumn("language", to_bcp47(F.lit(target)))
     left = counts.groupBy("doc").agg(F.sum("untranslated").alias("n")).where("n > 0")
     warning = left.select("doc", F.concat(F.col("n").cast("string"), F.lit(" segments stay untranslated: no reply for them could be read")).alias("warning"))
     report = input_tokens(books).join(output_tokens(blocks), "doc", "left")
-    return Outcome(Books(blocks, titles, books.images, about), {"translate": counts}, [warning], report)
+    return Outcome(Books(blocks, titles, books.images, about), {"translate": answers}, [warning], report)
+
 
+def judge_images(books: Books, provider: V.Seeing, *, model: str = "", log_path: str | None = None, resume: bool = False, tell: Progress | None = None) -> Outcome:
+    """Books without the images that the provider finds dispensable, the others under its captions.
 
-def rank_images(books: Books, provider: V.Seeing) -> Books:
-    """Books without the images that the provider finds dispensable, the others under its captions."""
+    Verdicts of an earlier run are used where the image, what stands around it and the settings are the same.
+    """
+    log, keys = Log(books.blocks.sparkSession, log_path, resume), [*CHAPTER, "block_index"]
     places = V.contexts(V.rankable(books.blocks, books.images, DOC).unionByName(books.blocks.where("type != 'image'")), CHAPTER)
     told = places.join(books.images.select("doc", "image_id", "content", "mime"), ["doc", "image_id"])
-    judged = Workspace(told.sparkSession, "verdicts").put(V.verdicts(told, [*CHAPTER, "block_index"], provider))
+    judged = _once(log, "images", V.resumed_verdicts(told, keys, provider, log.stored("images", keys), model=model), tell)
+    log.append("images", V.storable_verdicts(judged, keys))
     blocks = V.ranked(books.blocks, judged, CHAPTER)
     shown = V.references(blocks, books.about, DOC)
-    return Books(blocks, books.titles, books.images.join(shown, ["doc", "image_id"], "left_semi"), books.about)
+    made = Books(blocks, books.titles, books.images.join(shown, ["doc", "image_id"], "left_semi"), books.about)
+    return Outcome(made, {"images": judged})
+
+
+def rank_images(books: Books, provider: V.Seeing, **options) -> Books:
+    """The books of `judge_images`."""
+    return judge_images(books, provider, **options).books
 
 
 def chosen(books: Books) -> Books:
@@ -272,33 +302,19 @@ def write(books: Books, out: str, asked: list[str]) -> tuple[dict[str, object],
     stem = F.regexp_replace(P.file_stem(F.col("doc")), r"[^A-Za-z0-9._-]", "_")
 
     def put(rows: DataFrame, ending: str) -> str:
-        name = F.concat(F.lit(f"{out}/"), stem, F.lit(ending))
-        _store(rows.select(name.alias("file"), F.col("content").cast("binary").alias("content")))
+        name = F.concat(stem, F.lit(ending))
+        store(rows.select(name.alias("file"), F.col("content").cast("binary").alias("content")), out)
         return f"{out}/*{ending}"
 
     def markdown() -> str:
         images = _file_names(books.images)
-        _store(images.select(F.concat(F.lit(f"{out}/images/"), "name").alias("file"), "content"))
+        store(images.select(F.concat(F.lit("images/"), "name").alias("file"), "content"), out)
         return put(as_markdown(books).withColumnRenamed("markdown", "content"), ".md")
 
     def pdf() -> str:
         make = R.pdf_writer()
-        made = F.udf(lambda html: make(html), "binary")
+        # One document a row: a book is whole in any case, and its pages aren't worth a batch.
+        made = F.udf(lambda html: make(html), "binary", useArrow=True)
         return put(as_html(books).select("doc", made("html").alias("content")), ".pdf")
 
     return R.each(asked, {"md": markdown, "epub": lambda: put(as_epub(books), ".epub"), "pdf": pdf})
-
-
-def _store(files: DataFrame) -> None:
-    """Write rows (file, content) as files, each where its row is; `file` is a path that all executors reach."""
-
-    def run(rows) -> None:
-        import os
-
-        for row in rows:
-            path = row["file"].removeprefix("file://")
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "wb") as f:
-                f.write(row["content"])
-
-    files.foreachPartition(run)

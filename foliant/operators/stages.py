@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foliant.functions import prompts as P
 from foliant.functions.cost import CALIBRATIONS, target_tokens
-from foliant.functions.provider import Provider
+from foliant.functions.provider import CALLS, USAGE, Counted, Provider
 from foliant.functions.text import block_text, count_tokens, fingerprint
 from foliant.operators.blocks import chunk_table, runs
 from foliant.operators.condense import TRIM_OVER
@@ -32,10 +32,16 @@ BLOCK = (
 )
 FIELDS = [f.split()[0] for f in BLOCK.split(", ")]
 BLOCKS = f"array<struct<{BLOCK}>>"
-ANSWER = f"answered boolean, degraded int, kept array<string>, dropped array<string>, blocks {BLOCKS}"
+ANSWER = f"answered boolean, degraded int, kept array<string>, dropped array<string>, blocks {BLOCKS}, calls {CALLS}"
 #: What a phase leaves of each chunk or chapter.
-CONDENSED = f"input_tokens long, degraded int, kept array<string>, dropped array<string>, blocks {BLOCKS}, output_tokens long, over_length boolean, failed boolean"
-SYNTHESIZED = f"blocks {BLOCKS}, kept array<string>, input_tokens long, chunks long, chunk_degraded int, target_tokens long, output_tokens long, smoothed boolean, trim_passes int, degraded int, failed boolean"
+CONDENSED = (
+    f"input_tokens long, degraded int, kept array<string>, dropped array<string>, blocks {BLOCKS}, calls {CALLS}, "
+    "output_tokens long, over_length boolean, failed boolean"
+)
+SYNTHESIZED = (
+    f"blocks {BLOCKS}, kept array<string>, input_tokens long, chunks long, chunk_degraded int, target_tokens long, output_tokens long, "
+    f"smoothed boolean, trim_passes int, degraded int, calls {CALLS}, failed boolean"
+)
 SHELL = ("ordered", "align", "marker_type", "marker_color")
 
 
@@ -55,6 +61,9 @@ def read_answer(raw: str) -> tuple[dict[str, object], set[str]] | None:
 
 def rebuild(blocks: list[dict], texts: dict[str, object], images: set[str] | None) -> dict:
     """The blocks with each run's replaced by what was said for it; images not named go, unless images is null."""
+    members: dict[int, list[dict]] = {}
+    for block in blocks:
+        members.setdefault(block["run_id"], []).append(block)
     out: list[dict] = []
     kept, dropped, degraded, done = [], [], 0, set()
     for block in blocks:
@@ -68,7 +77,7 @@ def rebuild(blocks: list[dict], texts: dict[str, object], images: set[str] | Non
             out.append(own)
         elif run not in done:
             done.add(run)
-            source = [b for b in blocks if b["run_id"] == run]
+            source = members[run]
             pieces = read_reply([b["type"] for b in source], texts.get(str(run)))
             degraded += pieces is None
             out += [{f: b[f] for f in FIELDS} for b in source] if pieces is None else [_piece(p, source) for p in pieces]
@@ -98,14 +107,15 @@ def ask(provider: Provider, system: str, user: str, blocks: list[dict], choose:
 
 def asked(rows: DataFrame, keys: list[str], provider: Provider, system: str, choose: bool, tries: int = TRIES) -> DataFrame:
     """keys and ANSWER for rows (keys, user, blocks with run_id)."""
-    names = [f.split()[0] for f in ANSWER.split(", ")[:5]][:5]
+    names = ["answered", "degraded", "kept", "dropped", "blocks", "calls"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted = Counted(provider)
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
                 blocks = [_plain(b) for b in row[-1]]
-                made = ask(provider, system, row[-2], blocks, choose, tries)
+                made = ask(counted, system, row[-2], blocks, choose, tries) | {"calls": counted.taken()}
                 out.append((*row[: len(keys)], *(made[n] for n in names)))
             yield pd.DataFrame(out, columns=[*keys, *names])
 
@@ -155,6 +165,10 @@ def bare(blocks: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(*(b[f].alias(f) for f in FIELDS)))
 
 
+def no_calls() -> Column:
+    return F.array().cast(CALLS)
+
+
 def ask_factor(model: str) -> float:
     return CALIBRATIONS.get(model, (1.0, 0.0))[0]
 
@@ -205,7 +219,7 @@ def synthesize(chapters: DataFrame, chapter: list[str], provider: Provider, *, r
     base = chapters.withColumn("target_tokens", target_tokens(F.col("input_tokens"), ratio)).withColumn("now", tokens_of(F.col("blocks")))
     prose = F.exists("blocks", lambda b: b["type"].isin("paragraph", "quote", "list"))
     base = base.withColumn("smoothed", prose & ~((F.col("chunks") == 1) & (F.col("now") <= F.col("target_tokens"))))
-    state = base.withColumns({"trim_passes": F.lit(0), "degraded": F.lit(0), "failed": F.lit(False), "open": F.col("smoothed")})
+    state = base.withColumns({"trim_passes": F.lit(0), "degraded": F.lit(0), "calls": no_calls(), "failed": F.lit(False), "open": F.col("smoothed")})
     names, work = state.columns, Workspace(chapters.sparkSession, "synthesize")
     state = work.put(state, "chapters")  # each pass is written, so that no provider is asked twice
     for smooth in (True, *(False,) * trims):
@@ -213,7 +227,10 @@ def synthesize(chapters: DataFrame, chapter: list[str], provider: Provider, *, r
         rows = _renumbered(due.select(*chapter, "blocks"), chapter).join(due.select(*chapter, "target_tokens"), chapter)
         rows = rows.withColumn("user", P.synthesis_prompt(F.col("body"), F.col("target_tokens"), smooth))
         said = asked(rows, chapter, provider, P.CONDENSE_SYSTEM, False, tries)
-        said = said.select(*chapter, "answered", F.col("degraded").alias("new_degraded"), F.col("blocks").alias("new_blocks"), tokens_of(F.col("blocks")).alias("new_now"))
+        said = said.select(
+            *chapter, "answered", F.col("degraded").alias("new_degraded"), F.col("blocks").alias("new_blocks"), F.col("calls").alias("new_calls"),
+            tokens_of(F.col("blocks")).alias("new_now"),
+        )
         done = state.join(said, chapter, "left")
         answered = F.coalesce("answered", F.lit(False))
         take = answered & (F.lit(smooth) | (F.col("new_now") < F.col("now")))
@@ -222,6 +239,7 @@ def synthesize(chapters: DataFrame, chapter: list[str], provider: Provider, *, r
             *chapter, pick("new_blocks", "blocks").alias("blocks"), "kept", "input_tokens", "chunks", "chunk_degraded", "target_tokens", pick("new_now", "now").alias("now"), "smoothed",
             (F.col("trim_passes") + (answered & F.lit(not smooth)).cast("int")).alias("trim_passes"),
             (F.col("degraded") + F.when(take, F.col("new_degraded")).otherwise(0)).alias("degraded"),
+            F.concat("calls", F.coalesce("new_calls", no_calls())).alias("calls"),
             (F.col("failed") | (F.lit(smooth) & F.col("open") & ~answered)).alias("failed"),
             (take & (pick("new_now", "now") > F.col("target_tokens") * TRIM_OVER)).alias("open"),
         ).select(names), "pass")
@@ -252,7 +270,8 @@ def resumed(wanted: DataFrame, log: DataFrame | None, keys: list[str], schema: s
     misses = wanted
     if log is not None:
         stored = log.withColumn("r", F.from_json("result", fields)).where("r.blocks is not null")
-        hits = wanted.select(*keys, "fingerprint").join(stored.select(*keys, "fingerprint", "r"), [*keys, "fingerprint"]).select(*keys, "fingerprint", *(F.col("r")[n].alias(n) for n in names))
+        took = lambda n: no_calls() if n == "calls" else F.col("r")[n]  # noqa: E731  what is reused takes no call
+        hits = wanted.select(*keys, "fingerprint").join(stored.select(*keys, "fingerprint", "r"), [*keys, "fingerprint"]).select(*keys, "fingerprint", *(took(n).alias(n) for n in names))
         misses = wanted.join(hits.select(*keys), keys, "left_anti")
     fresh = compute(misses).join(misses.select(*keys, "fingerprint"), keys).select(*keys, "fingerprint", *names)
     results = fresh.withColumn("reused", F.lit(False))
@@ -286,3 +305,15 @@ def first_titles(chapters: DataFrame, chapter: list[str]) -> DataFrame:
     return chapters.groupBy(*chapter).agg(F.min(heading)["text"].alias("title"))
 
 
+def usage(results: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(phase, keys, calls, and the sum of each of USAGE) of the calls that phases made, from their results' `calls`.
+
+    Results without a call give a row of zeros, so that every phase and book is in the table.
+    """
+    out = None
+    for name, df in results.items():
+        each = df.select(*keys, F.explode_outer("calls").alias("c"))
+        sums = [F.coalesce(F.sum(F.col("c")[n]), F.lit(0)).cast("long").alias(n) for n in USAGE]
+        rows = each.groupBy(*keys).agg(F.count("c").alias("calls"), *sums).select(F.lit(name).alias("phase"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

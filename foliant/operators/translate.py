@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant.functions import prompts as P
-from foliant.functions.provider import Provider
+from foliant.functions.provider import CALLS, Counted, Provider
 from foliant.operators.blocks import unit_batches
 from foliant.sources import html as H
 from foliant.workspace import Workspace
@@ -49,21 +49,85 @@ def ask(batch: dict[str, str], provider: Callable[[dict[str, str]], str], tries:
 
 def translate_units(units: DataFrame, keys: list[str], order: str, provider: Callable[[dict[str, str]], str], size: int = BATCH) -> DataFrame:
     """units (text) with unit, batch_start, translated and text replaced where the provider answered for it."""
-    numbered = unit_batches(units, keys, order, size)
+    return ask_batches(batches_of(unit_batches(units, keys, order, size), keys), keys, provider).drop("calls")
+
+
+def batches_of(numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, batch_start, b: its units in order) of units numbered by `unit_batches`."""
+    return numbered.groupBy(*keys, "batch_start").agg(F.array_sort(F.collect_list(F.struct("unit", "text"))).alias("b"))
+
+
+def ask_batches(batches: DataFrame, keys: list[str], provider: Callable[[dict[str, str]], str]) -> DataFrame:
+    """keys, batch_start, unit, text, translated of each unit of `batches_of`; calls are with a batch's first unit."""
     by = [*keys, "batch_start"]
-    batches = numbered.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("unit", "text"))).alias("b"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted, call = None, provider
+        if isinstance(provider, Translator):
+            counted = Counted(provider.provider)
+            call = Translator(counted, provider.target, provider.terms, provider.source)
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
                 texts = {str(b["unit"]): b["text"] or "" for b in row[-1]}
-                said = ask(texts, provider)
-                out += [(*row[:-1], int(i), said.get(i, t), i in said) for i, t in texts.items()]
-            yield pd.DataFrame(out, columns=[*by, "unit", "text", "translated"])
+                said = ask(texts, call)
+                taken = counted.taken() if counted else []
+                for i, t in texts.items():
+                    out.append((*row[:-1], int(i), said.get(i, t), i in said, taken))
+                    taken = []
+            yield pd.DataFrame(out, columns=[*by, "unit", "text", "translated", "calls"])
 
     types = dict(batches.dtypes)
-    return batches.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in by) + ", unit int, text string, translated boolean")
+    schema = ", ".join(f"`{k}` {types[k]}" for k in by) + f", unit int, text string, translated boolean, calls {CALLS}"
+    return batches.select(*by, "b").mapInPandas(run, schema)
+
+
+def stored_answers(batches: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, batch_start, said: text by unit) of wanted batches (fingerprint, b) that an earlier run stored.
+
+    A stored answer is used if its fingerprint is the batch's, it reads as texts by name, and its names are exactly the
+    batch's units: neither one too few nor one too many.
+    """
+    by = [*keys, "batch_start"]
+    said = F.try_variant_get(F.try_parse_json("result"), "$", "map<string,variant>")
+    held = log.select(*by, "fingerprint", said.alias("v")).where("v is not null")
+    texts = F.forall(F.map_values("v"), lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+    held = held.where(texts).select(*by, "fingerprint", F.transform_values("v", lambda _, x: x.cast("string")).alias("said"))
+    both = batches.select(*by, "fingerprint", F.transform("b", lambda u: u["unit"].cast("string")).alias("wanted")).join(held, [*by, "fingerprint"])
+    names = F.map_keys("said")
+    same = (F.size(F.array_except(names, "wanted")) == 0) & (F.size(F.array_except("wanted", names)) == 0)
+    return both.where(same).select(*by, "said")
+
+
+def resumed_batches(units: DataFrame, keys: list[str], order: str, provider: Callable[[dict[str, str]], str], log: DataFrame | None, target: str, *fields: str, size: int = BATCH) -> DataFrame:
+    """Answers of `ask_batches` with fingerprint and `reused`: stored ones where they hold, the others asked for."""
+    by = [*keys, "batch_start"]
+    numbered = unit_batches(units, keys, order, size)
+    batches = batches_of(numbered, keys).join(batch_fingerprints(numbered, keys, target, *fields), by)
+    misses = batches
+    if log is not None:
+        hits = stored_answers(batches, log, keys)
+        misses = batches.join(hits.select(*by), by, "left_anti")
+    fresh = ask_batches(misses, keys, provider).join(misses.select(*by, "fingerprint"), by).withColumn("reused", F.lit(False))
+    if log is None:
+        return fresh
+    old = hits.join(batches.select(*by, "fingerprint"), by).select(*by, "fingerprint", F.explode("said").alias("unit", "text"))
+    old = old.withColumns({"unit": F.col("unit").cast("int"), "translated": F.lit(True), "calls": F.array().cast(CALLS), "reused": F.lit(True)})
+    return fresh.unionByName(old)
+
+
+def storable(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, batch_start, fingerprint, result) of fresh batches that were answered whole; others are asked again next time."""
+    by = [*keys, "batch_start"]
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("unit").cast("string").alias("k"), F.col("text").alias("v"))))
+    held = answers.where("not reused").groupBy(*by, "fingerprint").agg(F.bool_and("translated").alias("whole"), pairs.alias("p")).where("whole")
+    return held.select(*by, "fingerprint", F.to_json(F.map_from_entries("p")).alias("result"))
+
+
+def batch_counters(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """(phase, total, reused) over batches."""
+    each = answers.groupBy(*keys, "batch_start").agg(F.first("reused").alias("reused"))
+    return each.agg(F.count("*").alias("total"), F.count_if("reused").alias("reused")).select(F.lit("translate").alias("phase"), "*")
 
 
 def batch_fingerprints(units: DataFrame, keys: list[str], target: str, *fields: str) -> DataFrame:
@@ -96,16 +160,24 @@ class Translator:
         return self.provider.generate(P.TRANSLATE_SYSTEM, P.translate_user(batch, self.target, self.terms, self.source))
 
 
+def marked_units(blocks: DataFrame, titles: DataFrame, chapter: list[str]) -> DataFrame:
+    """Units of chapters as they go out, with their markup."""
+    marked = blocks.withColumn("text", F.coalesce("rich", "text")).withColumn("items", F.coalesce("items_rich", "items"))
+    return units_of(titles, marked, chapter)
+
+
 def translate_blocks(blocks: DataFrame, titles: DataFrame, chapter: list[str], call: Callable[[dict[str, str]], str], size: int = BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(blocks, titles, per chapter: units, untranslated, downgraded) with texts replaced by their translations.
+    """(blocks, titles, per chapter: units, untranslated, downgraded) with texts replaced by their translations."""
+    units = marked_units(blocks, titles, chapter)
+    answers = Workspace(blocks.sparkSession, "translate").put(translate_units(units, chapter, "place", call, size))  # asked once
+    return answered_blocks(blocks, titles, chapter, answers, size)
 
-    Units go out with their markup; a reply is cleaned, and keeps its markup if that has the source's tags.
-    """
-    marked = blocks.withColumn("text", F.coalesce("rich", "text")).withColumn("items", F.coalesce("items_rich", "items"))
-    units = units_of(titles, marked, chapter)
+
+def answered_blocks(blocks: DataFrame, titles: DataFrame, chapter: list[str], answers: DataFrame, size: int = BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same from answers (chapter, unit, text, translated). A reply is cleaned, and keeps its markup if that has the source's tags."""
+    units = marked_units(blocks, titles, chapter)
     numbered = unit_batches(units, chapter, "place", size).select(*chapter, "unit", "place", F.col("text").alias("own"))
-    answers = Workspace(blocks.sparkSession, "translate").put(translate_units(units, chapter, "place", call, size))  # asked once
-    said = answers.join(numbered, [*chapter, "unit"])
+    said = answers.select(*chapter, "unit", "text", "translated").join(numbered, [*chapter, "unit"])
     reply = H.sanitize(F.when(F.col("translated"), F.col("text")))
     said = said.withColumn("f", F.when(F.col("translated"), faithful(F.col("own"), reply)))
     said = said.select(*chapter, "place", "translated", F.when(F.col("translated"), F.col("f.text")).alias("text"), F.when(H.has_markup(F.col("f.rich")), F.col("f.rich")).alias("rich"), F.coalesce("f.downgraded", F.lit(False)).alias("downgraded"))

@@ -10,6 +10,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliant.functions.provider import CALLS, Counted
 from foliant.functions.text import fingerprint
 from foliant.operators.blocks import nearest_text
 from foliant.sources.html import block_image_ids
@@ -87,20 +88,47 @@ def read_verdict(raw: str) -> tuple[float, str | None, bool]:
     return number(said.get("score")), caption if isinstance(caption, str) and caption.strip() else None, True
 
 
+VERDICT = "keep boolean, score double, new_caption string"
+
+
 def verdicts(images: DataFrame, keys: list[str], provider: Seeing, threshold: float = THRESHOLD) -> DataFrame:
-    """keys, keep, score, new_caption, parsed for images (keys, context, content, mime). Only parsed ones may be stored."""
-    names = [*keys, "keep", "score", "new_caption", "parsed"]
+    """keys, keep, score, new_caption, parsed, calls for images (keys, context, content, mime). Only parsed ones may be stored."""
+    names = [*keys, "keep", "score", "new_caption", "parsed", "calls"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted = Counted(provider)
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                score, caption, parsed = read_verdict(provider.generate_with_image(PROMPT + (row[-3] or "(none)"), row[-2], row[-1]))
-                out.append((*row[: len(keys)], score >= threshold, score, caption, parsed))
+                score, caption, parsed = read_verdict(counted.generate_with_image(PROMPT + (row[-3] or "(none)"), row[-2], row[-1]))
+                out.append((*row[: len(keys)], score >= threshold, score, caption, parsed, counted.taken()))
             yield pd.DataFrame(out, columns=names)
 
     types = dict(images.dtypes)
-    return images.select(*keys, "context", "content", "mime").mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", keep boolean, score double, new_caption string, parsed boolean")
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {VERDICT}, parsed boolean, calls {CALLS}"
+    return images.select(*keys, "context", "content", "mime").mapInPandas(run, schema)
+
+
+def resumed_verdicts(images: DataFrame, keys: list[str], provider: Seeing, log: DataFrame | None, *, model: str = "", threshold: float = THRESHOLD, captions: bool = True) -> DataFrame:
+    """Verdicts with fingerprint and `reused`: of an earlier run where place, image, context and settings are the same and
+    the stored one reads as a verdict, of the provider otherwise."""
+    wanted = images.withColumn("fingerprint", image_fingerprint(model, threshold, captions))
+    misses, on = wanted, [*keys, "fingerprint"]
+    if log is not None:
+        stored = log.select(*on, F.from_json("result", VERDICT).alias("r")).where("r.keep is not null and r.score is not null")
+        hits = wanted.select(*on).join(stored, on)
+        misses = wanted.join(hits.select(*keys), keys, "left_anti")
+    fresh = verdicts(misses, keys, provider, threshold).join(misses.select(*on), keys).withColumn("reused", F.lit(False))
+    if log is None:
+        return fresh
+    old = hits.select(*on, "r.*").withColumns({"parsed": F.lit(True), "calls": F.array().cast(CALLS), "reused": F.lit(True)})
+    return fresh.unionByName(old)
+
+
+def storable_verdicts(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fingerprint, result) of fresh verdicts that could be read."""
+    said = F.to_json(F.struct("keep", "score", "new_caption"))
+    return judged.where("parsed and not reused").select(*keys, "fingerprint", said.alias("result"))
 
 
 def ranked(blocks: DataFrame, judged: DataFrame, chapter: list[str], captions: bool = True) -> DataFrame:
