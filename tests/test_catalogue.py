@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foliant.plans import catalogue
+from foliant.plans import catalogue, markup, runs  # noqa: F401  these add their queries to the catalogue's
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
