@@ -34,7 +34,7 @@ SALTS = [int(x) for x in np.random.default_rng(29).integers(1, 1 << 63, HASHES)]
 #: so that a passage of over half a million words is found in parts.
 REACH = (1 << 19) - 1
 #: Members of a group that are held against each other in one task.
-GROUP = 1000
+GROUP = 250
 
 
 def sliding_minima(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -189,40 +189,52 @@ def verified(a: np.ndarray, b: np.ndarray, width: int, least: float) -> Iterator
     if len(a) < width or not len(b):
         return
     order = np.argsort(b, kind="stable")
-    at = np.searchsorted(b[order], a)
+    sorted_b = b[order]
+    at = np.searchsorted(sorted_b, a)
     at[at == len(b)] = 0
     where = order[at]
-    same = b[where] == a
+    same = sorted_b[at] == a
+    sorted_a = np.sort(a)
+    # Where no shingle comes twice, what sets share is counted by places.
+    plain = bool((sorted_a[1:] != sorted_a[:-1]).all() and (sorted_b[1:] != sorted_b[:-1]).all())
 
     def tried(start: int, to: int) -> tuple[int, int, float] | None:
         matched = np.flatnonzero(same[start : to + 1])
         if not len(matched):
             return None
-        x = np.unique(a[start : to + 1])
+        places_b = where[start + matched]
+        shifts = np.sort(places_b - matched)
         # By the middle of the shifts; where one word fills the stretch, shifts mean nothing, so by its first place.
-        for shift in (int(np.median(where[start + matched] - matched)), int(where[start + matched].min())):
+        for shift in (int((shifts[(len(shifts) - 1) // 2] + shifts[len(shifts) // 2]) / 2), int(places_b.min())):
             from_b, to_b = max(0, shift), min(len(b) - 1, shift + to - start)
-            y = np.unique(b[from_b : to_b + 1])
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            if to_b - from_b + 1 >= width and shared >= least * (len(x) + len(y) - shared):
-                return from_b, to_b, shared / (len(x) + len(y) - shared)
+            if to_b - from_b + 1 < width:
+                continue
+            if plain:
+                shared = int(np.count_nonzero((places_b >= from_b) & (places_b <= to_b)))
+                union = to - start + 1 + to_b - from_b + 1 - shared
+            else:
+                x, y = np.unique(a[start : to + 1]), np.unique(b[from_b : to_b + 1])
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - shared
+            if shared >= least * union:
+                return from_b, to_b, shared / union
         return None
 
+    prices = np.array([[least], [0.9], [0.96], [0.995]])
     rest = [(0, len(a))]
     while rest:
         low, high = rest.pop()
         if high - low < width:
             continue
-        found, spans = None, []
-        for price in (least, 0.9, 0.96, 0.995):
-            gain = np.cumsum(np.where(same[low:high], 1 - price, -price))
-            before = np.concatenate([[0.0], gain[:-1]])
-            floor = np.minimum.accumulate(before)
-            to = int(np.argmax(gain - floor))
-            spans.append((int(np.flatnonzero(before[: to + 1] <= floor[to] + 1e-12)[-1]) + low, to + low))
+        gain = np.cumsum(same[low:high] - prices, axis=1)
+        before = np.concatenate([np.zeros((len(prices), 1)), gain[:, :-1]], axis=1)
+        floor = np.minimum.accumulate(before, axis=1)
+        spans = []
+        for k, to in enumerate((gain - floor).argmax(axis=1).tolist()):
+            spans.append((int(np.flatnonzero(before[k, : to + 1] <= floor[k, to] + 1e-12)[-1]) + low, to + low))
         matches = np.concatenate([[0], np.cumsum(same[low:high])])
         best = int(np.argmax(matches[width:] - matches[:-width])) + low
-        for start, to in (*spans, (best, best + width - 1)):
+        for start, to in dict.fromkeys((*spans, (best, best + width - 1))):
             if to - start + 1 >= width and (found := tried(start, to)):
                 yield start, to, *found
                 rest += [(low, start), (to + 1, high)]
@@ -505,7 +517,9 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 50, least: float =
         columns = zip(*out) if out else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["h", "start_word", "n_words", "other", "similarity"])
 
-    settled = work.put(members.groupBy("low", "cell").applyInArrow(settle, schema), "settled")
+    # Cells hold few bytes and much work, so their number of partitions doesn't follow their size.
+    dealt = members.repartition(8 * spark.sparkContext.defaultParallelism, "low", "cell")
+    settled = work.put(dealt.groupBy("low", "cell").applyInArrow(settle, schema), "settled")
     passages = passages.union(settled)
     partner = reps.select(F.col("h").alias("other"), F.col("rep").alias("partner_doc_id"))
     passages = passages.join(partner, "other").groupBy("h", "start_word", "n_words").agg(F.min(F.struct("partner_doc_id", "similarity")).alias("p"))
