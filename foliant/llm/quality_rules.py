@@ -125,14 +125,14 @@ def _distance(names: list[str]) -> Column:
 
 
 def _fit(sums: DataFrame, keys: list[str], p: int, floors: list[float], factor: float) -> DataFrame:
-    """Centre and inverse covariance of each row of sums (n, s_i, s_ij)."""
+    """Centre, inverse covariance and its determinant's logarithm for each row of sums (n, s_i, s_ij)."""
     kinds = dict(sums.dtypes)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
 
     def run(batches):
         for rows in batches:
             out = rows[[*keys, "n"]].copy()
-            centres, inverses = [], []
+            centres, inverses, sizes = [], [], []
             for r in rows.itertuples(index=False):
                 n = max(float(r.n), 1.0)
                 mean = np.array([getattr(r, f"s{i}") for i in range(p)], float) / n
@@ -142,41 +142,65 @@ def _fit(sums: DataFrame, keys: list[str], p: int, floors: list[float], factor:
                 cov = factor * cov + np.diag(np.square(floors))
                 centres.append(mean)
                 inverses.append(np.linalg.pinv(cov).ravel())
-            out["centre"], out["inverse"] = centres, inverses
+                sizes.append(float(np.linalg.slogdet(cov)[1]))
+            out["centre"], out["inverse"], out["logdet"] = centres, inverses, sizes
             yield out
 
-    return sums.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, centre array<double>, inverse array<double>")
+    return sums.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, centre array<double>, inverse array<double>, logdet double")
 
 
-def robust_fits(spark: SparkSession, rows: DataFrame, work: Workspace, *, steps: int = 4, share: float = 0.75) -> DataFrame:
-    """MCD fit of each group g of rows with the columns of STATS: g, n, centre, inverse."""
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    names, p = list(STATS), len(STATS)
+    first = [F.sum(n).alias(f"s{i}") for i, n in enumerate(names)]
+    second = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *first, *second)
+
+
+def _starts(rows: DataFrame, work: Workspace) -> DataFrame:
+    """(g, start, centre, inverse, logdet): from medians and their absolute deviations, and from the moments of all rows."""
     names, p = list(STATS), len(STATS)
     floors = [f for _, f in STATS.values()]
-    cut = chi2_quantile(share, p)
-    factor = share / max(chi2_cdf(cut, p + 2), 1e-9)
     middle = work.put(rows.groupBy("g").agg(F.array(*(F.percentile_approx(n, 0.5, 1000) for n in names)).alias("m")), "medians")
-    spread = rows.join(middle, "g").groupBy("g").agg(
-        F.count("*").alias("n"), F.first("m").alias("centre"), *(F.percentile_approx(F.abs(F.col(n) - F.col("m")[i]), 0.5, 1000).alias(f"d{i}") for i, n in enumerate(names))
-    )
+    apart = (F.percentile_approx(F.abs(F.col(n) - F.col("m")[i]), 0.5, 1000).alias(f"d{i}") for i, n in enumerate(names))
+    spread = rows.join(middle, "g").groupBy("g").agg(F.first("m").alias("centre"), *apart)
     inverse = F.array(*(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + floors[i] ** 2) if i == j else F.lit(0.0) for i in range(p) for j in range(p)))
-    fits = work.put(spread.select("g", "n", "centre", inverse.alias("inverse")), "start")
-    for step in range(steps):
-        far = rows.join(fits.select("g", "centre", "inverse"), "g").withColumn("d2", _distance(names))
-        limit = work.put(far.groupBy("g").agg(F.percentile_approx("d2", share, 2000).alias("most")), f"limit{step}")
-        near = far.select("g", *names, "d2").join(limit, "g").where("d2 <= most")
-        sums = near.groupBy("g").agg(
-            F.count("*").alias("n"), *(F.sum(n).alias(f"s{i}") for i, n in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p))
-        )
-        fits = work.put(_fit(sums, ["g"], p, floors, factor), f"fit{step}")
-    return fits
+    first = spread.select("g", F.lit(0).alias("start"), "centre", inverse.alias("inverse"), F.lit(math.inf).alias("logdet"))
+    whole = _fit(_moments(rows, ["g"]), ["g"], p, floors, 1.0)
+    return first.unionByName(whole.select("g", F.lit(1).alias("start"), "centre", "inverse", F.lit(math.inf).alias("logdet")))
+
+
+def robust_fits(spark: SparkSession, rows: DataFrame, work: Workspace, *, most_steps: int = 20, share: float = 0.75, settled: float = 1e-6) -> DataFrame:
+    """MCD fit of each group g of rows with the columns of STATS: g, n, centre, inverse, logdet.
+
+    From each of two starts, concentration steps fit the share of rows that lies nearest to the last fit, until no
+    group's log determinant falls by more than `settled`; of the two fits of a group the one with the lesser determinant stays.
+    """
+    names, p, keys = list(STATS), len(STATS), ["g", "start"]
+    floors = [f for _, f in STATS.values()]
+    cut = chi2_quantile(share, p)
+    factor = share / max(chi2_cdf(cut, p + 2), 1e-9)
+    fits = work.put(_starts(rows, work), "start")
+    for step in range(most_steps):
+        far = rows.join(fits.select(*keys, "centre", "inverse"), "g").withColumn("d2", _distance(names))
+        limit = work.put(far.groupBy(*keys).agg(F.percentile_approx("d2", share, 2000).alias("most")), f"limit{step}")
+        near = far.select(*keys, *names, "d2").join(limit, keys).where("d2 <= most")
+        now = work.put(_fit(_moments(near, keys), keys, p, floors, factor), f"fit{step}")
+        moved = now.join(fits.select(*keys, F.col("logdet").alias("before")), keys).where(F.col("before") - F.col("logdet") > settled)
+        done = moved.isEmpty()
+        fits = now
+        if done:
+            break
+    best = F.min_by(F.struct("n", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("b")
+    return work.put(fits.groupBy("g").agg(best).select("g", "b.*"), "fits")
 
 
 def judge(docs: DataFrame, *, quantile: float = 1 - 1e-9, least_rows: int = 50, least_words: int = 50, short: int = 300) -> DataFrame:
     """doc_id, the counts, base_failed, distance, kept; one row per row of docs.
 
     A row is kept if it passes the base limits and its squared distance, divided by 1 + short / n_words for the
-    noise of short texts, is within the chi-squared quantile. Null texts count nothing and fail; null languages
-    and sources form groups of their own. Repeated rows count each; an empty table gives an empty result.
+    noise of short texts, is within the chi-squared quantile; one at the limit is kept. Null texts count nothing and fail;
+    null languages and sources form groups of their own. Texts of any length are counted whole. Repeated rows count each;
+    an empty table gives an empty result. Columns besides doc_id, text, lang and source are not read.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "quality")

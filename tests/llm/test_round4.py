@@ -289,3 +289,24 @@ def test_url_model_tells_names_and_not_domains(spark):
     rows = [(1, "https://www.casino-win.example.org/de/7"), (2, "https://blog.spam-farm.example.org/fr/"), (3, "https://blog.meadow.example.org/de/7"), (4, "https://www.brook.example.org/fr/")]
     got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_mcd_settles_at_the_lesser_determinant(spark):
+    """From either start alone, longer or shorter, no fit has a lesser determinant; its centre isn't drawn by a third of far rows."""
+    from foliant.llm import quality_rules as Q
+
+    rng = np.random.default_rng(3)
+    p = len(Q.STATS)
+    good, bad = rng.normal(size=(700, p)) * 0.3 + 1.0, rng.normal(size=(210, p)) * 0.05 + np.linspace(4, 9, p)
+    rows = spark.createDataFrame([(g, *map(float, r)) for g in ("a", "b") for r in (*good, *(bad if g == "b" else []))], ["g", *Q.STATS])
+    fits = {r.g: r for r in Q.robust_fits(spark, rows, Workspace(spark, "settled")).collect()}
+    longer = {r.g: r for r in Q.robust_fits(spark, rows, Workspace(spark, "settled"), most_steps=40).collect()}
+    shorter = {r.g: r for r in Q.robust_fits(spark, rows, Workspace(spark, "settled"), most_steps=1).collect()}
+    for g in "ab":
+        assert abs(fits[g].logdet - longer[g].logdet) < 1e-5 and fits[g].logdet <= shorter[g].logdet + 1e-6
+        assert np.abs(np.array(fits[g].centre) - good.mean(axis=0)).max() < 0.1
+    inverse = np.array(fits["b"].inverse).reshape(p, p)
+    cov = np.linalg.inv(inverse)
+    floors = np.square([f for _, f in Q.STATS.values()])
+    spread = np.sqrt((np.diag(cov) - floors) / good.var(axis=0))
+    assert (0.6 < spread).all() and (spread < 1.6).all()
