@@ -22,6 +22,8 @@ from foliant.workspace import Workspace
 BLOCK = 2000
 #: Numbers of cells; a label has the first with which its cells hold about a block.
 LEVELS = (4, 16, 64, 256, 1024)
+#: Kinds of cells (length and number) whose centres are fitted; those of further kinds are drawn without data.
+KINDS = 1000
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -37,6 +39,11 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12, seed: int =
     return centres
 
 
+def drawn_centres(size: int, k: int) -> np.ndarray:
+    """Unit centres of that length, the same in every task."""
+    return _unit(np.random.default_rng((size, k)).normal(size=(k, size)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
@@ -104,7 +111,7 @@ def link(vectors: DataFrame, *, least: float = 0.98, sample: int = 20_000, block
         level = F.when(F.col("n") <= k * block, k).otherwise(level)
     sizes = sizes.select("label", "length", F.when(F.col("n") <= 2 * block, 0).otherwise(level).alias("level"))
     centres: dict[tuple[int, int], np.ndarray] = {}
-    wanted = [(r["length"], r["level"]) for r in sizes.where("level > 0").select("length", "level").distinct().limit(1000).collect()]  # a level's cells, whatever the labels
+    wanted = [(r["length"], r["level"]) for r in sizes.where("level > 0").select("length", "level").distinct().limit(KINDS).collect()]  # a level's cells, whatever the labels
     if wanted:
         picked = own.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / total) * (1 << 20)))).select("length", "v").limit(2 * sample).collect()
         for size, k in wanted:
@@ -119,11 +126,11 @@ def link(vectors: DataFrame, *, least: float = 0.98, sample: int = 20_000, block
             kinds = np.stack([batch.column(1).to_numpy(), batch.column(5).to_numpy()], 1)
             for size, k in np.unique(kinds, axis=0).tolist():
                 part = batch.filter(pa.array((kinds == (size, k)).all(axis=1))).select(names[:5])
-                c = shared.value.get((size, k))
-                if c is None:  # a small label
+                if k == 0:  # a small label
                     n = part.num_rows
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool))], names)
                     continue
+                c = shared.value[size, k] if (size, k) in shared.value else drawn_centres(size, k)
                 dots = _unit(_matrix(part.column(4))) @ c.T
                 home = dots.argmax(axis=1)
                 apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))

@@ -310,3 +310,18 @@ def test_mcd_settles_at_the_lesser_determinant(spark):
     floors = np.square([f for _, f in Q.STATS.values()])
     spread = np.sqrt((np.diag(cov) - floors) / good.var(axis=0))
     assert (0.6 < spread).all() and (spread < 1.6).all()
+
+
+def test_cells_of_further_kinds_lose_no_link(spark, monkeypatch):
+    """Where no centres are fitted, drawn ones part the vectors as exactly."""
+    from foliant.llm import embed
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 8))
+    v = base[rng.integers(0, 60, 400)] + rng.normal(size=(400, 8)) * 0.05
+    df = spark.createDataFrame([(i, [float(a) for a in r], 1) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embed, "KINDS", 0)
+    got = {r.vec_id: r.n_links for r in embed.link(df, block=20).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert [got[i] for i in range(400)] == want.tolist() and want.max() > 3
