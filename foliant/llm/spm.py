@@ -246,7 +246,7 @@ def unit_cache(path: str) -> UnitCache:
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per document with digests of its ids and of the text that they decode to.
 
-    Null is as empty: no ids. Texts of any length are encoded whole, unit by unit. Repeated rows are encoded one by one;
+    Null is as empty: no ids; a row without a doc_id is encoded as any other. Texts of any length are encoded whole, unit by unit. Repeated rows are encoded one by one;
     other columns are not read, and an empty table gives an empty result.
     """
 

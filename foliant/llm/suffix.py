@@ -340,7 +340,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs.
 
     Null is as empty, texts under the window are kept whole, and of equal texts of at least a window nothing stays.
-    Columns besides doc_id and text are not read.
+    Repeated rows are such equal texts; so are texts of one doc_id, and a row without a doc_id is treated as any other.
+    Texts of any length are searched whole; an empty table gives an empty result. Columns besides doc_id and text are not read.
     """
     work = Workspace(docs.sparkSession, "suffix")
     docs = docs.select(F.col("doc_id").cast("long"), "text")

@@ -113,8 +113,9 @@ class UrlModel:
 def filter_urls(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
     """A verdict for each row: page_id, host, path, rule, verdict, score.
 
-    Null urls and urls without `://` have an empty host and path and go to the model. Repeated rows are judged
-    one by one; an empty table gives an empty result; other columns are not read.
+    Null urls and urls without `://` have an empty host and path and go to the model; a score at the threshold blocks.
+    Urls of any length are read whole, and of several rules that fit the longest wins. Repeated rows and rows without a
+    page_id are judged one by one; an empty table gives an empty result; other columns are not read.
     """
     model = UrlModel(labelled)
 
