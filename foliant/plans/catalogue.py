@@ -217,10 +217,15 @@ def vision_keep(spark, d):
     return docs(spark, d).join(v, "doc_id", "left").select("doc_id", F.coalesce("parsed", F.lit(False)).alias("parsed"), keep.alias("keep"))
 
 
-@query("""WITH m(model) AS (VALUES ('gemini-3.6-flash'), ('openai/gpt-5.6-luna'), ('other/model')), c(model, ask, over) AS (VALUES ('gemini-3.6-flash', 0.85::DOUBLE, 1.3::DOUBLE), ('openai/gpt-5.6-luna', 0.67::DOUBLE, 1.3::DOUBLE))
-  SELECT model, coalesce(ask, 1.0::DOUBLE) AS ask_factor, coalesce(over, 1.3::DOUBLE) AS overshoot, ask IS NOT NULL AS calibrated FROM m LEFT JOIN c USING (model)""")
+@query("""WITH m AS (SELECT DISTINCT conv_id, CASE conv_id % 3 WHEN 0 THEN 'gemini-3.6-flash' WHEN 1 THEN 'openai/gpt-5.6-luna' ELSE 'other/model' END AS model FROM conversations),
+  c(model, ask, over) AS (VALUES ('gemini-3.6-flash', 0.85::DOUBLE, 1.3::DOUBLE), ('openai/gpt-5.6-luna', 0.67::DOUBLE, 1.3::DOUBLE))
+  SELECT model, coalesce(ask, 1.0::DOUBLE) AS ask_factor, coalesce(over, 1.3::DOUBLE) AS overshoot, ask IS NOT NULL AS calibrated, count(*) AS conversations FROM m LEFT JOIN c USING (model) GROUP BY ALL""")
 def calibration_lookup(spark, d):
-    return cost.calibrated(spark.createDataFrame([("gemini-3.6-flash",), ("openai/gpt-5.6-luna",), ("other/model",)], "model string"), spark)
+    """What is known of the models that conversations are held with."""
+    n = F.col("conv_id") % 3
+    model = F.when(n == 0, "gemini-3.6-flash").when(n == 1, "openai/gpt-5.6-luna").otherwise("other/model")
+    held = table(spark, d, "conversations").select("conv_id").distinct().select(model.alias("model"))
+    return cost.calibrated(held, spark).groupBy("model", "ask_factor", "overshoot", "calibrated").agg(F.count("*").alias("conversations"))
 
 
 @query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS calls, coalesce(sum(greatest(1, length(text) // 4)) FILTER (WHERE role <> 'assistant' AND text <> ''), 0)::BIGINT AS prompt_tokens,
@@ -288,9 +293,16 @@ def split_paragraphs(spark, d):
 _LANGS = ("Spanish", "es-MX", "ES_mx", "german", "Klingon", "fr", " Spanish (Latin America)", "", "zh-Hant", "x")
 
 
-@query("WITH m(lang, tag) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_LANGS, ("es", "es-MX", "es-mx", "de", "und", "fr", "es", "und", "zh-Hant", "und"))) + ") SELECT * FROM m")
+_TAGS = ("es", "es-MX", "es-mx", "de", "und", "fr", "es", "und", "zh-Hant", "und")
+
+
+@query("WITH m(n, lang, tag) AS (VALUES " + ", ".join(f"({n}, '{a}', '{b}')" for n, (a, b) in enumerate(zip(_LANGS, _TAGS))) + """)
+  SELECT doc_id, coalesce(m.lang, d.lang) AS lang, coalesce(tag, d.lang, 'und') AS tag FROM documents d LEFT JOIN m ON m.n = d.doc_id % 12""")
 def bcp47_lang(spark, d):
-    return spark.createDataFrame([(x,) for x in _LANGS], "lang string").select("lang", T.to_bcp47(F.col("lang")).alias("tag"))
+    """Languages as documents may name them: a name or code by their number, else their own code."""
+    n = (F.col("doc_id") % 12).cast("int")
+    lang = F.when(n < len(_LANGS), F.get(F.array(*map(F.lit, _LANGS)), n)).otherwise(F.col("lang"))
+    return docs(spark, d).select("doc_id", lang.alias("lang")).select("doc_id", "lang", T.to_bcp47(F.col("lang")).alias("tag"))
 
 
 # Each document is a book of pages of 10 lines, whose every 25th line from the fourth is an entry of its contents.
@@ -502,12 +514,18 @@ _REPLIES = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(deg).lower()}, '{t}')" for n, _, _, deg, t in _REPLIES) + ") v(name, degraded, texts)")
+_CASES = "WITH v(n, name, degraded, texts) AS (VALUES " + ", ".join(f"({i}, '{n}', {str(deg).lower()}, '{t}')" for i, (n, _, _, deg, t) in enumerate(_REPLIES)) + ")"
+
+
+@query(f"{_CASES} SELECT doc_id, name, degraded, replace(texts, 'own', 'Chapter ' || doc_id) AS texts FROM documents JOIN v ON v.n = doc_id % {len(_REPLIES)}")
 def reply_table(spark, d):
-    cases = spark.createDataFrame([(n, k.split(","), r) for n, k, r, _, _ in _REPLIES], "name string, kinds array<string>, reply string")
-    own = F.transform("kinds", lambda x: F.struct(x.alias("type"), F.lit("own").alias("text"), F.array(F.lit("own")).alias("items")))
-    r = R.rebuilt(own, F.col("reply"))
-    return cases.select("name", r.alias("r")).select("name", "r.degraded", F.array_join(F.transform("r.pieces", lambda p: p["text"]), "|").alias("texts"))
+    """Each document's title as a run of blocks, with one of the cases for its reply."""
+    pick = lambda held: F.get(F.array(*(F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x) for x in held)), F.col("n"))
+    cases = docs(spark, d).select("doc_id", title().alias("own"), (F.col("doc_id") % len(_REPLIES)).cast("int").alias("n"))
+    cases = cases.select("doc_id", "own", pick([c[0] for c in _REPLIES]).alias("name"), pick([c[1].split(",") for c in _REPLIES]).alias("kinds"), pick([c[2] for c in _REPLIES]).alias("reply"))
+    own = F.transform("kinds", lambda x: F.struct(x.alias("type"), F.col("own").alias("text"), F.array("own").alias("items")))
+    read = cases.select("doc_id", "name", R.rebuilt(own, F.col("reply")).alias("r"))
+    return read.select("doc_id", "name", "r.degraded", F.array_join(F.transform("r.pieces", lambda p: p["text"]), "|").alias("texts"))
 
 
 @query(f"""{_TYPED}, n AS (SELECT *, row_number() OVER (PARTITION BY chapter, run_id ORDER BY block_index) AS k, lag(run_id) OVER (PARTITION BY chapter ORDER BY block_index) AS before FROM runs),
@@ -519,10 +537,14 @@ def prompt_bodies(spark, d):
     return P.bodies(r, ["chapter"])
 
 
-@query("""SELECT * FROM (VALUES (1, '- cache → caché' || chr(10) || '- node → nodo'), (2, ''), (3, NULL)) v(id, lines)""")
+@query("""SELECT p_brand AS brand, coalesce(string_agg('- ' || p_name || ' ' || p_partkey || ' → ' || p_type, chr(10) ORDER BY p_partkey) FILTER (WHERE p_partkey % 7 > 0), '') AS lines FROM part GROUP BY p_brand""")
 def glossary_prompt(spark, d):
-    g = spark.createDataFrame([(1, '{"cache": "caché", "node": "nodo", " ": "x", "y": ""}'), (2, "{}"), (3, None)], "id int, g string")
-    return g.select("id", P.glossary_lines(P.glossary(F.col("g"))).alias("lines"))
+    """A glossary for each brand, of its parts and their types; some have no target and fall away."""
+    named = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    one = F.struct("p_partkey", F.struct(named.alias("k"), F.when(F.col("p_partkey") % 7 > 0, F.col("p_type")).otherwise(" ").alias("v")).alias("e"))
+    held = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_list(one)).alias("t"))
+    terms = F.to_json(F.map_from_entries(F.transform("t", lambda x: x["e"])))
+    return held.select("brand", P.glossary_lines(P.glossary(terms)).alias("lines"))
 
 
 _USAGE = "u AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS model, coalesce(sum(length(text)) FILTER (WHERE role <> 'assistant'), 0)::BIGINT AS prompt_tokens, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS completion_tokens FROM conversations GROUP BY conv_id)"
