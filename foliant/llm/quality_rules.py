@@ -9,6 +9,7 @@ meets in one task. Groups too small for a covariance use the fit of their langua
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -172,26 +173,28 @@ def _starts(rows: DataFrame, work: Workspace) -> DataFrame:
 def robust_fits(spark: SparkSession, rows: DataFrame, work: Workspace, *, most_steps: int = 20, share: float = 0.75, settled: float = 1e-6) -> DataFrame:
     """MCD fit of each group g of rows with the columns of STATS: g, n, centre, inverse, logdet.
 
-    From each of two starts, concentration steps fit the share of rows that lies nearest to the last fit, until no
-    group's log determinant falls by more than `settled`; of the two fits of a group the one with the lesser determinant stays.
+    From each of two starts, concentration steps fit the share of rows that lies nearest to the last fit, until a group's log
+    determinant falls by no more than `settled`; then its rows take part no more. Of the two fits of a group the one with
+    the lesser determinant stays.
     """
     names, p, keys = list(STATS), len(STATS), ["g", "start"]
     floors = [f for _, f in STATS.values()]
     cut = chi2_quantile(share, p)
     factor = share / max(chi2_cdf(cut, p + 2), 1e-9)
-    fits = work.put(_starts(rows, work), "start")
+    moving, done = work.put(_starts(rows, work), "start"), []
     for step in range(most_steps):
-        far = rows.join(fits.select(*keys, "centre", "inverse"), "g").withColumn("d2", _distance(names))
+        far = rows.join(moving.select(*keys, "centre", "inverse"), "g").withColumn("d2", _distance(names))
         limit = work.put(far.groupBy(*keys).agg(F.percentile_approx("d2", share, 2000).alias("most")), f"limit{step}")
         near = far.select(*keys, *names, "d2").join(limit, keys).where("d2 <= most")
-        now = work.put(_fit(_moments(near, keys), keys, p, floors, factor), f"fit{step}")
-        moved = now.join(fits.select(*keys, F.col("logdet").alias("before")), keys).where(F.col("before") - F.col("logdet") > settled)
-        done = moved.isEmpty()
-        fits = now
-        if done:
+        now = _fit(_moments(near, keys), keys, p, floors, factor).join(moving.select(*keys, F.col("logdet").alias("before")), keys)
+        now = work.put(now.withColumn("open", F.col("before") - F.col("logdet") > settled), f"fit{step}")
+        last = step == most_steps - 1
+        done.append(now if last else now.where("not open"))
+        moving = now.where("open")
+        if last or moving.isEmpty():
             break
     best = F.min_by(F.struct("n", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("b")
-    return work.put(fits.groupBy("g").agg(best).select("g", "b.*"), "fits")
+    return work.put(reduce(DataFrame.unionByName, done).groupBy("g").agg(best).select("g", "b.*"), "fits")
 
 
 def judge(docs: DataFrame, *, quantile: float = 1 - 1e-9, least_rows: int = 50, least_words: int = 50, short: int = 300) -> DataFrame:
