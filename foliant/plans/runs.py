@@ -44,7 +44,7 @@ def translate_resume(spark, d):
     return X.resumed_batches(units, ["chapter"], "place", _Marks(), log, "Spanish").select("chapter", "unit", "text", "reused")
 
 
-@query(f"""{C._UNITS}, b AS (SELECT chapter, unit // 40 * 40 AS s, bool_and(length(text) % 29 > 0) AS whole FROM u GROUP BY ALL) SELECT 'translate' AS phase, count(*) AS total, count_if(whole) AS reused FROM b""")
+@query(f"""{C._UNITS}, b AS (SELECT chapter, unit // 40 * 40 AS s, bool_and(length(text) % 29 > 0) AS whole FROM u GROUP BY ALL) SELECT 'translate' AS phase, count(*) AS total, count_if(whole)::BIGINT AS reused FROM b""")
 def translate_reuse_counters(spark, d):
     """A second run over the log of a first one, whose torn batches weren't stored."""
     units, keys = C._units(spark, d), ["chapter"]
@@ -92,7 +92,7 @@ class _Metered:
 
 @query(f"""{C._BLOCKCHUNKS}, s AS (SELECT *, prose AND NOT coalesce(lag(prose) OVER (PARTITION BY chapter, chunk_no ORDER BY block_index), false) AS st FROM words),
   c AS (SELECT chapter, chunk_no, count_if(prose) AS blocks, sum(st::INT) AS runs FROM s GROUP BY ALL)
-  SELECT 'condense' AS phase, chapter, count_if(runs > 0) AS calls, coalesce(sum(blocks) FILTER (WHERE runs > 0), 0)::BIGINT AS prompt_tokens,
+  SELECT 'condense' AS phase, chapter, count_if(runs > 0)::BIGINT AS calls, coalesce(sum(blocks) FILTER (WHERE runs > 0), 0)::BIGINT AS prompt_tokens,
     coalesce(sum(runs) FILTER (WHERE runs > 0 AND blocks % 5 > 0), 0)::BIGINT AS completion_tokens, (2 * count_if(runs % 2 = 1))::BIGINT AS cached_tokens
   FROM c GROUP BY chapter""")
 def run_usage(spark, d):
@@ -175,7 +175,7 @@ def reply_columns(spark, d):
 
 
 @query(f"""{C._BLOCKCHUNKS}, c AS (SELECT chapter, chunk_no, bool_or(prose) AS asked FROM words GROUP BY ALL)
-  SELECT 'condense' AS phase, count(*) AS rows, count_if(chapter % 2 = 0 AND chapter % 4 <> 0) AS reused, count_if(asked AND NOT (chapter % 2 = 0 AND chapter % 4 <> 0)) AS calls FROM c""")
+  SELECT 'condense' AS phase, count(*) AS rows, count_if(chapter % 2 = 0 AND chapter % 4 <> 0)::BIGINT AS reused, count_if(asked AND NOT (chapter % 2 = 0 AND chapter % 4 <> 0))::BIGINT AS calls FROM c""")
 def phase_progress(spark, d):
     """What a phase counts of its rows while it writes them; of even chapters' stored results every second chapter's is outdated."""
     from foliant.engine import watched
