@@ -207,6 +207,58 @@ def test_links_of_group_by_brute_force(kinds):
     assert substring.fewest_distinct(x, width) == min(len(set(x[s : s + width].tolist())) for s in range(len(x) - width + 1))
 
 
+def test_passages_around_open_tops_are_found_beside_likelier_ones():
+    """Of a stretch of 80 shingles held by both and 40 with few edits beside it, greedy stretches end before the top."""
+    width, base = 46, np.arange(200, dtype=np.uint32)
+    other = base.copy()
+    other[[100, 106, 112, 118, 124, 130, 136, 142, 148]] += np.uint32(1000)
+    other[150:] += np.uint32(5000)
+    by = substring.Aligned(base, other, width, 0.8)
+    tops = [k for k in range(200) if any(len(np.intersect1d(base[s : s + width], other[s : s + width])) >= 0.8 * len(np.union1d(base[s : s + width], other[s : s + width])) for s in range(max(0, k - width + 1), min(k, 200 - width) + 1))]
+    got = by.around(tops)
+    assert set(got) == set(tops)
+    for top, (start, to, low, high, sim) in got.items():
+        x, y = set(base[start : to + 1].tolist()), set(other[low : high + 1].tolist())
+        assert start <= top <= to and to - start + 1 >= width and high - low + 1 >= width
+        assert sim == len(x & y) / len(x | y) >= 0.8
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_places_by_member_are_those_of_one_by_one(seed):
+    rng, width = np.random.default_rng(seed), 46
+    window = lambda top: top << 38 | int(rng.integers(0, min(top, 90) + 1)) << 19 | int(rng.integers(0, 90))
+    hits = []
+    for n in (1, 0, 40, 7, 90):
+        tops = rng.integers(20, 600, n)
+        hits.append([(window(int(t)), window(int(t + rng.integers(-14, 14))), 0) for t in tops])
+    member = np.repeat(np.arange(5), [len(x) for x in hits])
+    a, b = (np.array([x[k] for y in hits for x in y], np.int64) for k in range(2))
+    got = sorted(zip(*(v.tolist() for v in substring.places_by_member(member, a, b, width))))
+    assert got == sorted((j, *p) for j, x in enumerate(hits) for p in substring.places(x, width))
+
+
+@pytest.mark.parametrize("kinds", [30, 1000])
+def test_bounds_leave_out_no_place_that_a_passage_covers(kinds):
+    """All stretches of a that are similar enough to one of b on the middle diagonal, by brute force."""
+    rng, width = np.random.default_rng(kinds), 12
+    for _ in range(30):
+        a = rng.permutation(1000)[:60].astype(np.uint32) if kinds == 1000 else rng.integers(0, kinds, 60).astype(np.uint32)
+        b = np.insert(a, rng.integers(0, 60, 3), rng.integers(2000, 3000, 3))
+        b[rng.integers(0, 60, 6)] += np.uint32(4000)
+        from_a, to_a, from_b, to_b = 4, 55, int(rng.integers(3, 8)), int(rng.integers(50, 60))
+        side = substring.Side([1], [0], [b], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), width, 0.8)
+        index = substring.Index(side)
+        where = np.array([[int(np.flatnonzero(b == x)[0]) if x in b else -1 for x in a]], np.int32)
+        alone, strict = np.array([(a == x).sum() == 1 for x in a]), np.array([bool(index.plain[0]) and len(set(a.tolist())) == len(a)])
+        held = tuple(np.array([x]) for x in (0, from_a, to_a, from_b, to_b))
+        can = dict(substring.hopeful(np.ones(60, bool), alone, where, held, strict, width, 0.8)).get(0, np.zeros(52, bool))
+        by = substring.Aligned(a[from_a : to_a + 1], b[from_b : to_b + 1], width, 0.8)
+        for start in range(52):
+            for to in range(start + width - 1, 52):
+                if by.same[start] and by.tried(start, to):
+                    assert can[start : to + 1].all()
+
+
 def test_passages(docs, empty):
     got = {(r.doc_id, r.partner_doc_id) for r in substring.repeated_passages(docs).collect()}
     assert {(7, 8), (8, 7), (5, 4), (4, 5)} <= got
