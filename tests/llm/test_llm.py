@@ -184,6 +184,34 @@ def test_passages_of_members_that_are_like_neither_end_of_a_key(spark):
     assert got == {(i, i ^ 1) for i in range(82)}
 
 
+def test_joint_windows_of_several_texts_are_those_of_each():
+    rng, width = np.random.default_rng(6), 5
+    held = []
+    for words, n in ((40, 90), (3, 60), (1, 70), (40, 0), (1000, 30)):
+        tokens, keys, packed = rng.integers(0, words, n).astype(np.uint64), [], []
+        for which, salt in enumerate(substring.SALTS):
+            values = (kernels.mix(tokens ^ np.uint64(salt)) & ~np.uint64(3)) | np.uint64(which)
+            for left, top, right in substring.compact_windows(values, np.array([0, n]), width).tolist():
+                keys.append(int(values[top]))
+                packed.append(top << 38 | (top - left) << 19 | (right - top))
+        held.append((np.array(keys, np.uint64).view(np.int64), np.array(packed, np.int64)))
+    text = np.repeat(np.arange(len(held)), [len(k) for k, _ in held])
+    keys, packed, first = substring.joint_windows_of(text, *(np.concatenate(x) for x in zip(*held)), width)
+    got = sorted(zip(text[first].tolist(), keys.tolist(), packed.tolist()))
+    want = [(i, *pair) for i, x in enumerate(held) for pair in zip(*(v.tolist() for v in substring.joint_windows(*x, width)))]
+    assert got == sorted(want) and {i for i, *_ in got} >= {0, 1, 2}
+
+
+def test_only_stretches_with_wanted_places_are_verified():
+    a = np.arange(200, dtype=np.uint32)
+    b = np.concatenate([a[:60], 1000 + a[:40], a[100:]])
+    every = list(substring.verified(a, b, 20, 0.9))
+    assert sorted(x[:2] for x in every) == [(0, 59), (100, 199)]
+    assert [x[:2] for x in substring.verified(a, b, 20, 0.9, wanted=[150])] == [(100, 199)]
+    assert not list(substring.verified(a, b, 20, 0.9, wanted=[]))
+    assert (0, 59) in [x[:2] for x in substring.verified(a, b, 20, 0.9, wanted=[30])]
+
+
 @pytest.mark.parametrize("kinds", [4, 30, 1000])
 def test_links_of_group_by_brute_force(kinds):
     """Every place that has any partner at its key is covered by a link, and all links are verified ones."""
